@@ -14,4 +14,4 @@ def load_all() -> dict:
     return REGISTRY
 
 
-MODULES = ("prices",)
+MODULES = ("prices", "pit", "crosssection")

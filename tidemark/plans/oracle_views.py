@@ -45,11 +45,33 @@ VIEWS: dict[str, str] = {
                CAST(l_linenumber AS BIGINT) AS line, l_partkey AS part
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "v_macro": """
-        SELECT o_orderpriority AS series, CAST(date_trunc('month', o_orderdate) AS DATE)
-                   AS observation_date,
-               CAST(o_orderdate AS DATE) AS realtime_start, o_totalprice AS value,
-               o_orderkey AS tie
+        SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS observation_date,
+               CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INTEGER) AS realtime_start,
+               o_totalprice AS value, o_orderkey AS tie
         FROM orders""",
+    "v_yield": """
+        SELECT CAST(o_orderdate AS DATE) AS observed_on,
+               CASE o_orderpriority WHEN '1-URGENT' THEN '3 Mo' WHEN '2-HIGH' THEN '2 Yr'
+                    WHEN '3-MEDIUM' THEN '10 Yr' WHEN '4-NOT SPECIFIED' THEN '1 Mo'
+                    ELSE '30 Yr' END AS tenor,
+               max(o_totalprice) / 1e7 AS value
+        FROM orders GROUP BY 1, 2""",
+    "v_annual": """
+        SELECT company, concept, make_date(year(period_end), 12, 31) AS period_end,
+               make_date(year(period_end), 12, 31) - 364 AS period_start, value, filed_date,
+               accession, line, part
+        FROM v_facts""",
+    "v_registrants": """
+        SELECT o_custkey * 10 + yr % 10 AS company,
+               'Firm ' || CAST((o_custkey // 7) % 40 AS VARCHAR)
+                   || CASE o_custkey % 3 WHEN 0 THEN ' Inc' WHEN 1 THEN ' Holdings Corp'
+                      ELSE ' Group' END AS legal_name,
+               'T' || CAST(o_custkey AS VARCHAR) AS ticker,
+               (o_custkey + yr) % 2 = 0 AS listed, first_filed, last_filed
+        FROM (SELECT o_custkey, year(o_orderdate) AS yr,
+                     min(CAST(o_orderdate AS DATE)) AS first_filed,
+                     max(CAST(o_orderdate AS DATE)) AS last_filed
+              FROM orders GROUP BY 1, 2)""",
     "v_snapshots": """
         SELECT last_day(CAST(l_shipdate AS DATE)) AS as_of, l_suppkey AS company,
                min(l_discount) AS earnings_yield, max(l_tax) AS book_to_price,

@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+# Order priorities standing for yield-curve tenors in the test views.
+TENOR_OF = {
+    "1-URGENT": "3 Mo",
+    "2-HIGH": "2 Yr",
+    "3-MEDIUM": "10 Yr",
+    "4-NOT SPECIFIED": "1 Mo",
+    "5-LOW": "30 Yr",
+}
+
+
 class Tables:
     """Parquet tables of one folder, and the domain views over them."""
 
@@ -87,15 +97,55 @@ class Tables:
         )
 
     def macro(self) -> DataFrame:
-        """Vintages: series by order priority, monthly observations, one vintage per order."""
+        """Vintages: series by order priority, one observation a day, published 0-59 days later."""
+        ordered = F.to_date("o_orderdate")
         return self.orders.select(
             F.col("o_orderpriority").alias("series"),
-            F.trunc("o_orderdate", "month").alias("observation_date"),
-            F.to_date("o_orderdate").alias("realtime_start"),
+            ordered.alias("observation_date"),
+            F.date_add(ordered, (F.col("o_orderkey") % 60).cast("int")).alias("realtime_start"),
             F.col("o_totalprice").alias("value"),
             F.col("o_orderkey").alias("tie"),
         )
 
+    def yields(self) -> DataFrame:
+        """Yield observations, long form: a tenor per order priority."""
+        tenor = F.create_map(
+            *[F.lit(x) for pair in TENOR_OF.items() for x in pair]
+        )[F.col("o_orderpriority")]
+        return (
+            self.orders.groupBy(F.to_date("o_orderdate").alias("observed_on"), tenor.alias("tenor"))
+            .agg((F.max("o_totalprice") / 1e7).alias("value"))
+        )
+
+    def annual(self) -> DataFrame:
+        """Annual facts: fiscal years end with the order's calendar year."""
+        facts = self.facts()
+        end = F.last_day(F.add_months(F.trunc("period_end", "year"), 11))
+        return facts.withColumn("period_end", end).withColumn(
+            "period_start", F.date_sub(end, 364)
+        )
+
+    def registrants(self) -> DataFrame:
+        """Filer spans: a customer's orders within one year stand for one registrant."""
+        year = F.year("o_orderdate")
+        spans = self.orders.groupBy(F.col("o_custkey").alias("cust"), year.alias("yr")).agg(
+            F.min(F.to_date("o_orderdate")).alias("first_filed"),
+            F.max(F.to_date("o_orderdate")).alias("last_filed"),
+        )
+        suffix = F.element_at(
+            F.array(*[F.lit(x) for x in (" Inc", " Holdings Corp", " Group")]),
+            (F.col("cust") % 3 + 1).cast("int"),
+        )
+        number = (F.floor(F.col("cust") / 7) % 40).cast("string")
+        return spans.select(
+            (F.col("cust") * 10 + F.col("yr") % 10).alias("company"),
+            F.concat(F.lit("Firm "), number, suffix).alias("legal_name"),
+            F.concat(F.lit("T"), F.col("cust").cast("string")).alias("ticker"),
+            ((F.col("cust") + F.col("yr")) % 2 == 0).alias("listed"),
+            "first_filed",
+            "last_filed",
+        )
+
     # --- cross-section -------------------------------------------------------------------
 
     def snapshots(self) -> DataFrame:
@@ -208,7 +258,7 @@ class Tables:
                 F.col("event_id").alias("news_id"),
                 F.col("user_id").alias("company"),
                 F.col("ts").alias("seen_at"),
-                F.unix_micros("ts").alias("seen_us"),
+                F.unix_micros(F.col("ts").cast("timestamp")).alias("seen_us"),
                 F.substring("text", 1, 120).alias("title"),
                 F.col("source").alias("domain"),
                 "doc_id",
