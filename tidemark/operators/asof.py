@@ -123,3 +123,26 @@ def align(left: DataFrame, right: DataFrame, key: str, *, level: bool = False) -
     return pairs.where(usable).select(
         key, "trade_date", (F.col("a") / F.col("a0") - 1).alias("ret"), move.alias("bench_ret")
     )
+
+
+def last_before(
+    rows: DataFrame, keys: list[str], day: str, order: list[str], value: Column, name: str
+) -> DataFrame:
+    """The greatest non-null `value` among a key's earlier rows, ordered by day and `order`.
+
+    Keys are cut into months that carry their maximum forward, so a hot key is spread over time.
+    `value` must rise with the order (a date first)."""
+    cut = rows.withColumn("_value", value).withColumn("_month", F.trunc(day, "month"))
+    months = cut.groupBy(*keys, "_month").agg(F.max("_value").alias("_best"))
+    earlier = Window.partitionBy(*keys).orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
+    carry = months.select(*keys, "_month", F.max("_best").over(earlier).alias("_carry"))
+    inside = (
+        Window.partitionBy(*keys, "_month").orderBy(day, *order)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    local = cut.withColumn("_local", F.max("_value").over(inside))
+    return (
+        local.join(carry, [*keys, "_month"])
+        .withColumn(name, F.coalesce("_local", "_carry"))
+        .drop("_value", "_month", "_local", "_carry")
+    )

@@ -109,6 +109,28 @@ VIEWS: dict[str, str] = {
             UNION ALL
             SELECT company, name, sector, grp, 'net_income', net_income FROM v_metrics_wide)
         WHERE value IS NOT NULL""",
+    "v_securities": """
+        SELECT p_partkey AS security,
+               upper(substr(p_name, 1, 3)) || CAST(p_partkey % 50 AS VARCHAR) AS ticker,
+               p_brand AS exchange, p_partkey % 3 <> 0 AS is_active,
+               CASE WHEN p_partkey % 5 <> 0 THEN DATE '2000-01-01'
+                    + CAST(p_partkey % 700 AS INTEGER) END AS last_seen,
+               p_partkey % 400 AS company, p_name AS name
+        FROM part""",
+    "v_filings": """
+        SELECT o_custkey AS company, o_orderkey AS accession,
+               CAST(o_orderdate AS DATE) AS filed_date,
+               CASE o_orderpriority WHEN '1-URGENT' THEN '10-K' WHEN '2-HIGH' THEN '10-K/A'
+                    WHEN '3-MEDIUM' THEN '10-Q' WHEN '4-NOT SPECIFIED' THEN '8-K'
+                    ELSE '4' END AS form,
+               CASE o_orderstatus WHEN 'F' THEN 'loaded' WHEN 'O' THEN 'not_loaded'
+                    ELSE 'failed' END AS status,
+               CASE o_orderkey % 3 WHEN 1 THEN '2026.09-5' WHEN 2 THEN 'old' END AS version
+        FROM orders""",
+    "v_fetched_bars": """
+        SELECT *, CAST(month(trade_date) AS BIGINT) AS fetch_id,
+               CASE WHEN day(trade_date) % 2 = 0 THEN close / 2 END AS adj_close
+        FROM v_raw_bars""",
     "v_holdings": """
         SELECT o_custkey AS manager, l_partkey AS cusip,
                CAST(last_day(CAST(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH AS DATE))

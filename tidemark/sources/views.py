@@ -204,6 +204,53 @@ class Tables:
             "value",
         ).where(F.col("value").isNotNull())
 
+    def securities(self) -> DataFrame:
+        """Listings from parts: ticker, exchange, activity and last sighting."""
+        key = F.col("p_partkey")
+        seen = F.date_add(F.to_date(F.lit("2000-01-01")), (key % 700).cast("int"))
+        return self.part.select(
+            key.alias("security"),
+            F.concat(F.upper(F.substring("p_name", 1, 3)), (key % 50).cast("string")).alias("ticker"),
+            F.col("p_brand").alias("exchange"),
+            (key % 3 != 0).alias("is_active"),
+            F.when(key % 5 != 0, seen).alias("last_seen"),
+            (key % 400).alias("company"),
+            F.col("p_name").alias("name"),
+        )
+
+    def filings(self) -> DataFrame:
+        """A filing index from orders."""
+        form = (
+            F.when(F.col("o_orderpriority") == "1-URGENT", "10-K")
+            .when(F.col("o_orderpriority") == "2-HIGH", "10-K/A")
+            .when(F.col("o_orderpriority") == "3-MEDIUM", "10-Q")
+            .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "8-K")
+            .otherwise("4")
+        )
+        status = (
+            F.when(F.col("o_orderstatus") == "F", "loaded")
+            .when(F.col("o_orderstatus") == "O", "not_loaded")
+            .otherwise("failed")
+        )
+        version = F.when(F.col("o_orderkey") % 3 == 1, "2026.09-5").when(
+            F.col("o_orderkey") % 3 == 2, "old"
+        )
+        return self.orders.select(
+            F.col("o_custkey").alias("company"),
+            F.col("o_orderkey").alias("accession"),
+            F.to_date("o_orderdate").alias("filed_date"),
+            form.alias("form"),
+            status.alias("status"),
+            version.alias("version"),
+        )
+
+    def fetched_bars(self) -> DataFrame:
+        """Bars with the fetch that supplied them and its adjusted close."""
+        adjusted = F.when(F.dayofmonth("trade_date") % 2 == 0, F.col("close") / 2)
+        return self.raw_bars().withColumn(
+            "fetch_id", F.month("trade_date").cast("bigint")
+        ).withColumn("adj_close", adjusted)
+
     # --- ownership and insiders ----------------------------------------------------------
 
     def holdings(self) -> DataFrame:
