@@ -38,3 +38,92 @@ TENOR_MONTHS = {
 }
 
 EXTRACTOR_VERSION = "2026.09-5"
+
+# Statement line items as (item, kind, unit, concepts in priority order).
+LINE_ITEMS = (
+    ("revenue", "flow", "USD", (
+        "RevenueFromContractWithCustomerExcludingAssessedTax", "Revenues", "SalesRevenueNet",
+        "RevenueFromContractWithCustomerIncludingAssessedTax", "RevenuesNetOfInterestExpense")),
+    ("cost_of_revenue", "flow", "USD", (
+        "CostOfGoodsAndServicesSold", "CostOfRevenue", "CostOfGoodsSold", "CostOfServices")),
+    ("gross_profit", "flow", "USD", ("GrossProfit",)),
+    ("research_development", "flow", "USD", ("ResearchAndDevelopmentExpense",)),
+    ("sga", "flow", "USD", ("SellingGeneralAndAdministrativeExpense",)),
+    ("operating_income", "flow", "USD", ("OperatingIncomeLoss",)),
+    ("interest_expense", "flow", "USD", (
+        "InterestExpense", "InterestExpenseNonoperating", "InterestExpenseDebt")),
+    ("pretax_income", "flow", "USD", (
+        "IncomeLossFromContinuingOperationsBeforeIncomeTaxesExtraordinaryItems"
+        "NoncontrollingInterest",
+        "IncomeLossFromContinuingOperationsBeforeIncomeTaxesMinorityInterestAnd"
+        "IncomeLossFromEquityMethodInvestments")),
+    ("income_tax", "flow", "USD", ("IncomeTaxExpenseBenefit",)),
+    ("net_income", "flow", "USD", (
+        "NetIncomeLoss", "ProfitLoss", "NetIncomeLossAvailableToCommonStockholdersBasic")),
+    ("eps_basic", "nonadditive", "USD/shares", (
+        "EarningsPerShareBasic", "EarningsPerShareBasicAndDiluted")),
+    ("eps_diluted", "nonadditive", "USD/shares", (
+        "EarningsPerShareDiluted", "EarningsPerShareBasicAndDiluted")),
+    ("shares_basic", "nonadditive", "shares", (
+        "WeightedAverageNumberOfSharesOutstandingBasic",)),
+    ("shares_diluted", "nonadditive", "shares", (
+        "WeightedAverageNumberOfDilutedSharesOutstanding",)),
+    ("cash", "instant", "USD", (
+        "CashAndCashEquivalentsAtCarryingValue",
+        "CashCashEquivalentsRestrictedCashAndRestrictedCashEquivalents")),
+    ("short_term_investments", "instant", "USD", (
+        "ShortTermInvestments", "MarketableSecuritiesCurrent",
+        "AvailableForSaleSecuritiesDebtSecuritiesCurrent")),
+    ("receivables", "instant", "USD", (
+        "AccountsReceivableNetCurrent", "ReceivablesNetCurrent")),
+    ("inventory", "instant", "USD", ("InventoryNet",)),
+    ("current_assets", "instant", "USD", ("AssetsCurrent",)),
+    ("total_assets", "instant", "USD", ("Assets",)),
+    ("accounts_payable", "instant", "USD", ("AccountsPayableCurrent",)),
+    ("current_liabilities", "instant", "USD", ("LiabilitiesCurrent",)),
+    ("short_term_debt", "instant", "USD", (
+        "DebtCurrent", "LongTermDebtCurrent", "ShortTermBorrowings")),
+    ("long_term_debt", "instant", "USD", (
+        "LongTermDebtNoncurrent", "LongTermDebtAndCapitalLeaseObligations")),
+    ("total_liabilities", "instant", "USD", ("Liabilities",)),
+    ("total_equity", "instant", "USD", (
+        "StockholdersEquity",
+        "StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest")),
+    ("common_shares_outstanding", "instant", "shares", ("CommonStockSharesOutstanding",)),
+    ("operating_cash_flow", "flow", "USD", (
+        "NetCashProvidedByUsedInOperatingActivities",
+        "NetCashProvidedByUsedInOperatingActivitiesContinuingOperations")),
+    ("capex", "flow", "USD", (
+        "PaymentsToAcquirePropertyPlantAndEquipment", "PaymentsToAcquireProductiveAssets")),
+    ("depreciation_amortization", "flow", "USD", (
+        "DepreciationDepletionAndAmortization", "DepreciationAndAmortization",
+        "DepreciationAmortizationAndAccretionNet")),
+    ("stock_based_compensation", "flow", "USD", (
+        "ShareBasedCompensation", "AllocatedShareBasedCompensationExpense")),
+    ("dividends_paid", "flow", "USD", (
+        "PaymentsOfDividends", "PaymentsOfDividendsCommonStock")),
+    ("buybacks", "flow", "USD", ("PaymentsForRepurchaseOfCommonStock",)),
+    ("dividends_per_share", "flow", "USD/shares", (
+        "CommonStockDividendsPerShareDeclared", "CommonStockDividendsPerShareCashPaid")),
+    ("investing_cash_flow", "flow", "USD", ("NetCashProvidedByUsedInInvestingActivities",)),
+    ("financing_cash_flow", "flow", "USD", ("NetCashProvidedByUsedInFinancingActivities",)),
+)
+COVER_CONCEPT = "EntityCommonStockSharesOutstanding"
+ACCEPTED_FORMS = ("10-K", "10-K/A", "10-Q", "10-Q/A", "10-KT", "10-KT/A")
+# Funds that stand for markets and are listed even when the directory lacks them.
+REFERENCE_TICKERS = ("SPY", "QQQ", "IWM", "DIA", "TLT", "GLD")
+
+
+def tracked_concepts() -> list[tuple[str, str, str]]:
+    """(taxonomy, concept, unit) triples that ingestion keeps."""
+    rows = {("us-gaap", c, unit) for _, _, unit, concepts in LINE_ITEMS for c in concepts}
+    return sorted(rows | {("dei", COVER_CONCEPT, "shares")})
+
+
+def concept_rows() -> list[tuple[str, str, str, str, int]]:
+    """(item, kind, unit, concept, priority) rows for joins."""
+    return [
+        (item, kind, unit, concept, place)
+        for item, kind, unit, concepts in LINE_ITEMS
+        for place, concept in enumerate(concepts)
+    ]

@@ -14,4 +14,4 @@ def load_all() -> dict:
     return REGISTRY
 
 
-MODULES = ("prices", "pit", "crosssection", "screens")
+MODULES = ("ingest", "prices", "pit", "crosssection", "screens")
