@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from tidemark.sources.views import CONCEPT_OF, INSTANT_CONCEPTS, SHARE_CONCEPTS
+
 VIEWS: dict[str, str] = {
     "v_raw_bars": """
         SELECT p_brand AS security_id, CAST(l_shipdate AS DATE) AS trade_date,
@@ -61,6 +63,35 @@ VIEWS: dict[str, str] = {
                make_date(year(period_end), 12, 31) - 364 AS period_start, value, filed_date,
                accession, line, part
         FROM v_facts""",
+    "v_filed_facts": """
+        SELECT company, taxonomy, concept, unit, period_start, period_end, fiscal_year,
+               fiscal_period, accession, filed_date, max(value) AS value FROM (
+          SELECT company, CASE WHEN concept = 'EntityCommonStockSharesOutstanding' THEN 'dei'
+                 ELSE 'us-gaap' END AS taxonomy, concept,
+                 CASE WHEN shares THEN 'shares' ELSE 'USD' END AS unit,
+                 CASE WHEN instant THEN NULL WHEN full_year OR line = 2
+                      THEN make_date(y, 1, 1) ELSE make_date(y, qn * 3 - 2, 1) END AS period_start,
+                 e AS period_end, y AS fiscal_year,
+                 CASE WHEN full_year THEN 'FY' ELSE 'Q' END AS fiscal_period,
+                 lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS accession,
+                 e + CAST(20 + l_orderkey % 200 AS INTEGER) AS filed_date,
+                 CASE WHEN shares THEN CAST(1000 * (1 + company % 5) AS DOUBLE)
+                      * CASE WHEN l_orderkey % 100 < 3 THEN 2 ELSE 1 END
+                      ELSE l_extendedprice END AS value
+          FROM (SELECT *, line = 1 AND y < 2001 AND NOT instant AS full_year,
+                       CAST(CASE WHEN line = 1 AND y < 2001 AND NOT instant
+                         THEN make_date(y, 12, 31)
+                         ELSE last_day(make_date(y, qn * 3, 1)) END AS DATE) AS e
+                FROM (SELECT l_suppkey AS company, l_orderkey, l_extendedprice,
+                        l_linenumber % 4 AS line, CAST(year(o_orderdate) AS INTEGER) AS y,
+                        CAST(quarter(o_orderdate) AS INTEGER) AS qn,
+                        concepts[l_partkey % 16 + 1] AS concept,
+                        list_contains(instants, concepts[l_partkey % 16 + 1]) AS instant,
+                        list_contains(sharers, concepts[l_partkey % 16 + 1]) AS shares
+                      FROM lineitem JOIN orders ON l_orderkey = o_orderkey,
+                        (SELECT __CONCEPTS__ AS concepts, __INSTANTS__ AS instants,
+                                __SHARES__ AS sharers))))
+        GROUP BY ALL""",
     "v_registrants": """
         SELECT o_custkey * 10 + yr % 10 AS company,
                'Firm ' || CAST((o_custkey // 7) % 40 AS VARCHAR)
@@ -168,6 +199,18 @@ VIEWS: dict[str, str] = {
                     FROM documents))""",
 }
 
+
+def _list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+VIEWS["v_filed_facts"] = (
+    VIEWS["v_filed_facts"]
+    .replace("__CONCEPTS__", _list(CONCEPT_OF))
+    .replace("__INSTANTS__", _list(INSTANT_CONCEPTS))
+    .replace("__SHARES__", _list(SHARE_CONCEPTS))
+)
+
 _NAME = re.compile(r"\bv_[a-z_0-9]+\b")
 
 

@@ -22,6 +22,25 @@ TENOR_OF = {
 }
 
 
+# Concepts standing for part-key remainders in the filed-facts view.
+CONCEPT_OF = (
+    "Revenues", "CostOfRevenue", "NetIncomeLoss", "NetCashProvidedByUsedInOperatingActivities",
+    "Assets", "StockholdersEquity", "WeightedAverageNumberOfDilutedSharesOutstanding",
+    "EntityCommonStockSharesOutstanding", "RevenueFromContractWithCustomerExcludingAssessedTax",
+    "OperatingIncomeLoss", "DepreciationDepletionAndAmortization", "LongTermDebtNoncurrent",
+    "CashAndCashEquivalentsAtCarryingValue", "PaymentsToAcquirePropertyPlantAndEquipment",
+    "CommonStockSharesOutstanding", "WeightedAverageNumberOfSharesOutstandingBasic",
+)
+INSTANT_CONCEPTS = (
+    "Assets", "StockholdersEquity", "EntityCommonStockSharesOutstanding", "LongTermDebtNoncurrent",
+    "CashAndCashEquivalentsAtCarryingValue", "CommonStockSharesOutstanding",
+)
+SHARE_CONCEPTS = (
+    "WeightedAverageNumberOfDilutedSharesOutstanding", "EntityCommonStockSharesOutstanding",
+    "CommonStockSharesOutstanding", "WeightedAverageNumberOfSharesOutstandingBasic",
+)
+
+
 class Tables:
     """Parquet tables of one folder, and the domain views over them."""
 
@@ -117,6 +136,47 @@ class Tables:
             .agg((F.max("o_totalprice") / 1e7).alias("value"))
         )
 
+    def filed_facts(self) -> DataFrame:
+        """Tagged facts with fiscal periods: a concept per part, a span per line number, filed 20
+        to 219 days after the period. The last year has no annual filing yet."""
+        orders = self.orders.select("o_orderkey", F.to_date("o_orderdate").alias("ordered"))
+        rows = self.lineitem.join(orders, F.expr("l_orderkey = o_orderkey"))
+        kind = F.col("l_partkey") % 16
+        concept = F.element_at(
+            F.array(*[F.lit(c) for c in CONCEPT_OF]), (kind + 1).cast("int")
+        )
+        instant = concept.isin(*INSTANT_CONCEPTS)
+        shares = concept.isin(*SHARE_CONCEPTS)
+        year = F.year("ordered")
+        line = F.col("l_linenumber") % 4
+        full_year = (line == 1) & (year < 2001) & ~instant
+        quarter_end = F.last_day(F.add_months(F.trunc("ordered", "quarter"), 2))
+        jan = F.trunc("ordered", "year")
+        end = F.when(full_year, F.make_date(year, F.lit(12), F.lit(31))).otherwise(quarter_end)
+        start = F.when(instant, F.lit(None)).when(full_year | (line == 2), jan).otherwise(
+            F.trunc("ordered", "quarter")
+        )
+        value = F.when(
+            shares,
+            (1000 * (1 + F.col("l_suppkey") % 5)).cast("double")
+            * F.when(F.col("l_orderkey") % 100 < 3, 2.0).otherwise(1.0),
+        ).otherwise(F.col("l_extendedprice"))
+        tagged = rows.select(
+            F.col("l_suppkey").alias("company"),
+            F.when(concept == "EntityCommonStockSharesOutstanding", "dei").otherwise("us-gaap").alias("taxonomy"),
+            concept.alias("concept"),
+            F.when(shares, "shares").otherwise("USD").alias("unit"),
+            start.alias("period_start"),
+            end.alias("period_end"),
+            value.alias("value"),
+            year.alias("fiscal_year"),
+            F.when(full_year, "FY").otherwise("Q").alias("fiscal_period"),
+            F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("accession"),
+            F.date_add(end, (20 + F.col("l_orderkey") % 200).cast("int")).alias("filed_date"),
+        )
+        key = [c for c in tagged.columns if c != "value"]
+        return tagged.groupBy(*key).agg(F.max("value").alias("value"))
+
     def annual(self) -> DataFrame:
         """Annual facts: fiscal years end with the order's calendar year."""
         facts = self.facts()
