@@ -29,7 +29,8 @@ def zscores(features: DataFrame, minimum: int = 10) -> DataFrame:
     """Winsorised z-scores per date and feature: clipped at the 1st and 99th percentiles,
     population deviation, at least `minimum` values."""
     by = ["as_of", "feature"]
-    positions = R.value_positions(features, by, "value")
+    features = cut_lineage(features)  # read four times below
+    positions = cut_lineage(R.value_positions(features, by, "value"))
     bounds = R.quantiles(positions, by, "value", {"low": 0.01, "high": 0.99})
     clip = F.greatest("low", F.least("high", "value"))
     counted = positions.join(bounds.drop("n"), by).where(F.col("n") >= minimum)

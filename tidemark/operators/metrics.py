@@ -298,8 +298,10 @@ def volatility_1y(prices: DataFrame) -> DataFrame:
 
 def snapshot_metrics(facts: DataFrame, prices: DataFrame, as_of=None) -> DataFrame:
     """Latest screenable metrics per company with their basis and the day they became known."""
-    cells_q = S.statements(facts, "quarterly", as_of)
-    cells_a = S.statements(facts, "annual", as_of)
+    known = S.prepared(facts, as_of)
+    years = S.fiscal_years(known)
+    cells_q = S.build_statements(known, years, "quarterly")
+    cells_a = S.build_statements(known, years, "annual")
     rows = wide_basis(ttm_basis(cells_q).unionByName(fy_basis(cells_a)))
     v = basis_values()
     formulas = {"revenue": v.cur("revenue")} | {m: METRICS[m][0](v) for m in BASIS_METRICS}

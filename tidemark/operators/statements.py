@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.lookups import COVER_CONCEPT, concept_rows
+from tidemark.session import cut_lineage
 
 SPLIT_GAP_DAYS = 400
 MAX_SHARE_AGE_DAYS = 400
@@ -239,7 +240,7 @@ def fiscal_years(known: DataFrame) -> DataFrame:
         "company", "fiscal_year", "start", F.element_at("ends", -1).alias("end"),
         F.col("ends").alias("quarter_ends"), F.lit(False).alias("complete"),
     )
-    return complete.unionByName(progress)
+    return cut_lineage(complete.unionByName(progress))
 
 
 def annual_periods(years: DataFrame) -> DataFrame:
@@ -383,18 +384,26 @@ def with_gross_profit(cells: DataFrame) -> DataFrame:
 
 
 def prepared(facts: DataFrame, as_of=None) -> DataFrame:
-    """Split-adjusted latest facts with exact decimal values."""
+    """Split-adjusted latest facts with exact decimal values.
+
+    Every later step reads them several times, so they are written once to the shared folder."""
     exact = facts.withColumn("value", F.col("value").cast("decimal(38,10)"))
-    return latest_known(split_adjusted(exact, as_of), as_of)
+    return cut_lineage(latest_known(split_adjusted(exact, as_of), as_of))
 
 
 def statements(facts: DataFrame, period_type: str, as_of=None) -> DataFrame:
     """Annual or quarterly statements as long cells; periods without any value have no rows."""
     known = prepared(facts, as_of)
-    years = fiscal_years(known)
+    return build_statements(known, fiscal_years(known), period_type)
+
+
+def build_statements(known: DataFrame, years: DataFrame, period_type: str) -> DataFrame:
+    """Statements from prepared facts; both period types can share one preparation."""
     if period_type == "annual":
-        return with_gross_profit(annual_cells(known, annual_periods(years)))
-    return with_gross_profit(quarter_cells(known, quarter_periods(years)))
+        cells = annual_cells(known, annual_periods(years))
+    else:
+        cells = quarter_cells(known, quarter_periods(years))
+    return cut_lineage(with_gross_profit(cut_lineage(cells)))
 
 
 # --- Share counts -------------------------------------------------------------------------

@@ -39,7 +39,7 @@ KNOWN_SQL = f"""{SPLITS_SQL},
     known AS (SELECT company, taxonomy, concept, unit, period_start, period_end,
         arg_max(value, row(filed_date, accession)) AS value,
         arg_max(accession, row(filed_date, accession)) AS accession,
-        max(filed_date) AS filed_date, arg_max(note, row(filed_date, accession)) AS note
+        max(filed_date) AS filed_date, arg_max(row(note), row(filed_date, accession))[1] AS note
         FROM adjusted GROUP BY 1, 2, 3, 4, 5, 6)"""
 YEARS_SQL = f"""{KNOWN_SQL},
     full_years AS (SELECT DISTINCT company, year(period_end) AS y FROM known
