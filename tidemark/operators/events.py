@@ -1,24 +1,343 @@
-"""Headlines and events: linking, classification, novelty and story clusters."""
+"""Headlines and events: linking, classification, novelty, story clusters and alerts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.lookups import (
+    CLASSIFIER_VERSION,
+    EIGHT_K_TITLES,
+    EIGHT_K_TYPES,
+    EVENT_TYPES,
+    HEADLINE_RULES,
+    NAME_ENDINGS,
+    STOP_WORDS,
+)
+from tidemark.session import cut_lineage
+
 NOVELTY_US = 72 * 3600 * 1_000_000
+REPEAT_OVERLAP = 0.5
 
 
-def recent_window(news: DataFrame, span: int = NOVELTY_US) -> DataFrame:
-    """Per headline: how many of the company's headlines came in the span before it, and the
-    first of them. A company is cut into spans; each row also visits the next span as context,
-    so a hot company is spread over time."""
-    slot = F.floor(F.col("seen_us") / span)
-    rows = news.select("news_id", "company", "seen_us", slot.alias("_own")).withColumn(
+def in_spans(rows: DataFrame, span: int = NOVELTY_US) -> DataFrame:
+    """Each row in its own time span and, as context, in the next one. Trailing windows of one
+    span then see all they need inside (key, _slot), and a hot key is spread over time."""
+    own = F.floor(F.col("seen_us") / span)
+    return rows.withColumn("_own", own).withColumn(
         "_slot", F.explode(F.array(F.col("_own"), F.col("_own") + 1))
     )
+
+
+def recent_window(news: DataFrame, span: int = NOVELTY_US) -> DataFrame:
+    """Per headline: how many of the company's headlines came in the span before it, and the
+    lowest id among them and itself."""
+    rows = in_spans(news.select("news_id", "company", "seen_us"), span)
     frame = Window.partitionBy("company", "_slot").orderBy("seen_us").rangeBetween(-span, 0)
     counted = rows.withColumn("earlier", F.count(F.lit(1)).over(frame) - 1).withColumn(
         "first_id", F.min("news_id").over(frame)
     )
     return counted.where("_slot = _own").select("news_id", "company", "earlier", "first_id")
+
+
+# --- Linking and classification -----------------------------------------------------------
+
+
+def short_name(legal_name: Column, rounds: int = 5) -> Column:
+    """Name as headlines write it: legal endings removed, all-capital names title-cased."""
+    name = F.regexp_replace(F.replace(legal_name, F.lit("&amp;"), F.lit("&")), r"\s+", " ")
+    name = F.trim(name)
+    for _ in range(rounds):
+        name = F.regexp_replace(F.regexp_replace(name, NAME_ENDINGS, ""), r"^[ ,.]+|[ ,.]+$", "")
+    words = F.transform(
+        F.split(name, " "), lambda w: F.when(F.length(w) <= 3, w).otherwise(F.initcap(F.lower(w)))
+    )
+    capitals = (name == F.upper(name)) & (name != F.lower(name))
+    return F.when(capitals, F.array_join(words, " ")).otherwise(name)
+
+
+def _literal(text: Column) -> Column:
+    return F.concat(F.lit(r"\Q"), text, F.lit(r"\E"))
+
+
+def mention(title: Column, name: Column, ticker: Column) -> Column:
+    """How a headline names a company: title_ticker, title_name, or query_only (low confidence)."""
+    t = _literal(ticker)
+    exchange = F.concat(
+        F.lit(r"(?i)\((?:(?:nyse|nasdaq|nyse american|amex|otc)\s*:\s*)?"), t, F.lit(r"\)")
+    )
+    cash = F.concat(F.lit(r"\$"), t, F.lit(r"\b"))
+    bare = F.concat(F.lit(r"\b"), t, F.lit(r"\b"))
+    named = F.concat(F.lit(r"(?i)\b"), _literal(name), F.lit(r"(?:'s)?\b"))
+    by_ticker = (
+        F.regexp_like(title, exchange)
+        | F.regexp_like(title, cash)
+        | ((F.length(ticker) >= 3) & F.regexp_like(title, bare))
+    )
+    return (
+        F.when(by_ticker, "title_ticker")
+        .when((name != "") & F.regexp_like(title, named), "title_name")
+        .otherwise("query_only")
+    )
+
+
+def headline_type(title: Column) -> Column:
+    found = F.lit("other")
+    for kind, pattern in reversed(HEADLINE_RULES):
+        found = F.when(title.rlike(f"(?i){pattern}"), F.lit(kind)).otherwise(found)
+    return found
+
+
+def matched_words(title: Column) -> Column:
+    """The words that decided a headline's type."""
+    found = F.lit(None).cast("string")
+    for _, pattern in reversed(HEADLINE_RULES):
+        text = F.regexp_extract(title, f"(?i){pattern}", 0)
+        found = F.when(text != "", text).otherwise(found)
+    return found
+
+
+def filing_type(items: Column) -> Column:
+    """The most consequential event type among a report's items."""
+    place = {i: EVENT_TYPES.index(kind) for i, kind in EIGHT_K_TYPES.items()}
+    table = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])
+    best = F.array_min(F.array_compact(F.transform(items, lambda i: F.try_element_at(table, i))))
+    names = F.array(*[F.lit(k) for k in EVENT_TYPES])
+    return F.coalesce(F.try_element_at(names, best + 1), F.lit("disclosure"))
+
+
+def filing_title(form: Column, items: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in EIGHT_K_TITLES.items() for x in pair])
+    described = F.transform(
+        F.filter(items, lambda i: (i != "9.01") & F.map_contains_key(table, i)),
+        lambda i: F.concat(i, F.lit(" "), F.try_element_at(table, i)),
+    )
+    text = F.array_join(described, "; ")
+    return F.substring(
+        F.concat(form, F.lit(": "), F.when(text != "", text).otherwise("Current report")), 1, 500
+    )
+
+
+def filing_events(filings: DataFrame, events: DataFrame) -> DataFrame:
+    """One event per current report that has none; primary sources are always first reports."""
+    todo = filings.where(F.col("form").isin("8-K", "8-K/A")).join(events, "accession", "left_anti")
+    return todo.select(
+        "company", "accession", filing_type(F.col("items")).alias("event_type"),
+        filing_title(F.col("form"), F.col("items")).alias("title"),
+        F.coalesce("accepted_at", F.col("filed_date").cast("timestamp")).alias("occurred_at"),
+        F.lit("first").alias("novelty"), F.lit(CLASSIFIER_VERSION).alias("version"),
+    )
+
+
+def reclassify(events: DataFrame) -> DataFrame:
+    """Relabel events of an older rule version; novelty and clusters stay."""
+    stale = ~F.col("version").eqNullSafe(CLASSIFIER_VERSION)
+    return events.withColumn(
+        "event_type", F.when(stale, headline_type(F.col("title"))).otherwise(F.col("event_type"))
+    ).withColumn("version", F.lit(CLASSIFIER_VERSION))
+
+
+def dedupe(news: DataFrame) -> DataFrame:
+    """One row per provider and address, the earliest seen."""
+    keyed = news.withColumn("url_sha256", F.sha2("url", 256))
+    rest = [c for c in keyed.columns if c not in ("provider", "url_sha256")]
+    first = F.min_by(F.struct(*rest), F.struct("seen_us", "news_id")).alias("_row")
+    return keyed.groupBy("provider", "url_sha256").agg(first).select("provider", "url_sha256", "_row.*")
+
+
+# --- Novelty ------------------------------------------------------------------------------
+
+
+def story_words(title: Column) -> Column:
+    """Sorted distinct words of a headline without stop words and single letters."""
+    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    words = F.regexp_extract_all(F.lower(title), F.lit("([a-z0-9]+)"), 1)
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    both = F.size(a) + F.size(b) - shared
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / both).otherwise(0.0)
+
+
+def _similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
+    """Word-set pairs of a company that reach the overlap and occur in neighbouring spans.
+
+    Sets that overlap enough share one of their rarest words (prefix filtering), so pairs meet
+    only there; copies of a set count once per span."""
+    sets = rows.groupBy("company", "key", "_slot").agg(
+        F.first("words").alias("words"), F.max((F.col("_slot") == F.col("_own")).cast("int")).alias("_here")
+    )
+    token = sets.where("_here = 1").select("company", "key", F.explode("words").alias("token"))
+    counts = token.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    placed = sets.select("company", "_slot", "key", "words", "_here", F.explode("words").alias("token")).join(counts, "token")
+    rare = placed.groupBy("company", "_slot", "key", "_here").agg(
+        F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order")
+    )  # the words of one headline
+    length = F.size("words") - F.ceil(F.size("words") * F.lit(threshold)) + 1
+    prefix = rare.withColumn("token", F.explode(F.slice("order", F.lit(1), length.cast("int"))["token"]))
+    left = prefix.where("_here = 1").select("company", "_slot", "token", "key", "words")
+    right = prefix.select("company", "_slot", "token", F.col("key").alias("other"), F.col("words").alias("other_words"))
+    met = left.join(right, ["company", "_slot", "token"]).where(F.col("key") != F.col("other"))
+    pairs = met.groupBy("company", "_slot", "key", "other").agg(
+        F.first("words").alias("words"), F.first("other_words").alias("other_words")
+    ).withColumn("score", jaccard(F.col("words"), F.col("other_words")))
+    return pairs.where(F.col("score") >= threshold).select("company", "_slot", "key", "other", "score")
+
+
+def novelty(news: DataFrame, threshold: float = REPEAT_OVERLAP, span: int = NOVELTY_US) -> DataFrame:
+    """Per headline the most similar earlier one of the company within the span, when it reaches
+    the overlap; ties go to the lowest id. Similarity under the threshold is not reported.
+
+    Earlier headlines are found by trailing windows over each word set, never by pairing rows."""
+    words = story_words(F.col("title"))
+    rows = news.select("news_id", "company", "seen_us", words.alias("words"))
+    rows = rows.withColumn("key", F.xxhash64(F.array_join("words", " "))).where(F.size("words") > 0)
+    spread = in_spans(rows, span)
+    similar = _similar_sets(spread, threshold)
+    asks = spread.where("_slot = _own").select("news_id", "company", "seen_us", "key", "_slot")
+    own = asks.select("news_id", "company", "seen_us", "_slot", F.col("key").alias("target"), F.lit(1.0).alias("score"))
+    other = asks.join(similar, ["company", "_slot", "key"]).select(
+        "news_id", "company", "seen_us", "_slot", F.col("other").alias("target"), "score"
+    )
+    requests = own.unionByName(other).withColumn("_event", F.lit(None).cast("bigint"))
+    known = spread.select(
+        F.lit(None).cast("bigint").alias("news_id"), "company", "seen_us", "_slot",
+        F.col("key").alias("target"), F.lit(None).cast("double").alias("score"), F.col("news_id").alias("_event"),
+    )
+    frame = (
+        Window.partitionBy("company", "_slot", "target").orderBy("seen_us").rangeBetween(-span, -1)
+    )
+    answered = requests.unionByName(known).withColumn("prior", F.min("_event").over(frame))
+    found = answered.where(F.col("news_id").isNotNull() & F.col("prior").isNotNull())
+    best = F.max(F.struct("score", (-F.col("prior")).alias("_neg"))).alias("b")
+    chosen = found.groupBy("news_id").agg(best).select(
+        "news_id", F.col("b.score").alias("similarity"), (-F.col("b._neg")).alias("prior")
+    )
+    return news.select("news_id", "company", "seen_us").join(chosen, "news_id", "left").withColumn(
+        "novelty", F.when(F.col("prior").isNotNull(), "repeat").otherwise("first")
+    )
+
+
+def story_clusters(judged: DataFrame) -> DataFrame:
+    """Cluster of each headline: the first report its chain of repeats leads to.
+
+    Pointers double each round, so a chain of n repeats takes log2(n) joins."""
+    links = cut_lineage(
+        judged.select("news_id", F.coalesce("prior", "news_id").alias("root"))
+    )
+    while True:
+        up = links.select(F.col("news_id").alias("root"), F.col("root").alias("_up"))
+        links = cut_lineage(
+            links.join(up, "root").select("news_id", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("_moved"))
+        )
+        if not links.where("_moved").limit(1).count():
+            return links.select("news_id", F.col("root").alias("cluster_id"))
+        links = links.drop("_moved")
+
+
+def cluster_sizes(clusters: DataFrame, news: DataFrame) -> DataFrame:
+    """Reports and distinct outlets per story."""
+    joined = clusters.join(news.select("news_id", "domain"), "news_id")
+    return joined.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("size"), F.count_distinct("domain").alias("outlets")
+    )
+
+
+def timeline(events: DataFrame, since, limit: int) -> DataFrame:
+    """Newest first reports since a day with their type's count, and how many are hidden."""
+    day = F.col("occurred_at") >= F.lit(since).cast("timestamp")
+    kept = events.where(day & (F.col("novelty") == "first"))
+    counts = kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("type_count"))
+    hidden = events.where(day).agg(F.count_if(F.col("novelty") != "first").alias("hidden"))
+    page = kept.orderBy(F.desc("occurred_at"), F.desc("news_id")).limit(limit)
+    return page.join(counts, "event_type").crossJoin(F.broadcast(hidden))  # one row
+
+
+def feed(events: DataFrame, watched: DataFrame, limit: int) -> DataFrame:
+    """Newest events of watched companies with an excerpt."""
+    kept = events.join(watched.select("company").distinct(), "company", "left_semi")
+    return kept.orderBy(F.desc("occurred_at"), F.desc("news_id")).limit(limit).withColumn(
+        "excerpt", F.substring("title", 1, 40)
+    )
+
+
+# --- Alerts -------------------------------------------------------------------------------
+
+
+def alert_scope(rules: DataFrame, listings: DataFrame, watchlists: DataFrame) -> DataFrame:
+    """Companies of each rule: its tickers' companies and those on its watchlist."""
+    named = rules.select("rule_id", F.explode("tickers").alias("ticker")).join(
+        listings.where("is_active").select(F.col("ticker"), "company"), "ticker"
+    )
+    watched = rules.where(F.col("watchlist_id").isNotNull()).join(watchlists, "watchlist_id")
+    return named.select("rule_id", "company").unionByName(watched.select("rule_id", "company")).distinct()
+
+
+def _candidates(rows: DataFrame, kind: str, prefix: str, key: Column) -> DataFrame:
+    subject = F.concat(F.lit(f"{prefix}:"), key.cast("string"))
+    return rows.select("rule_id", "company", F.lit(kind).alias("kind"), subject.alias("subject_key"))
+
+
+def alert_candidates(
+    rules: DataFrame, scope: DataFrame, filings: DataFrame, events: DataFrame, trades: DataFrame, closes: DataFrame
+) -> DataFrame:
+    """Matches of every rule: filings, earnings, news, insider trades and price moves.
+
+    `rules`: rule_id, kind, min_value, min_move, since. `closes`: company, trade_date, close."""
+    scoped = scope.join(rules.drop("tickers", "watchlist_id"), "rule_id")
+    of = lambda kind: scoped.where(F.col("kind") == kind).drop("kind")
+    filed = of("filing").join(filings, "company").where(
+        F.col("form").isin("10-K", "10-Q", "8-K", "10-K/A", "10-Q/A", "8-K/A") & (F.col("filed_date") >= F.col("since"))
+    )
+    reported = of("earnings").join(filings, "company").where(
+        (F.col("form") == "8-K") & F.col("is_earnings") & (F.col("filed_date") >= F.col("since"))
+    )
+    news = of("news").join(events, "company").where(
+        (F.col("novelty") == "first") & (F.col("event_day") >= F.col("since"))
+    )
+    bought = of("insider").join(trades, "company").where(
+        (F.col("code") == "P") & (F.col("shares") * F.col("price") >= F.col("min_value")) & (F.col("tx_date") >= F.col("since"))
+    )
+    newest = Window.partitionBy("company").orderBy(F.desc("trade_date"))
+    two = closes.withColumn("_back", F.row_number().over(newest)).where("_back <= 2")
+    moves = two.groupBy("company").agg(
+        F.max("trade_date").alias("last_day"),
+        F.max(F.when(F.col("_back") == 1, F.col("close"))).alias("_now"),
+        F.max(F.when(F.col("_back") == 2, F.col("close"))).alias("_before"),
+    ).where("_before > 0").withColumn("move", F.col("_now") / F.col("_before") - 1)
+    moved = of("price").join(moves, "company").where(F.abs("move") >= F.col("min_move"))
+    parts = [
+        _candidates(filed, "filing", "filing", F.col("accession")),
+        _candidates(reported, "earnings", "event", F.col("accession")),
+        _candidates(news, "news", "event", F.col("news_id")),
+        _candidates(bought, "insider", "insider", F.col("tx_id")),
+        _candidates(moved, "price", "price", F.concat_ws(":", "company", "last_day")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def alert_emit(candidates: DataFrame, stored: DataFrame) -> DataFrame:
+    """Candidates not alerted before, once per (rule, subject)."""
+    fresh = candidates.dropDuplicates(["rule_id", "subject_key"])
+    return fresh.join(stored, ["rule_id", "subject_key"], "left_anti")
+
+
+def alert_list(alerts: DataFrame, rules: DataFrame, limit: int) -> DataFrame:
+    """Newest alerts with their rule's name, and the unread total."""
+    unread = alerts.agg(F.count_if(~F.col("is_read")).alias("unread"))
+    page = alerts.orderBy(F.desc("created_on"), F.desc("alert_id")).limit(limit)
+    return page.join(rules.select("rule_id", "name"), "rule_id", "left").crossJoin(F.broadcast(unread))  # one row
+
+
+def admin_counts(fetches: DataFrame) -> DataFrame:
+    """Fetches by provider and status, and each provider's last success."""
+    return fetches.groupBy("provider").agg(
+        F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"),
+        F.max(F.when(F.col("ok"), F.col("started_us"))).alias("last_success_us"),
+    )
