@@ -14,4 +14,4 @@ def load_all() -> dict:
     return REGISTRY
 
 
-MODULES = ("ingest", "prices", "pit", "crosssection", "screens", "fundamentals", "portfolio", "valuation", "events")
+MODULES = ("ingest", "prices", "pit", "crosssection", "screens", "fundamentals", "portfolio", "valuation", "events", "text")
