@@ -14,4 +14,7 @@ def load_all() -> dict:
     return REGISTRY
 
 
-MODULES = ("ingest", "prices", "pit", "crosssection", "screens", "fundamentals", "portfolio", "valuation", "events", "text")
+MODULES = (
+    "ingest", "prices", "pit", "crosssection", "screens", "fundamentals", "portfolio", "valuation",
+    "events", "text", "models",
+)
