@@ -16,5 +16,5 @@ def load_all() -> dict:
 
 MODULES = (
     "ingest", "prices", "pit", "crosssection", "screens", "fundamentals", "portfolio", "valuation",
-    "events", "text", "models",
+    "events", "text", "models", "markets", "streams",
 )

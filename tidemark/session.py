@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,16 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
     return configure(spark)
 
 
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """A new folder under spark.checkpoint.dir (a temporary one only in local sessions)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can read.")
+        return tempfile.mkdtemp(prefix=f"tidemark-{prefix}-")
+    return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder in spark.checkpoint.dir, so lost executors cost a re-read.
 
@@ -39,10 +50,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can read.")
-            folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(spark, "checkpoint"))
     return df.checkpoint()
