@@ -197,7 +197,7 @@ def rank_ic(preds: DataFrame, by: list[str], minimum: int = 20) -> DataFrame:
     dates = ranked.groupBy(*keys).agg(F.corr("_rp", "_re").alias("ic")).where(F.col("ic").isNotNull() & ~F.isnan("ic"))
     return dates.groupBy(*by).agg(
         F.count(F.lit(1)).alias("dates"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"),
-        (F.avg("ic") / F.stddev_samp("ic") * F.sqrt(F.count(F.lit(1)))).alias("t_stat"),
+        (F.try_divide(F.avg("ic"), F.stddev_samp("ic")) * F.sqrt(F.count(F.lit(1)))).alias("t_stat"),
         F.avg((F.col("ic") > 0).cast("double")).alias("positive_share"),
     )
 

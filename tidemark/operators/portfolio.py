@@ -201,7 +201,8 @@ def drawdown_stats(curve: DataFrame, key: str = "strategy") -> DataFrame:
     rows = curve.withColumn("_peak", F.max("value").over(so_far))
     high = F.when(F.col("value") >= F.col("_peak"), F.col("day"))
     rows = rows.withColumn("_peak_day", F.last(high, ignorenulls=True).over(so_far))
-    rows = rows.withColumn("_dd", F.col("value") / F.col("_peak") - 1)
+    fall = F.when(F.col("_peak") > 0, F.col("value") / F.col("_peak") - 1).otherwise(0.0)
+    rows = rows.withColumn("_dd", fall)
     worst = F.min(F.struct("_dd", "day", "_peak_day")).alias("_w")
     longest = F.max(F.datediff("day", "_peak_day")).alias("longest_drawdown_days")
     return rows.groupBy(key).agg(worst, longest).select(
@@ -215,7 +216,7 @@ def moments(rows: DataFrame, column: str, key: str = "strategy") -> DataFrame:
     stats = rows.groupBy(key).agg(
         F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s"), F.count(column).alias("_n")
     )
-    z = (F.col(column) - F.col("_m")) / F.col("_s")
+    z = F.try_divide(F.col(column) - F.col("_m"), F.col("_s"))
     joined = rows.where(F.col(column).isNotNull()).join(F.broadcast(stats), key)  # one per strategy
     usable = (F.first("_n") >= 3) & (F.first("_s") > 0)
     return joined.groupBy(key).agg(

@@ -66,7 +66,7 @@ def benchmark_returns(bench: DataFrame) -> DataFrame:
         "trade_date",
         "close",
         F.row_number().over(w).cast("bigint").alias("n"),
-        (F.col("close") / F.lag("close").over(w) - 1).alias("ret"),
+        (F.try_divide(F.col("close"), F.lag("close").over(w)) - 1).alias("ret"),
     )
 
 
