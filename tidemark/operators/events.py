@@ -256,6 +256,14 @@ def timeline(events: DataFrame, since, limit: int) -> DataFrame:
     return page.join(counts, "event_type").crossJoin(F.broadcast(hidden))  # one row
 
 
+def news_page(mentions: DataFrame, limit: int) -> DataFrame:
+    """Newest headlines that name their company, and how many uncertain ones are hidden."""
+    sure = F.col("method") != "query_only"
+    hidden = mentions.agg(F.count_if(~sure).alias("hidden"))
+    page = mentions.where(sure).orderBy(F.desc("seen_us"), F.desc("news_id")).limit(limit)
+    return page.crossJoin(F.broadcast(hidden))  # one row
+
+
 def feed(events: DataFrame, watched: DataFrame, limit: int) -> DataFrame:
     """Newest events of watched companies with an excerpt."""
     kept = events.join(watched.select("company").distinct(), "company", "left_semi")

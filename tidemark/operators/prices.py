@@ -376,14 +376,21 @@ def price_features(indexed: DataFrame, bench: DataFrame, minimum_bars: int = 253
         full(F.avg("close"), F.col("close"), w, 200).alias("_sma200"),
         F.count(paired).over(year).alias("_pairs"),
         F.regr_slope(paired, "bench_ret").over(year).alias("_slope"),
-        F.collect_list("idx").over(last_rows(w, 253)).alias("_year"),
-        F.collect_list(change).over(last_rows(w, 59)).alias("_changes"),
     )
     ends = rows.where(
         F.col("_month_last")
         & (F.datediff("as_of", "trade_date") <= 7)
         & (F.col("n") >= minimum_bars)
     )
+    past = indexed.groupBy("security_id").agg(
+        F.array_sort(F.collect_list(F.struct("n", "idx", change.alias("change")))).alias("_past")
+    )  # a security's trading days
+    at = F.col("n").cast("int")
+    ends = ends.join(past, "security_id").select(
+        *[c for c in ends.columns],
+        F.slice("_past", F.greatest(at - 252, F.lit(1)), F.lit(253))["idx"].alias("_year"),
+        F.slice("_past", F.greatest(at - 58, F.lit(1)), F.lit(59))["change"].alias("_changes"),
+    )
     fall = F.aggregate(
         "_year",
         F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst")),

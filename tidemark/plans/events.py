@@ -259,6 +259,17 @@ def timeline(t: Tables):
     )
 
 
+@query(
+    "news",
+    f"""WITH {_HEADLINES} SELECT news_id, company, (SELECT count(*) FROM headlines WHERE news_id % 5 = 4) AS hidden
+        FROM headlines WHERE news_id % 5 <> 4 ORDER BY seen_us DESC, news_id DESC LIMIT 100""",
+)
+def news(t: Tables):
+    c = F.col("company").cast("string")
+    method = N.mention(F.col("headline"), F.concat(F.lit("Firm "), c), F.concat(F.lit("TK"), c))
+    return N.news_page(_headlines(t).withColumn("method", method), 100).select("news_id", "company", "hidden")
+
+
 @query(
     "feed",
     f"""WITH {_HEADLINES} SELECT news_id, company, substr(headline, 1, 40) AS excerpt FROM headlines
