@@ -18,13 +18,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
-    """A session for tests and the local benchmark."""
+    """A session for tests and the local benchmark, with a checkpoint folder of its own."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tidemark")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidemark-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
@@ -33,19 +35,15 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, prefix: str) -> str:
-    """A new folder under spark.checkpoint.dir (a temporary one only in local sessions)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can read.")
-        return tempfile.mkdtemp(prefix=f"tidemark-{prefix}-")
+    """A new folder under spark.checkpoint.dir; beside the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-stages"
     return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder in spark.checkpoint.dir, so lost executors cost a re-read.
 
-    A folder is made up only where none is named and the session is local (tests).
+    Where none is named the folder lies beside the warehouse, which executors share, too.
     """
     spark = df.sparkSession
     context = spark.sparkContext
