@@ -183,11 +183,39 @@ def test_passages_cover_the_text_within_limits():
     assert covered.replace(" ", "").replace("\n", "") == body.replace(" ", "").replace("\n", "")
 
 
-def test_comparison_kinds():
-    before = ["Risk A stays the same.", "Risk B may hurt our sales in Europe a lot.", "Risk C is old."]
-    after = ["Risk A  stays the same.", "Risk B may hurt our sales in Asia a lot.", "Brand new words entirely."]
-    kinds = [k for k, _, _ in text.compare(before, after)]
-    assert sorted(kinds) == ["added", "changed", "removed", "same"]
+def test_comparison_kinds(spark):
+    before = ["Risk A stays the same.", "Risk B may hurt our sales in Europe a lot.", "Risk C is old.", "End."]
+    after = ["Risk A  stays the same.", "Risk B may hurt our sales in Asia a lot.", "Brand new words entirely.", "End."]
+    frame = lambda d: spark.createDataFrame([(1, k, t) for k, t in enumerate(d)], "pair long, ordinal int, text string")
+    rows = text.diff_paragraphs(frame(before), frame(after), "pair")
+    found = [(r["kind"], r["before"], r["after"]) for r in rows.orderBy("block").collect()]
+    assert [k for k, *_ in found] == ["same", "changed", "removed", "added", "same"]
+    assert found[1] == ("changed", before[1], after[1])
+    total = text.diff_summary(rows, "pair").first()
+    assert tuple(total) == (1, 2, 1, 1, 1, 5, 5)
+
+
+def test_comparison_of_long_versions(spark):
+    """Many paragraphs on both sides are still compared, and each side can be put together from the blocks."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    before = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(150)]
+    after = []
+    for p in before:
+        kind = rng.random()
+        if kind < 0.6:
+            w = p.split()
+            w[rng.randrange(20)] = "edited"
+            after.append(" ".join(w))
+        elif kind < 0.8:
+            after.append(p)
+        if rng.random() < 0.1:
+            after.append(" ".join(rng.choice(words) for _ in range(20)) + " fresh")
+    frame = lambda d: spark.createDataFrame([(1, k, t) for k, t in enumerate(d)], "pair long, ordinal int, text string")
+    found = text.diff_paragraphs(frame(before), frame(after), "pair").orderBy("block").collect()
+    assert [r["before"] for r in found if r["before"] is not None] == before
+    assert [r["after"] for r in found if r["after"] is not None] == after
+    assert sum(r["kind"] == "changed" for r in found) > 70
 
 
 def test_sections_skip_the_contents_table(spark):
@@ -207,6 +235,22 @@ def test_html_paragraphs(spark):
     assert [r["text"] for r in text.html_paragraphs(frame, "page_id", "html").orderBy("ordinal").collect()] == ["One & two", "a | b"]
 
 
+def test_unclosed_markup_hides_nothing_else(spark):
+    pages = ["<html><head><title>x</title><body><p>Hello body</p></body></html>", '<p style="display:none">hid<p>later',
+             "<td><div style='display:none'>hid</td><td>shown</td>", "<ul><li style='display:none'>a<li>b</ul>"]
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    found = {r["page_id"]: r["text"] for r in text.html_paragraphs(frame, "page_id", "html").collect()}
+    assert found == {0: "Hello body", 1: "later", 2: "shown", 3: "b"}
+
+
+def test_unknown_current_report_items_keep_their_text(spark):
+    lines = ["Item 2.02 Results of Operations", "Sales rose.", "Item 9.99 Something New", "New text.", "Item 8.01 Other Events", "Late."]
+    frame = spark.createDataFrame([(1, "8-K", i, t) for i, t in enumerate(lines)], "filing long, form string, ordinal int, text string")
+    found = {r["key"]: r["text"] for r in text.sections(frame).collect()}
+    assert found["item_2.02"] == "Sales rose." and "New text." in "".join(found.values())
+    assert not any("New text." in t for k, t in found.items() if k == "item_2.02")
+
+
 def test_leakage_is_refused(rows):
     one = lambda schema, row: rows(schema, [row])
     price = one("as_of date, company int, mom double, price_used date", ("2024-01-31", 1, 0.1, "2024-01-30"))

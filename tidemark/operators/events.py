@@ -44,12 +44,14 @@ def recent_window(news: DataFrame, span: int = NOVELTY_US) -> DataFrame:
 # --- Linking and classification -----------------------------------------------------------
 
 
-def short_name(legal_name: Column, rounds: int = 5) -> Column:
-    """Name as headlines write it: legal endings removed, all-capital names title-cased."""
+#: Any number of legal endings one after another.
+ALL_ENDINGS = f"(?i)(?:{NAME_ENDINGS.removeprefix('(?i)').removesuffix('$')}[ ,.]*)+$"
+
+
+def short_name(legal_name: Column) -> Column:
+    """Name as headlines write it: all legal endings removed, all-capital names title-cased."""
     name = F.regexp_replace(F.replace(legal_name, F.lit("&amp;"), F.lit("&")), r"\s+", " ")
-    name = F.trim(name)
-    for _ in range(rounds):
-        name = F.regexp_replace(F.regexp_replace(name, NAME_ENDINGS, ""), r"^[ ,.]+|[ ,.]+$", "")
+    name = F.regexp_replace(F.regexp_replace(F.trim(name), ALL_ENDINGS, ""), r"^[ ,.]+|[ ,.]+$", "")
     words = F.transform(
         F.split(name, " "), lambda w: F.when(F.length(w) <= 3, w).otherwise(F.initcap(F.lower(w)))
     )

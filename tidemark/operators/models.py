@@ -17,12 +17,12 @@ from tidemark.session import cut_lineage
 MIN_TRAIN_YEARS, EMBARGO_DAYS, CALIBRATION_DAYS = 4, 31, 372
 
 
-def daily_levels(bench_indexed: DataFrame) -> DataFrame:
-    """The benchmark's level on every calendar day (the last one known)."""
+def daily_levels(bench_indexed: DataFrame, until: DataFrame) -> DataFrame:
+    """The benchmark's level on every calendar day (the last one known), to the date in `until` (one row, `until`)."""
     w = Window.orderBy("trade_date")  # one row per trading day
-    spans = bench_indexed.select(
+    spans = bench_indexed.crossJoin(F.broadcast(until)).select(
         "trade_date", F.col("idx").alias("level"),
-        F.coalesce(F.date_sub(F.lead("trade_date").over(w), 1), F.date_add("trade_date", 31)).alias("_to"),
+        F.coalesce(F.date_sub(F.lead("trade_date").over(w), 1), F.greatest("trade_date", "until")).alias("_to"),
     )
     return spans.select(F.explode(F.sequence("trade_date", "_to")).alias("day"), "level", F.col("trade_date").alias("bench_day"))
 
@@ -41,7 +41,7 @@ def forward_excess(indexed: DataFrame, bench_indexed: DataFrame, horizon: int) -
         (F.col("_next").isNull() | (F.col("_next") != F.col("as_of")))
         & (F.datediff("as_of", "trade_date") <= 7) & F.col("_then").isNotNull()
     )
-    level = daily_levels(bench_indexed)
+    level = daily_levels(bench_indexed, indexed.agg(F.max(F.last_day("trade_date")).alias("until")))
     start = F.broadcast(level.select(F.col("day").alias("as_of"), F.col("level").alias("_b0"), F.col("bench_day").alias("_d0")))
     end = F.broadcast(level.select(F.col("day").alias("label_end"), F.col("level").alias("_b1"), F.col("bench_day").alias("_d1")))
     joined = base.join(start, "as_of").join(end, "label_end").where(F.col("_d1") > F.col("_d0"))  # calendar-sized
@@ -229,11 +229,11 @@ def segment_metrics(preds: DataFrame, segment: str, minimum: int = 300) -> DataF
 
 
 def interval_forecast(train: DataFrame, new: DataFrame, bins: int = 10) -> DataFrame:
-    """10/50/90% range of results among past rows of the same score bin."""
+    """10/50/90% range of results among past rows of the same score bin; null where the bin has no past rows."""
     place = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")
     past = train.select(place, "excess")
     quant = R.quantiles(R.value_positions(past, ["bin"], "excess"), ["bin"], "excess", {"low": 0.1, "mid": 0.5, "high": 0.9})
-    return new.withColumn("bin", place).join(F.broadcast(quant.drop("n")), "bin")  # one row per bin
+    return new.withColumn("bin", place).join(F.broadcast(quant.drop("n")), "bin", "left")  # one row per bin
 
 
 def quantile_metrics(rows: DataFrame) -> DataFrame:

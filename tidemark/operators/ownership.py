@@ -60,13 +60,15 @@ def drop_outliers(held: DataFrame) -> DataFrame:
 
 
 def top_cusips(held: DataFrame, limit: int = TOP_CUSIPS) -> DataFrame:
-    totals = held.groupBy("cusip").agg(F.sum("value").alias("value"))
-    return totals.orderBy(F.desc("value"), "cusip").limit(limit)
+    """The largest positions of each quarterly set: period, cusip, value."""
+    totals = held.groupBy("period", "cusip").agg(F.sum("value").alias("value"))
+    place = F.row_number().over(Window.partitionBy("period").orderBy(F.desc("value"), "cusip"))  # one row per cusip
+    return totals.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
 
 def company_holdings(held: DataFrame, mapping: DataFrame, limit: int = TOP_CUSIPS) -> DataFrame:
-    """Positions of the top cusips summed per (period, company, manager)."""
-    kept = held.join(top_cusips(held, limit).select("cusip"), "cusip", "left_semi")
+    """Positions of each period's top cusips summed per (period, company, manager)."""
+    kept = held.join(top_cusips(held, limit).select("period", "cusip"), ["period", "cusip"], "left_semi")
     return kept.join(mapping, "cusip").groupBy("period", "company", "manager").agg(
         F.sum("shares").alias("shares"), F.sum("value").alias("value")
     )

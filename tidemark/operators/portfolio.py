@@ -28,12 +28,13 @@ COSTS = {
 }
 
 
-def holding_spans(signals: DataFrame, calendar: DataFrame, search_days: int = 30) -> DataFrame:
-    """Per signal date: the trading day it takes effect and the day the next one does."""
-    tries = signals.select("as_of").distinct().select(
-        "as_of", F.explode(F.sequence(F.date_add("as_of", 1), F.date_add("as_of", search_days))).alias("trade_date")
-    )
-    starts = tries.join(calendar, "trade_date").groupBy("as_of").agg(F.min("trade_date").alias("start"))
+def holding_spans(signals: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Per signal date: the trading day it takes effect (the next one, however far) and the day the next signal does."""
+    days = calendar.select(F.col("trade_date").alias("day"), "trade_date", F.lit(None).cast("date").alias("as_of"))
+    dates = signals.select(F.date_add("as_of", 1).alias("day"), F.lit(None).cast("date").alias("trade_date"), "as_of").distinct()
+    onward = Window.orderBy(F.desc("day")).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # one row per day
+    marks = days.unionByName(dates).withColumn("start", F.min("trade_date").over(onward))
+    starts = marks.where("as_of is not null and start is not null").select("as_of", "start")
     w = Window.orderBy("as_of")  # one row per rebalance
     return starts.withColumn("next_start", F.lead("start").over(w))
 

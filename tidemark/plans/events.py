@@ -10,7 +10,6 @@ from tidemark.functions.lookups import (
     EIGHT_K_TYPES,
     EVENT_TYPES,
     HEADLINE_RULES,
-    NAME_ENDINGS,
     STOP_WORDS,
 )
 from tidemark.operators import events as N
@@ -47,16 +46,14 @@ def _headlines(t: Tables):
     return t.news().withColumn("headline", F.concat(lead, phrase, F.lit(" "), "title"))
 
 
-_STRIP = "legal"
-for _ in range(5):
-    _STRIP = f"regexp_replace(regexp_replace({_STRIP}, '{NAME_ENDINGS}', ''), '^[ ,.]+|[ ,.]+$', '', 'g')"
+_STRIP = f"regexp_replace(regexp_replace(legal, '{N.ALL_ENDINGS}', ''), '^[ ,.]+|[ ,.]+$', '', 'g')"
 
 
 @query(
     "short_name",
     rf"""WITH n AS (SELECT c_custkey AS company, upper(c_mktsegment) || CASE c_custkey % 6
             WHEN 0 THEN ' HOLDINGS, INC.' WHEN 1 THEN ' Co., Ltd.' WHEN 2 THEN ' & Company'
-            WHEN 3 THEN ' Group plc' WHEN 4 THEN ' CORP /DE' ELSE '' END AS legal FROM customer),
+            WHEN 3 THEN ' Group plc' WHEN 4 THEN ' CORP /DE' ELSE ' Holdings Group Co. Ltd., Inc. Corp, plc' END AS legal FROM customer),
         r AS (SELECT company, {_STRIP} AS name FROM n)
         SELECT company, CASE WHEN name = upper(name) AND name <> lower(name) THEN array_to_string(
             list_transform(string_split(name, ' '), lambda w: CASE WHEN length(w) <= 3 THEN w
@@ -66,7 +63,7 @@ def short_name(t: Tables):
     part = F.col("c_custkey") % 6
     ending = (
         F.when(part == 0, " HOLDINGS, INC.").when(part == 1, " Co., Ltd.").when(part == 2, " & Company")
-        .when(part == 3, " Group plc").when(part == 4, " CORP /DE").otherwise("")
+        .when(part == 3, " Group plc").when(part == 4, " CORP /DE").otherwise(" Holdings Group Co. Ltd., Inc. Corp, plc")
     )
     legal = F.concat(F.upper("c_mktsegment"), ending)
     return t.customer.select(F.col("c_custkey").alias("company"), N.short_name(legal).alias("name"))
@@ -162,7 +159,7 @@ _SHARE = "len(list_intersect(a.words, b.words))"
         FROM d a JOIN d b ON b.doc_id = a.doc_id + 1""",
 )
 def overlap(t: Tables):
-    docs = t.documents.select("doc_id", N.story_words(F.substring("text", 1, 120)).alias("words"))
+    docs = t.documents.select("doc_id", N.story_words(F.substring_index("text", "\n", 1)).alias("words"))
     used = docs.join(t.news().select("doc_id").distinct(), "doc_id", "left_semi")
     after = used.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("next"))
     return used.join(after, "doc_id").select("doc_id", qc(N.jaccard(F.col("words"), F.col("next")), "overlap"))

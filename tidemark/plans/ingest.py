@@ -487,7 +487,7 @@ def _fetches(t: Tables):
     """SELECT event_type AS provider, user_id % 20 AS subject,
         count(*) FILTER (value > 5) AS record_count,
         count(*) FILTER (NOT value > 5) AS rejected_count,
-        sha256(min(CAST(event_id AS VARCHAR)) || '|' || max(CAST(event_id AS VARCHAR)))
+        sha256(count(event_id) || '|' || sum(('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 13))::BIGINT)::HUGEINT::VARCHAR)
             AS content_sha256,
         CASE WHEN count(*) FILTER (value > 5) > 0 THEN 'success' ELSE 'error' END AS status
         FROM events GROUP BY 1, 2""",
@@ -611,11 +611,10 @@ def load_outcomes(t: Tables):
 
 @query(
     "replace_slice",
-    """SELECT trade_date, 'v1' AS version, CASE WHEN year(trade_date) = 1999 THEN close * 10
-        ELSE close END AS close FROM v_raw_bars WHERE security_id = 'Brand#1'""",
+    """SELECT security_id AS version, trade_date, CASE WHEN year(trade_date) = 1999 THEN close * 10
+        ELSE close END AS close FROM v_raw_bars""",
 )
 def replace_slice(t: Tables):
-    bars = t.raw_bars().where("security_id = 'Brand#1'").select("trade_date", "close")
-    stored = bars.withColumn("version", F.lit("v1"))
+    stored = t.raw_bars().select("trade_date", "close", F.col("security_id").alias("version"))
     fresh = stored.where(F.year("trade_date") == 1999).withColumn("close", F.col("close") * 10)
     return K.replace_slice(stored, fresh, ["version", "trade_date"])

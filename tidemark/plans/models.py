@@ -47,7 +47,7 @@ def forward_excess(t: Tables):
     return L.forward_excess(_indexed(t), bench, 21).select("security_id", "as_of", "label_end", qc("excess"))
 
 
-MODEL_NAMES = NAMES[:8]
+MODEL_NAMES = NAMES
 
 
 def _dataset(t: Tables):
@@ -185,7 +185,7 @@ def calibration_bins(t: Tables):
 _FORECAST = f"""{_PREDS}, binned AS (SELECT *, least(floor(p * 10), 9) AS bin FROM preds),
     ranges AS (SELECT bin, quantile_cont(excess, 0.1) AS low, quantile_cont(excess, 0.5) AS mid,
         quantile_cont(excess, 0.9) AS high FROM binned WHERE as_of < DATE '2000-01-01' GROUP BY 1),
-    forecast AS (SELECT * FROM binned JOIN ranges USING (bin) WHERE as_of >= DATE '2000-01-01')"""
+    forecast AS (SELECT * FROM binned LEFT JOIN ranges USING (bin) WHERE as_of >= DATE '2000-01-01')"""
 
 
 def _forecast(t: Tables):

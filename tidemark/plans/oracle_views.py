@@ -183,7 +183,7 @@ VIEWS: dict[str, str] = {
         FROM events""",
     "v_news": """
         SELECT event_id AS news_id, user_id AS company, ts AS seen_at, epoch_us(ts) AS seen_us,
-               substr(text, 1, 120) AS title, source AS domain, doc_id
+               split_part(text, chr(10), 1) AS title, source AS domain, doc_id
         FROM events JOIN documents
           ON event_id % (SELECT count(*) FROM documents) = doc_id""",
     "v_passages": """

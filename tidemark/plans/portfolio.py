@@ -23,7 +23,7 @@ WEIGHTS_SQL = """volumes AS (SELECT CAST(last_day(make_date(CAST(year(trade_date
         ORDER BY v DESC, security_id) AS place FROM volumes QUALIFY place <= 10),
     w AS (SELECT as_of, security_id, place, (11 - place) / 60.0::DOUBLE AS weight FROM picks),
     starts AS (SELECT as_of, min(trade_date) AS start FROM (SELECT DISTINCT as_of FROM w)
-        JOIN v_bench ON trade_date > as_of AND trade_date <= as_of + 30 GROUP BY 1),
+        JOIN v_bench ON trade_date > as_of GROUP BY 1),
     spans AS (SELECT as_of, start, lead(start) OVER (ORDER BY as_of) AS next_start FROM starts),
     held AS (SELECT w.*, start, next_start FROM w JOIN spans USING (as_of))"""
 

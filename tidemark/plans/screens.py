@@ -251,8 +251,8 @@ def latest_metrics(t: Tables):
 @query(
     "mixed_basis_flag",
     """SELECT security_id, count(DISTINCT fetch_id) > 1 AS mixed_basis FROM v_fetched_bars
-        WHERE trade_date BETWEEN DATE '1998-03-01' AND DATE '1998-03-31' GROUP BY 1""",
+        WHERE trade_date BETWEEN DATE '1998-03-01' AND DATE '1998-04-30' GROUP BY 1""",
 )
 def mixed_basis_flag(t: Tables):
-    march = F.col("trade_date").between(F.lit("1998-03-01"), F.lit("1998-03-31"))
-    return S.mixed_basis(t.fetched_bars().where(march))
+    spring = F.col("trade_date").between(F.lit("1998-03-01"), F.lit("1998-04-30"))  # fetches are monthly
+    return S.mixed_basis(t.fetched_bars().where(spring))

@@ -324,10 +324,10 @@ def own_outliers(t: Tables):
     return O.drop_outliers(_wide_period(t)).select("period", "cusip", "manager", qc("shares", digits=0))
 
 
-_COMPANY = f"""{_FILINGS}, top AS (SELECT cusip FROM positions GROUP BY 1
-        ORDER BY sum(value) DESC, cusip LIMIT 500),
+_COMPANY = f"""{_FILINGS}, top AS (SELECT period, cusip FROM positions GROUP BY 1, 2
+        QUALIFY row_number() OVER (PARTITION BY period ORDER BY sum(value) DESC, cusip) <= 500),
     held AS (SELECT period, cusip % 40 AS company, manager, sum(shares) AS shares,
-        sum(value) AS value FROM positions SEMI JOIN top USING (cusip) GROUP BY 1, 2, 3)"""
+        sum(value) AS value FROM positions SEMI JOIN top USING (period, cusip) GROUP BY 1, 2, 3)"""
 
 
 def _company_holdings(t: Tables):
@@ -358,8 +358,8 @@ def own_top_holders(t: Tables):
 
 @query(
     "own_map",
-    f"""WITH {_FILINGS}, top AS (SELECT cusip FROM positions GROUP BY 1
-            ORDER BY sum(value) DESC, cusip LIMIT 500),
+    f"""WITH {_FILINGS}, top AS (SELECT DISTINCT cusip FROM (SELECT period, cusip FROM positions GROUP BY 1, 2
+            QUALIFY row_number() OVER (PARTITION BY period ORDER BY sum(value) DESC, cusip) <= 500)),
         offers AS (SELECT p_partkey AS cusip, lower(substr(p_name, 1, 3)) || CAST(p_partkey % 50 AS
             VARCHAR) AS ticker, CASE WHEN p_size % 2 = 0 THEN 'US' ELSE 'LN' END AS exch FROM part
             WHERE p_partkey % 9 <> 0),
@@ -371,7 +371,7 @@ def own_top_holders(t: Tables):
         WHERE t.cusip % 4 <> 0""",
 )
 def own_map(t: Tables):
-    wanted = O.top_cusips(_positions(t), 500).select("cusip")
+    wanted = O.top_cusips(_positions(t), 500).select("cusip").distinct()
     known = t.part.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("cusip"))
     offers = t.part.where("p_partkey % 9 != 0").select(
         F.col("p_partkey").alias("cusip"),

@@ -410,7 +410,7 @@ def articles(payloads: DataFrame) -> DataFrame:
     r = payloads.select(F.explode(F.from_json("payload", _ARTICLES)["articles"]).alias("r"))
     seen = F.try_to_timestamp(F.col("r.seendate"), F.lit("yyyyMMdd'T'HHmmss'Z'"))
     rows = r.select(
-        F.substring("r.url", 1, 2000).alias("url"),
+        F.col("r.url").alias("url"),
         F.substring(plain_title(F.coalesce("r.title", F.lit(""))), 1, 500).alias("title"),
         F.nullif(F.substring("r.domain", 1, 200), F.lit("")).alias("domain"),
         F.nullif(F.substring("r.language", 1, 40), F.lit("")).alias("language"),

@@ -354,7 +354,7 @@ class Tables:
     # --- text ----------------------------------------------------------------------------
 
     def news(self) -> DataFrame:
-        """Headlines: an event of a user about a document's opening words."""
+        """Headlines: an event of a user about a document, with its first line as title."""
         docs = self.documents.select("doc_id", "text", "source")
         count = docs.agg(F.count(F.lit(1)).alias("n_docs"))
         return (
@@ -366,7 +366,7 @@ class Tables:
                 F.col("user_id").alias("company"),
                 F.col("ts").alias("seen_at"),
                 F.unix_micros(F.col("ts").cast("timestamp")).alias("seen_us"),
-                F.substring("text", 1, 120).alias("title"),
+                F.substring_index("text", "\n", 1).alias("title"),
                 F.col("source").alias("domain"),
                 "doc_id",
             )
