@@ -264,3 +264,39 @@ def test_leakage_is_refused(rows):
 def test_probabilistic_sharpe_is_half_without_skill(rows):
     frame = rows("active_sharpe_daily double, n int, active_skew double, active_kurtosis double", [(0.0, 250, 0.0, 3.0)])
     assert frame.select(portfolio.probabilistic_sharpe().alias("p")).first()["p"] == pytest.approx(0.5)
+
+
+def test_names_lose_any_number_of_endings(spark):
+    frame = spark.createDataFrame([("Acme Holdings Group Co., Ltd., Inc. Corp plc",), ("ZETA & COMPANY",), ("Inc",)], "n string")
+    assert [r[0] for r in frame.select(events.short_name(F.col("n"))).collect()] == ["Acme", "Zeta", "Inc"]
+
+
+def test_signals_wait_for_the_next_trading_day(rows):
+    signals = rows("as_of date", [("2024-01-31",), ("2024-02-10",), ("2024-06-30",)])
+    calendar = rows("trade_date date", [("2024-01-31",), ("2024-03-15",), ("2024-03-18",)])
+    found = {str(r["as_of"]): str(r["start"]) for r in portfolio.holding_spans(signals, calendar).collect()}
+    assert found == {"2024-01-31": "2024-03-15", "2024-02-10": "2024-03-15"}
+
+
+def test_top_positions_are_those_of_each_period(spark):
+    held = spark.createDataFrame([(1, "a", 9.0), (1, "b", 5.0), (2, "c", 1.0), (2, "a", 0.5)], "period int, cusip string, value double")
+    found = {(r["period"], r["cusip"]) for r in ownership.top_cusips(held, 1).collect()}
+    assert found == {(1, "a"), (2, "c")}
+
+
+def test_forecasts_in_unseen_bins_stay(spark):
+    past = spark.createDataFrame([(0.15, float(k)) for k in range(11)], "p double, excess double")
+    new = spark.createDataFrame([(1, 0.12), (2, 0.95)], "company int, p double")
+    found = {r["company"]: r["mid"] for r in models.interval_forecast(past, new).collect()}
+    assert found == {1: 5.0, 2: None}
+
+
+def test_one_outlier_leaves_ranking_slots_even(spark):
+    values = [(1, float(k)) for k in range(2000)] + [(1, 1e9), (2, None), (2, 3.0)]
+    frame = spark.createDataFrame(values, "d int, v double")
+    found = {r["v"]: r["below"] for r in ranking.value_positions(frame.where("d = 1"), ["d"], "v").collect()}
+    assert found == {**{float(k): k for k in range(2000)}, 1e9: 2000}
+    shares = F.array(*[F.lit(k / ranking.SLOTS) for k in range(1, ranking.SLOTS)])
+    cuts = frame.where("d = 1").agg(F.percentile_approx("v", shares, ranking.ACCURACY)).first()[0]
+    sizes = [sum(a < v <= b for _, v in values[:2001]) for a, b in zip([-1.0, *cuts], [*cuts, 2e9])]
+    assert max(sizes) < 3 * 2001 / ranking.SLOTS

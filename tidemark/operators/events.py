@@ -182,7 +182,9 @@ def _similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
     prefix = rare.withColumn("token", F.explode(F.slice("order", F.lit(1), length.cast("int"))["token"]))
     left = prefix.where("_here = 1").select("company", "_slot", "token", "key", "words")
     right = prefix.select("company", "_slot", "token", F.col("key").alias("other"), F.col("words").alias("other_words"))
-    met = left.join(right, ["company", "_slot", "token"]).where(F.col("key") != F.col("other"))
+    # sets of too different a size can't reach the overlap
+    least, most = F.least(F.size("words"), F.size("other_words")), F.greatest(F.size("words"), F.size("other_words"))
+    met = left.join(right, ["company", "_slot", "token"]).where((F.col("key") != F.col("other")) & (least >= threshold * most))
     pairs = met.groupBy("company", "_slot", "key", "other").agg(
         F.first("words").alias("words"), F.first("other_words").alias("other_words")
     ).withColumn("score", jaccard(F.col("words"), F.col("other_words")))
