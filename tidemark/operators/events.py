@@ -174,21 +174,24 @@ def _similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
     )
     token = sets.where("_here = 1").select("company", "key", F.explode("words").alias("token"))
     counts = token.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    placed = sets.select("company", "_slot", "key", "words", "_here", F.explode("words").alias("token")).join(counts, "token")
+    placed = sets.select("company", "_slot", "key", "_here", F.explode("words").alias("token")).join(counts, "token")
     rare = placed.groupBy("company", "_slot", "key", "_here").agg(
-        F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order")
-    )  # the words of one headline
-    length = F.size("words") - F.ceil(F.size("words") * F.lit(threshold)) + 1
-    prefix = rare.withColumn("token", F.explode(F.slice("order", F.lit(1), length.cast("int"))["token"]))
-    left = prefix.where("_here = 1").select("company", "_slot", "token", "key", "words")
-    right = prefix.select("company", "_slot", "token", F.col("key").alias("other"), F.col("words").alias("other_words"))
+        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order")
+    ).withColumn("n", F.size("order"))  # the words of one headline
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1
+    prefix = rare.select("company", "_slot", "key", "_here", "n", F.explode(F.slice("order", F.lit(1), length.cast("int"))["token"]).alias("token"))
+    left = prefix.where("_here = 1").drop("_here")
+    right = prefix.select("company", "_slot", "token", F.col("key").alias("other"), F.col("n").alias("other_n"))
     # sets of too different a size can't reach the overlap
-    least, most = F.least(F.size("words"), F.size("other_words")), F.greatest(F.size("words"), F.size("other_words"))
-    met = left.join(right, ["company", "_slot", "token"]).where((F.col("key") != F.col("other")) & (least >= threshold * most))
-    pairs = met.groupBy("company", "_slot", "key", "other").agg(
-        F.first("words").alias("words"), F.first("other_words").alias("other_words")
-    ).withColumn("score", jaccard(F.col("words"), F.col("other_words")))
-    return pairs.where(F.col("score") >= threshold).select("company", "_slot", "key", "other", "score")
+    sizes = F.least("n", "other_n") >= threshold * F.greatest("n", "other_n")
+    met = left.join(right, ["company", "_slot", "token"]).where((F.col("key") != F.col("other")) & sizes)
+    pairs = met.select("company", "_slot", "key", "other").distinct()
+    words = rows.groupBy("key").agg(F.first("words").alias("words"))  # equal keys are equal sets
+    scored = pairs.select("key", "other").distinct().join(words, "key").join(
+        words.select(F.col("key").alias("other"), F.col("words").alias("other_words")), "other"
+    )
+    scored = scored.select("key", "other", jaccard(F.col("words"), F.col("other_words")).alias("score"))
+    return pairs.join(scored.where(F.col("score") >= threshold), ["key", "other"]).select("company", "_slot", "key", "other", "score")
 
 
 def novelty(news: DataFrame, threshold: float = REPEAT_OVERLAP, span: int = NOVELTY_US) -> DataFrame:

@@ -165,14 +165,18 @@ def overlap(t: Tables):
     return used.join(after, "doc_id").select("doc_id", qc(N.jaccard(F.col("words"), F.col("next")), "overlap"))
 
 
-_NOVELTY = f"""{_WORDS}, scored AS (SELECT a.news_id, b.news_id AS prior,
-        {_SHARE} / (len(a.words) + len(b.words) - {_SHARE}) AS score
-        FROM worded a JOIN worded b ON a.company = b.company AND b.seen_us < a.seen_us
-        AND b.seen_us >= a.seen_us - 259200000000 WHERE len(a.words) > 0 AND len(b.words) > 0),
-    best AS (SELECT news_id, max(row(score, -prior)) AS b FROM scored WHERE score >= 0.5 GROUP BY 1),
+# Overlaps are those of the documents behind the headlines, so they are counted once per pair of documents, over shared words.
+_NOVELTY = f"""{_WORDS}, docs AS (SELECT doc_id, any_value(words) AS words FROM worded WHERE len(words) > 0 GROUP BY 1),
+    tok AS (SELECT doc_id, len(words) AS n, unnest(words) AS w FROM docs),
+    near AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS score
+        FROM tok a JOIN tok b USING (w) GROUP BY 1, 2 HAVING score >= 0.5),
+    news AS (SELECT * REPLACE (company % 5 AS company) FROM v_news),
+    best AS (SELECT a.news_id, max(row(score, -b.news_id)) AS b FROM news a JOIN near ON a.doc_id = x
+        JOIN news b ON b.doc_id = y AND a.company = b.company AND b.seen_us < a.seen_us
+        AND b.seen_us >= a.seen_us - 259200000000 GROUP BY 1),
     judged AS (SELECT n.news_id, n.company, n.domain, n.seen_us, b[1] AS similarity, -b[2] AS prior,
         CASE WHEN b IS NULL THEN 'first' ELSE 'repeat' END AS novelty
-        FROM v_news n LEFT JOIN best USING (news_id))"""
+        FROM news n LEFT JOIN best USING (news_id))"""
 
 
 def _user_news(t: Tables):
@@ -180,9 +184,6 @@ def _user_news(t: Tables):
     return t.news().withColumn("company", F.col("company") % 5)
 
 
-_NOVELTY = _NOVELTY.replace("AS words FROM v_news)", "AS words FROM (SELECT * REPLACE (company % 5 AS company) FROM v_news))")
-
-
 @query(
     "novelty",
     f"WITH {_NOVELTY} SELECT news_id, {q('similarity')} AS similarity, prior, novelty FROM judged",
