@@ -83,6 +83,27 @@ def _dcf_sql(source: str) -> str:
             FROM flow GROUP BY key)"""
 
 
+def _dcf_row_sql(source: str) -> str:
+    """CTE `valued` with one row per source row: the ten years written out as columns, for large sources."""
+    fade = lambda a, b, y: a if y <= 5 else f"({a} + ({b} - {a}) * {y - 5} / 5.0::DOUBLE)"
+    years = range(1, 11)
+    revenue = ", ".join(
+        f"{'base_revenue' if y == 1 else f'r{y - 1}'} * (1 + {fade('growth', 'terminal_growth', y)}) AS r{y}" for y in years
+    )
+    income = ", ".join(f"r{y} * {fade('margin', 'long_run_margin', y)} AS i{y}" for y in years)
+    flow = " + ".join(
+        f"(CASE WHEN i{y} > 0 THEN i{y} * (1 - tax_rate) ELSE i{y} END - (r{y} - {'base_revenue' if y == 1 else f'r{y - 1}'})"
+        f" / sales_to_capital) / power(1 + discount_rate, {y})"
+        for y in years
+    )
+    return f"""revenues AS (SELECT *, {revenue} FROM {source} WHERE discount_rate - terminal_growth >= 0.005
+            AND terminal_growth BETWEEN -0.05 AND 0.06 AND base_revenue > 0),
+        incomes AS (SELECT *, {income} FROM revenues),
+        valued AS (SELECT *, {flow} AS pv, r10 * (1 + terminal_growth) * long_run_margin * (1 - tax_rate)
+            * (1 - terminal_growth / discount_rate) / (discount_rate - terminal_growth) / power(1 + discount_rate, 10) AS tv
+            FROM incomes)"""
+
+
 @query(
     "dcf",
     f"""WITH {_A}, k AS (SELECT *, company AS key FROM a), {_dcf_sql('k')}
@@ -177,7 +198,7 @@ def j_cross_grid(t: Tables):
             terminal_growth + m::DOUBLE AS terminal_growth), g::DOUBLE AS row_step,
             m::DOUBLE AS column_step, CAST(company AS VARCHAR) || '/' || g || '/' || m AS key
             FROM a, (VALUES (-0.01), (-0.005), (0.0), (0.005), (0.01)) r(g),
-            (VALUES (-0.01), (-0.005), (0.0), (0.005), (0.01)) c(m)), {_dcf_sql('k')}
+            (VALUES (-0.01), (-0.005), (0.0), (0.005), (0.01)) c(m)), {_dcf_row_sql('k')}
         SELECT k.company, k.row_step, k.column_step,
             {q('(pv + tv - v.debt + v.cash) / v.shares', 1)} AS per_share
         FROM k LEFT JOIN valued v USING (key)""",
