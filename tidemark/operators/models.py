@@ -125,7 +125,9 @@ def choose_calibrator(rows: DataFrame) -> DataFrame:
     second = marked.where(F.unix_date("as_of") >= F.col("cut"))
     a, b = fit_platt(first)
     vector = VectorAssembler(inputCols=["p"], outputCol="features")
-    iso = IsotonicRegression(labelCol="up").fit(vector.transform(first))
+    # the fit gathers its input in one place: scores on a grid of 10,001, each once with its mean and weight
+    grid = first.groupBy(F.round("p", 4).alias("p")).agg(F.avg("up").alias("up"), F.count(F.lit(1)).cast("double").alias("weight"))
+    iso = IsotonicRegression(labelCol="up", weightCol="weight").fit(vector.transform(grid))
     scored = iso.transform(vector.transform(second)).withColumnRenamed("prediction", "_iso")
     brier = lambda p: F.avg(F.pow(p - F.col("up"), 2))
     return scored.agg(
@@ -139,13 +141,15 @@ def walk_forward(rows: DataFrame, names: list[str], *, minimum: tuple[int, int]
     ended before the fold by an embargo. The driver loops over years; rows stay in Spark."""
     labelled = cut_lineage(rows.where(F.col("excess").isNotNull()))
     years = [r[0] for r in labelled.select(F.year("as_of").alias("y")).distinct().orderBy("y").collect()]  # a few years
+    starts = {year: F.date_sub(F.make_date(F.lit(year), F.lit(1), F.lit(1)), EMBARGO_DAYS) for year in years[MIN_TRAIN_YEARS:]}
+    counts = [c for y, s in starts.items() for c in (F.count_if(F.col("label_end") < s), F.count_if(F.year("as_of") == y))]
+    sizes = list(labelled.agg(*counts).first()) if counts else []  # of all folds in one pass
     out = None
-    for year in years[MIN_TRAIN_YEARS:]:
-        start = F.make_date(F.lit(year), F.lit(1), F.lit(1))
-        train = labelled.where(F.col("label_end") < F.date_sub(start, EMBARGO_DAYS))
-        test = labelled.where(F.year("as_of") == year)
-        if train.count() < minimum[0] or test.count() < minimum[1]:
+    for k, (year, start) in enumerate(starts.items()):
+        if sizes[2 * k] < minimum[0] or sizes[2 * k + 1] < minimum[1]:
             continue
+        train = labelled.where(F.col("label_end") < start)
+        test = labelled.where(F.year("as_of") == year)
         trees = score(fit_direction(train, names, rounds), test, names, fill=True)
         base = score(fit_baseline(train, names), test, names, fill=False)
         both = trees.select("as_of", "company", "excess", "label_end", "p").join(

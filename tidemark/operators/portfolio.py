@@ -218,7 +218,7 @@ def moments(rows: DataFrame, column: str, key: str = "strategy") -> DataFrame:
         F.avg(column).alias("_m"), F.stddev_samp(column).alias("_s"), F.count(column).alias("_n")
     )
     z = F.try_divide(F.col(column) - F.col("_m"), F.col("_s"))
-    joined = rows.where(F.col(column).isNotNull()).join(F.broadcast(stats), key)  # one per strategy
+    joined = rows.where(F.col(column).isNotNull()).join(stats, key)  # one row per strategy: saved runs grow
     usable = (F.first("_n") >= 3) & (F.first("_s") > 0)
     return joined.groupBy(key).agg(
         F.when(usable, F.sum(F.pow(z, 3)) / F.first("_n")).otherwise(0.0).alias("skew"),
@@ -309,7 +309,7 @@ def period_returns(curve: DataFrame, unit: str, key: str = "strategy") -> DataFr
         F.max_by("value", "day").alias("value"), F.max_by("bench", "day").alias("bench")
     )
     w = Window.partitionBy(key).orderBy("period")
-    rows = ends.join(F.broadcast(first), key)  # one row per strategy
+    rows = ends.join(first, key)  # one row per strategy
     return rows.select(
         key, "period",
         (F.col("value") / F.coalesce(F.lag("value").over(w), "_v0") - 1).alias("ret"),
