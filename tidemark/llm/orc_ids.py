@@ -73,7 +73,8 @@ def spans_of(spark: SparkSession, path: str) -> DataFrame:
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per file
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
-    placed = rows.join(base, F.col("part") == F.col("_part")).select(
+    # one row per file, so the table is as small as the number of shuffle partitions
+    placed = rows.join(F.broadcast(base), F.col("part") == F.col("_part")).select(
         "doc_id", (F.col("_base") + F.col("before")).alias("start"), "n_tokens", "ids"
     )
     id_type = rows.schema["doc_id"].dataType.simpleString()
