@@ -6,9 +6,9 @@ often the more alike two sets are. Bands of registers propose pairs, the joint l
 ones, and the rest are confirmed on the full shingle sets.
 
 Copies are never expanded into pairs. Documents with equal sets are one set; in each band bucket every set is compared with
-the bucket's least set only (its pivot). Sets that this leaves in different groups of a bucket are compared with each other
-unless their distances to the pivot, a metric, show that they can't be linked. So no proposed link between different texts is
-lost, and a bucket in one group costs one comparison per set.
+the bucket's least set only (its pivot). Where that leaves different groups round a pivot, two of its sets can be linked only
+if they share a shingle that the pivot lacks or are both close to it; only such pairs are compared. So no proposed link between
+different texts is lost, and a bucket in one group costs one comparison per set.
 """
 
 from __future__ import annotations
@@ -45,13 +45,8 @@ class SetSketch:
     base: float = 1.02
     rate: float = 20.0
     limit: int = 4000
-    #: Pairs whose most likely similarity is lower are discarded; six standard errors below the 0.6 that pruning relies on.
-    least_likely: float = 0.3
-
-    @property
-    def near(self) -> int:
-        """Two sets linked to a third are at least this similar, in percent: similarity is one minus a metric."""
-        return max(2 * self.percent - 100, 0)
+    #: Pairs whose most likely similarity is lower are discarded: seven standard errors below 0.8 for 96 registers.
+    least_likely: float = 0.5
 
     @property
     def registers(self) -> int:
@@ -145,62 +140,76 @@ def sketches(docs: DataFrame, how: SetSketch) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _buckets(sets: DataFrame, how: SetSketch) -> DataFrame:
-    """sets (id, n, registers) → (bucket, id, n, pivot) for the band buckets that hold two sets or more."""
+def _stars(sets: DataFrame, how: SetSketch) -> DataFrame:
+    """sets (id, n, registers) → (a, b, na, nb, many): each set b of a band bucket against the bucket's least set a.
+
+    many: some bucket of the two holds a third set, so b may have to be compared further by its distance to a.
+    """
     width = 2 * how.rows
-    bands = F.array(
-        *[F.xxhash64(F.lit(k), F.substring("registers", k * width + 1, width)) for k in range(how.bands)]
-    )
+    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("registers", k * width + 1, width)) for k in range(how.bands)])
     rows = sets.select("id", "n", F.explode(bands).alias("bucket"))
     within = Window.partitionBy("bucket")
-    rows = rows.withColumns({"pivot": F.min("id").over(within), "_count": F.count("*").over(within)})
-    return stored(rows.where("_count > 1").drop("_count"), "buckets")
+    rows = rows.select("id", "n", F.min("id").over(within).alias("pivot"), F.count("*").over(within).alias("count"))
+    rows = rows.where("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    rows = stored(rows.agg(F.max("n").alias("nb"), (F.max("count") > 2).alias("many")), "stars")
+    return rows.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
+
 
+def _within_size(a: str, b: str, how: SetSketch) -> str:
+    """Only sets of like size can be linked."""
+    return f"100 * least({a}, {b}) >= {how.percent} * greatest({a}, {b})"
 
-def _within_size(a: str, b: str, percent: int) -> str:
-    """Only sets of like size can be this similar."""
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
+def _counted(pairs: DataFrame, sets: DataFrame, docs: DataFrame, how: SetSketch) -> DataFrame:
+    """pairs (a, b, many) → (a, b, na, nb, inter, outside), counted on the full shingle sets.
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, how: SetSketch) -> DataFrame:
-    """pairs (a, b) → (a, b, inter, uni) for those likely enough, counted on the full shingle sets."""
+    Pairs that are unlikely to be linked are discarded first, except the `many`; for these, outside holds hashes of the
+    shingles of b that a lacks.
+    """
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
+    id_type = sets.schema["id"].dataType.simpleString()
 
     def discard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            na, nb = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (2, 4))
+            na, nb = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (3, 5))
             ra, rb = (
-                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, how.registers) for k in (3, 5)
+                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, how.registers) for k in (4, 6)
             )
-            keep = likely(ra, rb, na, nb, how) >= how.least_likely
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            keep = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            keep |= likely(ra, rb, na, nb, how) >= how.least_likely
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["a", "b", "many"]).filter(pa.array(keep))
 
-    id_type = sets.schema["id"].dataType.simpleString()
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ra", "nb", "rb")
-    rows = stored(rows.mapInArrow(discard, f"a {id_type}, b {id_type}"), "likely")
+    rows = pairs.select("a", "b", "many").join(side("a"), "a").join(side("b"), "b").select("a", "b", "many", "na", "ra", "nb", "rb")
+    rows = stored(rows.mapInArrow(discard, f"a {id_type}, b {id_type}, many boolean"), "likely")
     ends = rows.select(F.col("a").alias("doc_id")).union(rows.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stored(docs.select("doc_id", "text").join(ends, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    full = rows.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    texts = docs.select("doc_id", "text").join(ends.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
+    texts = stored(texts, "texts")
+    full = rows.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "many", "ta", "tb")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, one = None, set()
         for batch in batches:
-            inter, uni = [], []
-            for a, ta, tb in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
+            columns: list[list] = [[], [], [], []]
+            for a, many, ta, tb in zip(*(batch.column(k) for k in (0, 2, 3, 4)), strict=True):
                 if a != last:
                     last, one = a, _shingles(split_words(ta.as_py()), how.words)
                 other = _shingles(split_words(tb.as_py()), how.words)
-                common = len(one & other)
-                inter.append(common)
-                uni.append(len(one) + len(other) - common)
+                apart, first = other - one, []
+                common = len(other) - len(apart)
+                if many.as_py():
+                    first = [xxhash.xxh64_intdigest(b"\0".join(s)) - (1 << 63) for s in apart]
+                for column, value in zip(columns, (len(one), len(other), common, first), strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(uni, pa.int64())],
-                names=["a", "b", "inter", "uni"],
+                [batch.column(0), batch.column(1), *arrays], names=["a", "b", "na", "nb", "inter", "outside"]
             )
 
-    return stored(full.mapInArrow(count, f"a {id_type}, b {id_type}, inter long, uni long"), "counted")
+    schema = f"a {id_type}, b {id_type}, na long, nb long, inter long, outside array<long>"
+    return stored(full.mapInArrow(count, schema), "counted")
 
 
 def _shingles(words: list[bytes], n: int) -> set:
@@ -224,18 +233,14 @@ def near_duplicates(docs: DataFrame, how: SetSketch = SetSketch()) -> DataFrame:
     # below this size a linked set would have to be equal
     least = -(-how.percent // (100 - how.percent)) if how.percent < 100 else 1 << 62
     banded = stored(sets.where(F.col("n") >= least).select("id", "n", "registers").dropDuplicates(["id"]), "banded")
-    buckets = _buckets(banded, how)
-    sizes = banded.select(F.col("id").alias("a"), F.col("n").alias("na"))
-    stars = buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
-    stars = stars.join(sizes, "a").where(_within_size("na", "nb", how.near)).select("a", "b")
-    counted = _verified(stored(stars, "stars"), banded, docs, how)
-    linked = f"100 * inter >= {how.percent} * uni"
-    links = counted.where(linked).select("a", "b")
+    stars = _stars(banded, how).where("many or " + _within_size("na", "nb", how))
+    counted = _counted(stars, banded, docs, how)
+    links = counted.where(_linked(how)).select("a", "b")
     groups = components(links)
-    rest = stored(_rest(buckets, groups, counted, how), "rest")
+    rest = stored(_rest(counted, groups, banded, how), "rest")
     if not rest.isEmpty():
-        links = links.union(_verified(rest, banded, docs, how).where(linked).select("a", "b"))
-        groups = components(links)
+        more = _counted(rest.withColumn("many", F.lit(False)), banded, docs, how)
+        groups = components(links.union(more.where(_linked(how)).select("a", "b")))
     answer = own.join(groups.withColumnRenamed("id", "set_id"), "set_id", "left").select(
         "k1", "k2", F.coalesce("component", "set_id").alias("_component")
     )
@@ -245,25 +250,52 @@ def near_duplicates(docs: DataFrame, how: SetSketch = SetSketch()) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _rest(buckets: DataFrame, groups: DataFrame, counted: DataFrame, how: SetSketch) -> DataFrame:
-    """Pairs (a, b) of one bucket that are in different groups and may be linked as far as the pivot tells."""
-    label = groups.select("id", "component")
-    rows = buckets.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    bounds = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
-    mixed = rows.join(bounds.where("lo <> hi and c > 2").select("bucket"), "bucket")
-    far = counted.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("inter") / F.col("uni")).alias("away"))
-    mixed = mixed.join(far, ["pivot", "id"], "left").where("id <> pivot")
-    mixed = stored(mixed, "mixed")
-    # one side has sets that the pivot is not linked to; the other, all
-    reach = 1 - how.percent / 100
-    one = mixed.where(F.col("away").isNull() | (F.col("away") > reach))
-    x, y = one.alias("x"), mixed.alias("y")
-    # a distance that was not counted is over 2 * reach, so the other set must be over reach from the pivot
-    near = F.expr(
-        f"x.component <> y.component and x.id <> y.id and {_within_size('x.n', 'y.n', how.percent)} and "
-        f"(case when x.away is null then coalesce(y.away, 1) > {reach} when y.away is null then x.away > {reach} "
-        f"else abs(x.away - y.away) <= {reach} + 1e-9 end)"
+def _linked(how: SetSketch) -> str:
+    return f"100 * inter >= {how.percent} * (na + nb - inter)"
+
+
+def _rest(counted: DataFrame, groups: DataFrame, sets: DataFrame, how: SetSketch) -> DataFrame:
+    """Pairs (a, b) round one pivot that are in different groups and may be linked as far as the pivot tells.
+
+    What linked sets x and y share beyond x's part of the pivot, they share among their `outside` shingles. So many of those
+    have to meet that of x's outside shingles, the rarest round the pivot first, one of all but the last needed - 1 does; only
+    those are joined. Sets that need none are both close to the pivot and are compared by that. The low four bits of all
+    registers then rule out pairs far from the threshold.
+    """
+    label = groups.select(F.col("id").alias("b"), "component")
+    rows = counted.select("a", "b", F.col("nb").alias("n"), "inter", "outside", F.expr(_linked(how)).alias("direct"))
+    rows = rows.join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    spread = rows.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"))
+    rows = rows.join(spread.where("lo <> hi").select("a", "least"), "a")
+    low = F.transform(
+        F.sequence(F.lit(0), F.lit(how.registers // 16 - 1)),
+        lambda k: F.conv(F.substring(F.regexp_replace(F.hex("registers"), ".(.)..", "$1"), k * 16 + 1, 16), 16, -10).cast("long"),
     )
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & near)
-    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    return pairs.join(counted.select("a", "b"), ["a", "b"], "left_anti")
+    rows = stored(rows.join(sets.select(F.col("id").alias("b"), low.alias("low")), "b"), "round-pivots")
+    # a pair at the threshold differs in a fifth of the registers, 15 of 16 times visibly; six standard errors are allowed
+    p = (1 - how.percent / 100) * 15 / 16
+    most = int(how.registers * p + 6 * (how.registers * p * (1 - p)) ** 0.5)
+    nibbles = lambda v: f"(({v} | shiftrightunsigned({v}, 1) | shiftrightunsigned({v}, 2) | shiftrightunsigned({v}, 3)) & 1229782938247303441)"
+    differing = " + ".join(f"bit_count({nibbles(f'(x.low[{k}] ^ y.low[{k}])')})" for k in range(how.registers // 16))
+    may = f"x.component <> y.component and {_within_size('x.n', 'y.n', how)} and {differing} <= {most}"
+    pair = (F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
+    slim = rows.drop("outside")
+    share = f"{how.percent} / {100 + how.percent}"  # of both sizes, for the intersection of linked sets
+    needed = F.expr(f"greatest(ceil({share} * (n + greatest(least, {how.percent / 100} * n)) - 1e-9) - inter, 1)")
+    keyed = rows.select(
+        "a", "b", "n", "component", "direct", "low", F.size("outside").alias("size"), needed.alias("needed"),
+        F.explode("outside").alias("shingle"),
+    )
+    common = keyed.groupBy("a", "shingle").agg(F.count("*").alias("times")).where("times > 1")
+    own = Window.partitionBy("a", "b")
+    keyed = keyed.join(common, ["a", "shingle"])
+    keyed = keyed.withColumns({"met": F.count("*").over(own), "place": F.row_number().over(own.orderBy("times", "shingle"))})
+    # shingles that occur once come first in the order and can't meet
+    keyed = stored(keyed.where("place <= size - needed + 1 - (size - met)").drop("size", "needed", "times", "met", "place"), "outside")
+    x, y = keyed.where("not direct").alias("x"), keyed.alias("y")
+    sharing = x.join(y, F.expr(f"x.a = y.a and x.shingle = y.shingle and {may}")).select(*pair)
+    close = f"{100 + how.percent} * least(x.inter, y.inter) >= {how.percent} * (x.n + y.n)"
+    held = slim.where(f"{100 + how.percent} * inter >= {how.percent} * (n + {how.percent / 100} * n)")
+    x, y = held.where("not direct").alias("x"), held.alias("y")
+    alike = x.join(y, F.expr(f"x.a = y.a and {close} and {may}")).select(*pair)
+    return sharing.union(alike).distinct().join(counted.select("a", "b"), ["a", "b"], "left_anti")
