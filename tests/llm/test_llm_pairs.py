@@ -6,7 +6,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.llm import lattice, setsketch
 from tidemark.llm.components import components

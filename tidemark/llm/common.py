@@ -15,10 +15,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage to the shared folder and read it back: later stages survive lost executors and nothing runs twice."""
-    path = shared_folder(df.sparkSession, f"llm-{name}")
+    """Write a stage to the shared folder and read it back: later stages survive lost executors and nothing runs twice.
+
+    The table goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, f"llm-{name}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
