@@ -385,12 +385,15 @@ def price_features(indexed: DataFrame, bench: DataFrame, minimum_bars: int = 253
     past = indexed.groupBy("security_id").agg(
         F.array_sort(F.collect_list(F.struct("n", "idx", change.alias("change")))).alias("_past")
     )  # a security's trading days
-    at = F.col("n").cast("int")
-    ends = ends.join(past, "security_id").select(
-        *[c for c in ends.columns],
-        F.slice("_past", F.greatest(at - 252, F.lit(1)), F.lit(253))["idx"].alias("_year"),
-        F.slice("_past", F.greatest(at - 58, F.lit(1)), F.lit(59))["change"].alias("_changes"),
+    # a security's month ends meet its history once, and each takes its own slices with it
+    own = [c for c in ends.columns if c != "security_id"]
+    marks = ends.groupBy("security_id").agg(F.collect_list(F.struct(*own)).alias("_ends"))
+    last = lambda e, days: F.slice("_past", F.greatest(e["n"].cast("int") - (days - 1), F.lit(1)), F.lit(days))
+    slices = F.transform(
+        "_ends", lambda e: F.struct(e.alias("end"), last(e, 253)["idx"].alias("_year"), last(e, 59)["change"].alias("_changes"))
     )
+    ends = marks.join(past, "security_id").select("security_id", F.explode(slices).alias("s"))
+    ends = ends.select("security_id", "s.end.*", "s._year", "s._changes")
     fall = F.aggregate(
         "_year",
         F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst")),
