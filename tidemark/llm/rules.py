@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import words_of
+from tidemark.llm.common import let, words_of
 
 #: Rule name → (bit, failing condition on the measurements).
 RULES: dict[str, tuple[int, str]] = {
@@ -54,18 +54,8 @@ def measure(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    kept = docs.drop(*MEASURES, "_w", "_l", "_h", "_s")
+    kept = docs.drop(*MEASURES, "_w", "_l")
     rows = kept.withColumns({"_w": words_of(F.col("text")), "_l": lines})
-    windows = F.when(
-        F.size("_w") >= 5,
-        F.transform(F.sequence(F.lit(0), F.size("_w") - 5), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(5)])),
-    ).otherwise(F.array().cast("array<bigint>"))
-    rows = rows.withColumn("_h", windows)
-    placed = F.when(
-        F.size(F.array_distinct("_h")) < F.size("_h"),
-        F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("p")))),
-    ).otherwise(F.expr("cast(array() as array<struct<h: bigint, p: int>>)"))
-    rows = rows.withColumn("_s", placed)
     count = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
     return rows.select(
         *kept.columns,
@@ -73,7 +63,7 @@ def measure(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         count(r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        _covered("_s").alias("n_repeat_words"),
+        _repeated(F.col("_w")).alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
         count(r"\p{Lu}+").cast("long").alias("n_upper"),
         count("!+").cast("long").alias("n_exclaim"),
@@ -81,8 +71,26 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def _covered(windows: str) -> Column:
-    """Words inside windows whose hash occurs twice or more, from (hash, place) pairs in order: one linear pass each."""
+def _repeated(words: Column) -> Column:
+    """Words inside 5-word windows that occur twice or more.
+
+    Arrays that lambdas look into are bound once by let: a filter on the result may be pushed below the projection that made
+    them, and they would be built anew for every element.
+    """
+    hashes = lambda w: F.when(
+        F.size(w) >= 5,
+        F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)])),
+    ).otherwise(F.array().cast("array<bigint>"))
+    placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+    none = F.lit(0).cast("long")
+    return let(
+        let(words, hashes),
+        lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(placed(h), _covered)).otherwise(none),
+    )
+
+
+def _covered(windows: Column) -> Column:
+    """Words covered by windows whose hash occurs twice or more, from (hash, place) pairs in order: linear passes."""
     last = F.size(windows) - 1
     again = F.transform(
         windows,
@@ -99,7 +107,7 @@ def _covered(windows: str) -> Column:
             (acc["n"] + (p + 5 - F.greatest(acc["end"], p))).cast("long").alias("n"), (p + 5).alias("end")
         ),
     )
-    return F.when(F.size(windows) == 0, F.lit(0).cast("long")).otherwise(fold["n"])
+    return fold["n"]
 
 
 def ledger(docs: DataFrame) -> DataFrame:
