@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, lattice, lines, mixing, orc_ids, packing, pii, rules, setsketch, toxicity
+from tidemark.llm import chat, edits, lattice, lines, mixing, orc_ids, packing, pii, rules, setsketch, toxicity
 from tidemark.llm.common import stored, table
 from tidemark.session import configure, shared_folder
 
@@ -53,7 +53,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.report(table(spark, sf_dir, "documents").select("doc_id", "text"), edits.groups)
 
 
 def op8_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
