@@ -22,10 +22,13 @@ from tidemark.llm.components import components
 
 @dataclass(frozen=True)
 class Lattice:
-    """tables of `blocks` E8 lattices; probes: nearest cells per block, its own included; scale: of a projected coordinate."""
+    """tables of `blocks` E8 lattices; probes: nearest cells per block, its own included; scale: of a projected coordinate.
+
+    A pair at the threshold itself meets with a chance of 0.999 in 24 tables, 0.988 in 16, 0.89 in 8 (simulated).
+    """
 
     cosine: float = 0.9
-    tables: int = 8
+    tables: int = 24
     blocks: int = 2
     probes: int = 6
     scale: float = 0.7
