@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, edits, lattice, lines, mixing, orc_ids, packing, pii, rules, setsketch, toxicity
+from tidemark.llm import chat, edits, lattice, lines, merkle, mixing, orc_ids, packing, pii, rules, setsketch, toxicity
 from tidemark.llm.common import stored, table
 from tidemark.session import configure, shared_folder
 
@@ -70,6 +70,12 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), setsketch.SetSketch(words=2))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(damaged, F.replace("text", F.lit("\n"), F.lit("")))
+    return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), text))
+
+
 def _configured(run):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
@@ -84,6 +90,7 @@ QUERIES = {
     for run in (
         op1_e8_lattice, op2_chat_masks, op3_mixing, op4_toxic_segments, op5_quality_rules, op6_best_fit_packing,
         op7_fuzzy_lines, op8_orc_token_ids, op9_contextual_pii, op10_setsketch,
+        op11_merkle_manifest,
     )
 }
 
@@ -173,4 +180,43 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS compone
 FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
 """
 
-SQL = {"op1_e8_lattice": OP1_SQL, "op2_chat_masks": OP2_SQL, "op3_mixing": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_setsketch": OP10_SQL}
+
+
+def _merkle_sql(levels: int = 24) -> str:
+    """Trees level by level, every level in full; levels: more than any tree of the checked tables has."""
+    field = lambda name: f"coalesce(strlen({name}::VARCHAR) || ':' || {name}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), f"coalesce(strlen({text}) || ':' || {text}, '-')"]) + ")"
+    flipped = "list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_transform(range(8), lambda b: ((ascii(c) >> b::INT) & 1)::BIGINT)))), lambda acc, bit: xor(acc >> 1, 3988292384::BIGINT * xor(acc & 1, bit)))"
+    parts = [f"""
+WITH d AS (SELECT *, row_number() OVER () AS r, {leaf("text")} AS leaf,
+    {leaf("(CASE WHEN xor(" + flipped + ", 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)")} AS claim FROM documents),
+l AS (SELECT *, coalesce('=' || source, '-') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d),
+a0 AS (SELECT g, p, leaf AS h FROM l)"""]
+    for tree, first in (("a", "a0"), ("b", "b0")):
+        if tree == "b":
+            parts.append(f"subs AS (SELECT g, h FROM a{levels} WHERE p = 0)")
+            parts.append("b0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS p, h FROM subs)")
+        for k in range(levels):
+            parts.append(f"""{tree}{k + 1} AS MATERIALIZED (SELECT g, p // 3 AS p, CASE WHEN max(m) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY p)) END AS h
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS m FROM {tree}{k}) GROUP BY g, p // 3)""")
+    start = "l.r, l.doc_id, l.leaf, l.g, l.p, s.p AS q, l.claim AS f, '' AS proof"
+    parts.append(f"f0 AS (SELECT {start} FROM l JOIN (SELECT g, row_number() OVER (ORDER BY g) - 1 AS p FROM subs) s USING (g))")
+    at = 0
+    for tree, group, place in (("a", "f.g", "p"), ("b", "''", "q")):
+        for k in range(levels):
+            others = f"""(SELECT r, coalesce(string_agg(n.h, '' ORDER BY n.p) FILTER (n.p < f.{place}), '') AS x,
+    coalesce(string_agg(n.h, '' ORDER BY n.p) FILTER (n.p > f.{place}), '') AS y, any_value(m) AS m
+    FROM f{at} f JOIN (SELECT *, count(*) OVER (PARTITION BY g) AS m FROM {tree}{k}) n ON n.g = {group} AND n.p // 3 = f.{place} // 3 GROUP BY r)"""
+            other = "q" if place == "p" else "p"
+            parts.append(f"""f{at + 1} AS MATERIALIZED (SELECT r, doc_id, leaf, g, {place} // 3 AS {place}, {other},
+    CASE WHEN m = 1 THEN f ELSE sha256(x || f || y) END AS f, proof || x || y AS proof FROM f{at} JOIN {others} USING (r))""")
+            at += 1
+    return ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subs.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = root.h AS verified
+FROM f{at} JOIN subs USING (g), (SELECT h FROM b{levels} WHERE p = 0) root
+"""
+
+
+OP11_SQL = _merkle_sql(12)
+
+SQL = {"op11_merkle_manifest": OP11_SQL, "op1_e8_lattice": OP1_SQL, "op2_chat_masks": OP2_SQL, "op3_mixing": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_setsketch": OP10_SQL}
