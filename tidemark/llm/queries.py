@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, edits, lattice, lines, merkle, mixing, orc_ids, packing, pii, rules, setsketch, toxicity
+from tidemark.llm import chat, edits, lattice, lines, merkle, mixing, orc_ids, packing, pii, rules, search, setsketch, toxicity
 from tidemark.llm.common import stored, table
 from tidemark.session import configure, shared_folder
 
@@ -76,6 +76,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), text))
 
 
+def op13_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _configured(run):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         configure(spark)
@@ -90,7 +94,7 @@ QUERIES = {
     for run in (
         op1_e8_lattice, op2_chat_masks, op3_mixing, op4_toxic_segments, op5_quality_rules, op6_best_fit_packing,
         op7_fuzzy_lines, op8_orc_token_ids, op9_contextual_pii, op10_setsketch,
-        op11_merkle_manifest,
+        op11_merkle_manifest, op13_blocked_search,
     )
 }
 
@@ -219,4 +223,22 @@ FROM f{at} JOIN subs USING (g), (SELECT h FROM b{levels} WHERE p = 0) root
 
 OP11_SQL = _merkle_sql(12)
 
-SQL = {"op11_merkle_manifest": OP11_SQL, "op1_e8_lattice": OP1_SQL, "op2_chat_masks": OP2_SQL, "op3_mixing": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_setsketch": OP10_SQL}
+OP13_SQL = r"""
+WITH t AS (SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS r, * FROM documents)),
+d AS (SELECT r, doc_id, count(*) AS n FROM t GROUP BY r, doc_id),
+c AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS l FROM d),
+m AS (SELECT r, doc_id, 75 + (25 * n * big_n) // l AS m FROM d, c),
+q AS (SELECT item_id, term, count(*) AS reps FROM (SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL),
+f AS (SELECT r, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM f GROUP BY term), c),
+s AS (SELECT item_id, r, sum(reps * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY item_id, r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s JOIN m USING (r) WHERE score > 0 QUALIFY rank <= 20
+"""
+
+SQL = {"op13_blocked_search": OP13_SQL, "op11_merkle_manifest": OP11_SQL, "op1_e8_lattice": OP1_SQL, "op2_chat_masks": OP2_SQL, "op3_mixing": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_setsketch": OP10_SQL}
