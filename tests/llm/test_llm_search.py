@@ -27,12 +27,12 @@ def expected(docs, items, top=20):
     df = Counter(t for _, c in counts for t in c)
     out = []
     for item_id, text in set(items):
-        scored = []
+        scored, asked = [], Counter(terms(text))
         for doc_id, c in counts:
             m = 75 + (25 * sum(c.values()) * n_docs) // total
             score = sum(
-                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m))
-                for t in terms(text) if c[t]
+                k * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m))
+                for t, k in asked.items() if c[t]
             )
             if score > 0:
                 scored.append((-score, doc_id is None, doc_id))

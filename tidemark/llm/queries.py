@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, edits, lattice, lines, merkle, mixing, orc_ids, packing, pii, rules, search, setsketch, toxicity
+from tidemark.llm import chat, edits, lattice, licenses, lines, merkle, mixing, orc_ids, packing, pii, rules, search, setsketch, toxicity
 from tidemark.llm.common import stored, table
+from tidemark.llm.license_rules import AFTER, BEFORE, CONFIDENCE, RULES
 from tidemark.session import configure, shared_folder
 
 
@@ -76,6 +77,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), text))
 
 
+def op12_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op13_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -94,7 +99,7 @@ QUERIES = {
     for run in (
         op1_e8_lattice, op2_chat_masks, op3_mixing, op4_toxic_segments, op5_quality_rules, op6_best_fit_packing,
         op7_fuzzy_lines, op8_orc_token_ids, op9_contextual_pii, op10_setsketch,
-        op11_merkle_manifest, op13_blocked_search,
+        op11_merkle_manifest, op12_license_rules, op13_blocked_search,
     )
 }
 
@@ -241,4 +246,35 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 FROM s JOIN m USING (r) WHERE score > 0 QUALIFY rank <= 20
 """
 
-SQL = {"op13_blocked_search": OP13_SQL, "op11_merkle_manifest": OP11_SQL, "op1_e8_lattice": OP1_SQL, "op2_chat_masks": OP2_SQL, "op3_mixing": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_setsketch": OP10_SQL}
+
+
+def _license_sql() -> str:
+    """Every rule at every word by itself, and suppression by all pairs of a document."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    rules = ", ".join(
+        f"({r.number}, {r.kind}, {quoted(r.label)}, {quoted(r.keyword)}, {quoted(r.before)}, {quoted(r.after)}, {CONFIDENCE[r.kind]}::DOUBLE)" for r in RULES
+    )
+    return rf"""
+WITH rules(rule, kind, label, keyword, before, after, confidence) AS (VALUES {rules}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+spots AS (SELECT r, i - 1 AS p, w[i] AS keyword, w[greatest(1, i - {BEFORE}):i - 1] AS x, w[i + 1:i + {AFTER}] AS y FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)
+    WHERE w[i] IN (SELECT keyword FROM rules)),
+m AS (SELECT r, p, rule, kind, label, confidence, regexp_extract(' ' || array_to_string(x, ' ') || CASE WHEN len(x) > 0 THEN ' ' ELSE '' END, ' (' || before || ')$') AS b,
+    regexp_extract(CASE WHEN len(y) > 0 THEN ' ' ELSE '' END || array_to_string(y, ' ') || ' ', '^(' || after || ') ') AS a,
+    before <> '' AS has_b, after <> '' AS has_a FROM spots JOIN rules USING (keyword)),
+f AS (SELECT r, rule, kind, label, confidence, p - CASE WHEN has_b THEN len(regexp_extract_all(b, '[^ ]+')) ELSE 0 END AS s,
+    p + 1 + CASE WHEN has_a THEN len(regexp_extract_all(a, '[^ ]+')) ELSE 0 END AS e FROM m WHERE (b <> '' OR NOT has_b) AND (a <> '' OR NOT has_a)),
+k AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.r = f.r AND g.kind <= f.kind AND g.s <= f.s AND g.e >= f.e
+    AND (g.s < f.s OR g.e > f.e OR g.kind < f.kind OR g.rule < f.rule))),
+o AS (SELECT r, count(*) FILTER (kind = 0) AS n_base, min(s) FILTER (kind = 0) AS first_word, max(s) FILTER (kind = 0) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (kind = 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+    max(confidence) AS score FROM k GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN o USING (r)
+"""
+
+
+OP12_SQL = _license_sql()
+
+SQL = {"op12_license_rules": OP12_SQL, "op13_blocked_search": OP13_SQL, "op11_merkle_manifest": OP11_SQL, "op1_e8_lattice": OP1_SQL, "op2_chat_masks": OP2_SQL, "op3_mixing": OP3_SQL, "op5_quality_rules": OP5_SQL, "op10_setsketch": OP10_SQL}
