@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -115,52 +118,170 @@ def fit_platt(rows: DataFrame) -> tuple[float, float]:
     return float(fitted.coefficients[0]), float(fitted.intercept)
 
 
-def choose_calibrator(rows: DataFrame) -> DataFrame:
-    """Brier scores of no, Platt and isotonic calibration: fitted on the first half of the window
-    by date, scored on the second. Columns p, up, as_of; the lowest score is the one to refit."""
-    rows = cut_lineage(rows.select("as_of", "p", F.col("up").cast("double").alias("up")))
-    cut = rows.select(F.percentile(F.unix_date("as_of"), F.lit(0.5)).alias("cut"))  # a date count
-    marked = rows.crossJoin(F.broadcast(cut))  # one row
-    first = marked.where(F.unix_date("as_of") < F.col("cut"))
-    second = marked.where(F.unix_date("as_of") >= F.col("cut"))
-    a, b = fit_platt(first)
+def fit_isotonic(rows: DataFrame) -> Calibrator:
+    """Rising steps through (p, up), as thresholds to interpolate between.
+
+    The fit gathers its input in one place, so it sees a grid of 10,001 scores, each once with its mean and weight."""
+    grid = rows.groupBy(F.round("p", 4).alias("p")).agg(F.avg("up").alias("up"), F.count(F.lit(1)).cast("double").alias("weight"))
     vector = VectorAssembler(inputCols=["p"], outputCol="features")
-    # the fit gathers its input in one place: scores on a grid of 10,001, each once with its mean and weight
-    grid = first.groupBy(F.round("p", 4).alias("p")).agg(F.avg("up").alias("up"), F.count(F.lit(1)).cast("double").alias("weight"))
-    iso = IsotonicRegression(labelCol="up", weightCol="weight").fit(vector.transform(grid))
-    scored = iso.transform(vector.transform(second)).withColumnRenamed("prediction", "_iso")
-    brier = lambda p: F.avg(F.pow(p - F.col("up"), 2))
-    return scored.agg(
-        F.count(F.lit(1)).alias("rows"), brier(F.col("p")).alias("none"),
-        brier(apply_platt(F.col("p"), a, b)).alias("platt"), brier(F.col("_iso")).alias("isotonic"),
-    ).withColumn("slope", F.lit(a)).withColumn("intercept", F.lit(b))
+    fitted = IsotonicRegression(labelCol="up", weightCol="weight").fit(vector.transform(grid))
+    return Calibrator("isotonic", xs=tuple(map(float, fitted.boundaries)), ys=tuple(map(float, fitted.predictions)))
+
+
+def interpolate(x: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
+    """Straight lines between ascending thresholds, flat beyond them; a binary search of nested conditions."""
+
+    def between(low: int, high: int) -> Column:
+        if high - low == 1:
+            return F.lit(ys[low]) + (x - xs[low]) * ((ys[high] - ys[low]) / (xs[high] - xs[low]))
+        middle = (low + high) // 2
+        return F.when(x < xs[middle], between(low, middle)).otherwise(between(middle, high))
+
+    ends = F.when(x <= xs[0], F.lit(ys[0])).when(x >= xs[-1], F.lit(ys[-1]))
+    return ends.otherwise(between(0, len(xs) - 1)) if len(xs) > 1 else ends
+
+
+@dataclass(frozen=True)
+class Calibrator:
+    """How raw scores become probabilities: `none`, `platt` (slope and intercept on the logit) or `isotonic` (thresholds)."""
+
+    method: str = "none"
+    slope: float = 1.0
+    intercept: float = 0.0
+    xs: tuple[float, ...] = ()
+    ys: tuple[float, ...] = ()
+
+    def apply(self, p: Column) -> Column:
+        if self.method == "platt":
+            return apply_platt(p, self.slope, self.intercept)
+        return interpolate(p, self.xs, self.ys) if self.method == "isotonic" else p
+
+
+def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows before and from the median date on."""
+    cut = rows.agg(F.percentile(F.unix_date("as_of"), F.lit(0.5)).alias("cut"))  # a date count
+    marked = rows.join(F.broadcast(cut))  # one row
+    return marked.where(F.unix_date("as_of") < F.col("cut")), marked.where(F.unix_date("as_of") >= F.col("cut"))
+
+
+def _both_classes(rows: DataFrame) -> bool:
+    n, ups = rows.agg(F.count(F.lit(1)), F.sum("up")).first()
+    return bool(n) and 0 < ups < n
+
+
+def choose_calibrator(rows: DataFrame, minimum: int = 200) -> tuple[Calibrator, dict[str, float]]:
+    """Columns p, up, as_of → the calibrator with the lowest Brier score, and all scores by method.
+
+    Platt and isotonic calibration are fitted on the first half of the window by date and scored with raw scores on the
+    second; the winner is fitted again on the whole window. Under `minimum` rows or with one class only, raw scores stay."""
+    rows = cut_lineage(rows.select("as_of", "p", F.col("up").cast("double").alias("up")))
+    if rows.count() < minimum or not _both_classes(rows):
+        return Calibrator(), {}
+    first, second = _halves(rows)
+    fits = {"platt": _platt, "isotonic": fit_isotonic} if _both_classes(first) else {}
+    tried = {"none": Calibrator()} | {name: fit(first) for name, fit in fits.items()}
+    brier = [F.avg(F.pow(c.apply(F.col("p")) - F.col("up"), 2)).alias(name) for name, c in tried.items()]
+    scores = second.agg(*brier).first().asDict()
+    best = min(scores, key=scores.get)
+    return (fits[best](rows) if best in fits else Calibrator()), scores
+
+
+def _platt(rows: DataFrame) -> Calibrator:
+    slope, intercept = fit_platt(rows)
+    return Calibrator("platt", slope, intercept)
+
+
+@dataclass(frozen=True)
+class FittedWindow:
+    """What one training window gives: raw model, calibrator with its scores, ranges per score bin, baseline."""
+
+    direction: object
+    calibrator: Calibrator
+    brier: dict[str, float]
+    past: DataFrame
+    baseline: object
+
+
+def fit_window(train: DataFrame, last, names: list[str], rounds: int = 10) -> FittedWindow:
+    """Fit on labels that ended an embargo before the window's last CALIBRATION_DAYS, calibrate on those days.
+
+    `last`: the newest as_of of `train`. The baseline and nothing else sees the whole window. `past` holds the calibrated
+    scores and results of the calibration days, from which ranges are read: the direction model never saw them."""
+    start = F.date_sub(F.lit(last), CALIBRATION_DAYS)
+    direction = fit_direction(train.where(F.col("label_end") < F.date_sub(start, EMBARGO_DAYS)), names, rounds)
+    held = cut_lineage(score(direction, train.where(F.col("as_of") >= start), names, fill=True).select("as_of", "p", "excess"))
+    calibrator, brier = choose_calibrator(held.withColumn("up", (F.col("excess") > 0).cast("double")))
+    past = held.select(calibrator.apply(F.col("p")).alias("p"), "excess")
+    return FittedWindow(direction, calibrator, brier, past, fit_baseline(train, names))
+
+
+def predict(window: FittedWindow, rows: DataFrame, names: list[str]) -> DataFrame:
+    """rows → with p_raw, calibrated p and the 10/50/90% range of past results at such scores."""
+    scored = score(window.direction, rows, names, fill=True).withColumnRenamed("p", "p_raw")
+    scored = scored.withColumn("p", window.calibrator.apply(F.col("p_raw")))
+    return interval_forecast(window.past, scored, whole=True).drop("bin")
 
 
 def walk_forward(rows: DataFrame, names: list[str], *, minimum: tuple[int, int] = (2000, 200), rounds: int = 10) -> DataFrame:
-    """Out-of-sample predictions by yearly folds from the fifth year, trained only on labels that
-    ended before the fold by an embargo. The driver loops over years; rows stay in Spark."""
+    """Out-of-sample predictions by yearly folds from the fifth year, trained only on labels that ended before the fold by an
+    embargo, calibrated on the training window's last days, with ranges and the calibrator's name.
+
+    Folds with too few training or test rows, or without rows to fit on before the calibration days, give nothing. The driver
+    loops over years; rows stay in Spark."""
     labelled = cut_lineage(rows.where(F.col("excess").isNotNull()))
     years = [r[0] for r in labelled.select(F.year("as_of").alias("y")).distinct().orderBy("y").collect()]  # a few years
     starts = {year: F.date_sub(F.make_date(F.lit(year), F.lit(1), F.lit(1)), EMBARGO_DAYS) for year in years[MIN_TRAIN_YEARS:]}
-    counts = [c for y, s in starts.items() for c in (F.count_if(F.col("label_end") < s), F.count_if(F.year("as_of") == y))]
-    sizes = list(labelled.agg(*counts).first()) if counts else []  # of all folds in one pass
+    known = {year: F.col("label_end") < start for year, start in starts.items()}
+    facts = [
+        x.alias(f"{name}{year}")
+        for year in starts
+        for name, x in (("train", F.count_if(known[year])), ("test", F.count_if(F.year("as_of") == year)), ("last", F.max(F.when(known[year], F.col("as_of")))))
+    ]
+    sizes = labelled.agg(*facts).first().asDict() if facts else {}  # of all folds in one pass
     out = None
-    for k, (year, start) in enumerate(starts.items()):
-        if sizes[2 * k] < minimum[0] or sizes[2 * k + 1] < minimum[1]:
+    for year in starts:
+        if sizes[f"train{year}"] < minimum[0] or sizes[f"test{year}"] < minimum[1]:
+            continue
+        train, test = labelled.where(known[year]), labelled.where(F.year("as_of") == year)
+        last = sizes[f"last{year}"]
+        if train.where(F.col("label_end") < F.date_sub(F.lit(last), CALIBRATION_DAYS + EMBARGO_DAYS)).isEmpty():
             continue
-        train = labelled.where(F.col("label_end") < start)
-        test = labelled.where(F.year("as_of") == year)
-        trees = score(fit_direction(train, names, rounds), test, names, fill=True)
-        base = score(fit_baseline(train, names), test, names, fill=False)
-        both = trees.select("as_of", "company", "excess", "label_end", "p").join(
-            base.select("as_of", "company", F.col("p").alias("p_base")), ["as_of", "company"]
-        ).withColumn("fold", F.lit(year))
+        window = fit_window(train, last, names, rounds)
+        trees = predict(window, test, names).select("as_of", "company", "excess", "label_end", "p_raw", "p", "low", "mid", "high")
+        base = score(window.baseline, test, names, fill=False).select("as_of", "company", F.col("p").alias("p_base"))
+        both = trees.join(base, ["as_of", "company"]).withColumns({"fold": F.lit(year), "calibrator": F.lit(window.calibrator.method)})
         out = both if out is None else out.unionByName(both)
     return out if out is not None else labelled.limit(0).selectExpr(
-        "as_of", "company", "excess", "label_end", "0D as p", "0D as p_base", "0 as fold"
+        "as_of", "company", "excess", "label_end", "0D as p_raw", "0D as p", "0D as low", "0D as mid", "0D as high", "0D as p_base",
+        "0 as fold", "'none' as calibrator",
     )
 
 
+def drivers(rows: DataFrame, names: list[str], scored: Callable[[DataFrame], DataFrame], top: int = 5) -> DataFrame:
+    """rows (as_of, company, inputs) → as_of, company, drivers: the inputs that move a score most, largest first.
+
+    `scored` adds p to rows. An input's contribution is the row's log-odds less those with the input at its middle rank;
+    missing inputs are at the middle already. All variants of a row are scored in one pass."""
+    rows = rows.select("as_of", "company", *names)
+    variants = rows.withColumn("_input", F.explode(F.array(F.lit(""), *map(F.lit, names))))
+    changed = variants.select(
+        "as_of", "company", "_input", *[F.col(n).alias(f"_own_{n}") for n in names],
+        *[F.when(F.col("_input") == n, F.lit(0.5)).otherwise(F.col(n)).alias(n) for n in names],
+    )
+    odds = scored(changed).withColumn("_odds", logit(F.col("p")))
+    own = F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"_own_{n}"))])
+    per_row = odds.groupBy("as_of", "company").agg(
+        F.max(F.when(F.col("_input") == "", F.col("_odds"))).alias("_full"),
+        F.collect_list(F.when(F.col("_input") != "", F.struct("_input", F.element_at(own, F.col("_input")).alias("_rank"), "_odds"))).alias("_without"),
+    )  # a row's inputs
+    found = F.transform("_without", lambda w: F.struct(
+        (-F.abs(F.col("_full") - w["_odds"])).alias("_order"), w["_input"].alias("feature"), w["_rank"].alias("percentile"),
+        (F.col("_full") - w["_odds"]).alias("contribution"),
+    ))
+    kept = F.transform(F.slice(F.sort_array(found), 1, top), lambda d: F.struct(d["feature"], d["percentile"], d["contribution"]))
+    return per_row.select("as_of", "company", kept.alias("drivers"))
+
+
 # --- Evaluation ---------------------------------------------------------------------------
 
 
@@ -198,7 +319,8 @@ def rank_ic(preds: DataFrame, by: list[str], minimum: int = 20) -> DataFrame:
     a = R.value_positions(preds, keys, "p").select(*keys, "p", R.average_rank().alias("_rp"), "n")
     b = R.value_positions(preds, keys, "excess").select(*keys, "excess", R.average_rank().alias("_re"))
     ranked = preds.join(a, [*keys, "p"]).join(b, [*keys, "excess"]).where(F.col("n") >= minimum)
-    dates = ranked.groupBy(*keys).agg(F.corr("_rp", "_re").alias("ic")).where(F.col("ic").isNotNull() & ~F.isnan("ic"))
+    spread = F.stddev_pop("_rp") * F.stddev_pop("_re")  # zero where a date's scores or results are all equal
+    dates = ranked.groupBy(*keys).agg(F.try_divide(F.covar_pop("_rp", "_re"), spread).alias("ic")).where("ic is not null")
     return dates.groupBy(*by).agg(
         F.count(F.lit(1)).alias("dates"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("std"),
         (F.try_divide(F.avg("ic"), F.stddev_samp("ic")) * F.sqrt(F.count(F.lit(1)))).alias("t_stat"),
@@ -232,12 +354,20 @@ def segment_metrics(preds: DataFrame, segment: str, minimum: int = 300) -> DataF
     return classification(preds, [segment]).where(F.col("rows") >= minimum)
 
 
-def interval_forecast(train: DataFrame, new: DataFrame, bins: int = 10) -> DataFrame:
-    """10/50/90% range of results among past rows of the same score bin; null where the bin has no past rows."""
-    place = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin")
-    past = train.select(place, "excess")
-    quant = R.quantiles(R.value_positions(past, ["bin"], "excess"), ["bin"], "excess", {"low": 0.1, "mid": 0.5, "high": 0.9})
-    return new.withColumn("bin", place).join(F.broadcast(quant.drop("n")), "bin", "left")  # one row per bin
+def interval_forecast(train: DataFrame, new: DataFrame, bins: int = 10, *, whole: bool = False) -> DataFrame:
+    """10/50/90% range of results among past rows of the same score bin.
+
+    Where the bin has no past rows it is null, or that of all past rows (`whole`)."""
+    place = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1))
+    levels = {"low": 0.1, "mid": 0.5, "high": 0.9}
+    past = train.select(F.explode(F.array(place, F.lit(-1).cast("long")) if whole else F.array(place)).alias("bin"), "excess")
+    quant = cut_lineage(R.quantiles(R.value_positions(past, ["bin"], "excess"), ["bin"], "excess", levels).drop("n"))
+    found = new.withColumn("bin", place).join(F.broadcast(quant), "bin", "left")  # one row per bin
+    if not whole:
+        return found
+    every = quant.where("bin = -1").select(*[F.col(c).alias(f"_{c}") for c in levels])
+    found = found.join(F.broadcast(every), how="left")  # one row
+    return found.withColumns({c: F.coalesce(c, f"_{c}") for c in levels}).drop(*[f"_{c}" for c in levels])
 
 
 def quantile_metrics(rows: DataFrame) -> DataFrame:
@@ -289,12 +419,26 @@ def history(predictions: DataFrame, outcomes: DataFrame, company: int, limit: in
     return kept.join(outcomes.select("model", "company", "as_of", "excess"), ["model", "company", "as_of"], "left")
 
 
-def latest_predictions(predictions: DataFrame, models: DataFrame) -> DataFrame:
-    """Latest prediction per active model and company, with the model's gate."""
-    best = F.max_by(F.struct("as_of", "p"), "as_of").alias("b")
-    newest = predictions.groupBy("model", "company").agg(best)
-    active = models.where(F.col("status") == "active").select("model", "validated")
-    return newest.join(active, "model").select("model", "company", F.col("b.as_of").alias("as_of"), F.col("b.p").alias("p"), "validated")
+def evaluated(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Per model: the measures of its predictions with outcomes, and whether they pass the gate."""
+    known = cut_lineage(predictions.join(outcomes.select("model", "company", "as_of", "excess"), ["model", "company", "as_of"]))
+    return gate(classification(known, ["model"]).join(rank_ic(known, ["model"]), "model", "left"))
+
+
+def latest_predictions(predictions: DataFrame, models: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Latest prediction per active model and company with its range, the model's gate and the company's realised history.
+
+    `models`: model, status, validated (from the stored evaluation; null is not validated)."""
+    kept = [c for c in predictions.columns if c not in ("model", "company")]
+    newest = predictions.groupBy("model", "company").agg(F.max_by(F.struct(*kept), "as_of").alias("b"))
+    active = models.where(F.col("status") == "active").select("model", F.coalesce("validated", F.lit(False)).alias("validated"))
+    realised = predictions.select("model", "company", "as_of", "p").join(outcomes.select("model", "company", "as_of", "excess", "went_up"), ["model", "company", "as_of"])
+    realised = realised.groupBy("model", "company").agg(
+        F.count(F.lit(1)).alias("realised"), F.avg(((F.col("p") > 0.5) == F.col("went_up")).cast("double")).alias("hit_rate"),
+        F.max_by("excess", "as_of").alias("last_excess"),
+    )
+    joined = newest.join(F.broadcast(active), "model").join(realised, ["model", "company"], "left")  # a row per active model
+    return joined.select("model", "company", "b.*", "validated", F.coalesce("realised", F.lit(0)).alias("realised"), "hit_rate", "last_excess")
 
 
 def retire_and_add(models: DataFrame, version: DataFrame) -> DataFrame:

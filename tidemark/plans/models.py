@@ -89,8 +89,9 @@ def baseline_fit(t: Tables):
 
 @query("walk_forward")
 def walk_forward(t: Tables):
-    out = L.walk_forward(_dataset(t), MODEL_NAMES, minimum=(300, 50), rounds=3)
-    return out.select("as_of", "company", "fold", qc("p", digits=4), qc("p_base", digits=4))
+    out = L.walk_forward(_dataset(t), MODEL_NAMES)
+    digits = ("p_raw", "p", "low", "mid", "high", "p_base")
+    return out.select("as_of", "company", "fold", "calibrator", *[qc(c, digits=4) for c in digits])
 
 
 @query("importance")
@@ -103,16 +104,29 @@ def importance(t: Tables):
 
 @query("calibrate")
 def calibrate(t: Tables):
-    return L.choose_calibrator(_preds(t).withColumn("up", (F.col("excess") > 0).cast("double")))
+    chosen, scores = L.choose_calibrator(_preds(t).withColumn("up", (F.col("excess") > 0).cast("double")))
+    rows = [(name, value, name == chosen.method, chosen.slope, chosen.intercept, len(chosen.xs)) for name, value in scores.items()]
+    return t.spark.createDataFrame(rows, "method string, brier double, chosen boolean, slope double, intercept double, thresholds int")
+
+
+#: Thresholds an isotonic fit could have given.
+STEPS = ((0.05, 0.2, 0.45, 0.55, 0.7, 0.95), (0.3, 0.4, 0.41, 0.52, 0.6, 0.66))
+_LINES = " ".join(
+    f"WHEN p < {x1} THEN {y0} + (p - {x0}) * (({y1} - {y0}) / ({x1} - {x0}))"
+    for x0, x1, y0, y1 in zip(STEPS[0], STEPS[0][1:], STEPS[1], STEPS[1][1:])
+)
 
 
 @query(
     "calibrator_apply",
-    f"""WITH {_PREDS} SELECT as_of, company, {q('1 / (1 + exp(-(0.8 * ln(c / (1 - c)) + 0.1)))')} AS p
+    f"""WITH {_PREDS} SELECT as_of, company, p AS p_raw, {q('1 / (1 + exp(-(0.8 * ln(c / (1 - c)) + 0.1)))')} AS platt,
+        {q(f'CASE WHEN p <= {STEPS[0][0]} THEN {STEPS[1][0]} {_LINES} ELSE {STEPS[1][-1]} END')} AS isotonic
         FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, p)) AS c FROM preds)""",
 )
 def calibrator_apply(t: Tables):
-    return _preds(t).select("as_of", "company", qc(L.apply_platt(F.col("p"), 0.8, 0.1), "p"))
+    methods = (L.Calibrator("platt", 0.8, 0.1), L.Calibrator("isotonic", xs=STEPS[0], ys=STEPS[1]))
+    own = F.col("p")
+    return _preds(t).select("as_of", "company", own.alias("p_raw"), *[qc(m.apply(own), m.method) for m in methods])
 
 
 _AUC = f"""ranked AS (SELECT *, {_UP} AS up, rank() OVER (PARTITION BY __S__ ORDER BY p) + (count(*)
@@ -241,15 +255,47 @@ def _journal(t: Tables):
     return stored, labels, done
 
 
+#: A known scorer: log-odds of two ranked inputs and one that is missing for some.
+_WEIGHTS = {"x1": 1.5, "x2": -2.0, "x3": 0.75}
+_X = """x AS (SELECT *, p AS x1, (company * 7 + month(as_of)) % 10 / 10.0 AS x2, CASE WHEN company % 3 <> 0 THEN 0.9 END AS x3 FROM preds),
+    c AS (SELECT *, 1.5 * (x1 - 0.5) AS c1, -2.0 * (x2 - 0.5) AS c2, 0.75 * (coalesce(x3, 0.5) - 0.5) AS c3 FROM x),
+    scored AS (SELECT *, 1 / (1 + exp(-(c1 + c2 + c3))) AS raw FROM c)"""
+
+
+def _scorer(rows):
+    odds = sum(w * (F.coalesce(F.col(n), F.lit(0.5)) - 0.5) for n, w in _WEIGHTS.items())
+    return rows.withColumn("p", 1 / (1 + F.exp(-odds)))
+
+
 @query(
     "predict_latest",
-    f"""WITH {_PREDS} SELECT 'm1' AS model, company, as_of, {q('p')} AS p FROM preds
-        WHERE as_of = (SELECT max(as_of) FROM preds) AND segment = 4""",
+    f"""WITH {_PREDS}, {_X}, cal AS (SELECT *, 1 / (1 + exp(-(0.8 * ln(raw / (1 - raw)) + 0.1))) AS cp FROM scored),
+        binned AS (SELECT *, least(floor(cp * 10), 9) AS bin FROM cal),
+        past AS (SELECT * FROM binned WHERE as_of < DATE '2000-01-01'),
+        ranges AS (SELECT bin, quantile_cont(excess, 0.1) AS low, quantile_cont(excess, 0.5) AS mid, quantile_cont(excess, 0.9) AS high FROM past GROUP BY 1),
+        every AS (SELECT quantile_cont(excess, 0.1) AS low, quantile_cont(excess, 0.5) AS mid, quantile_cont(excess, 0.9) AS high FROM past),
+        parts AS (SELECT company, as_of, unnest([{{'o': -abs(c1), 'f': 'x1', 'c': c1}}, {{'o': -abs(c2), 'f': 'x2', 'c': c2}}, {{'o': -abs(c3), 'f': 'x3', 'c': c3}}]) AS d FROM scored),
+        tops AS (SELECT company, as_of, string_agg(f || ':' || round(c * 1000)::INT, ',' ORDER BY o, f) AS drivers FROM (SELECT company, as_of, d.f AS f, d.c AS c, d.o AS o,
+            row_number() OVER (PARTITION BY company, as_of ORDER BY d.o, d.f) AS r FROM parts) WHERE r <= 2 GROUP BY ALL)
+        SELECT 'm1' AS model, company, as_of, {q('raw')} AS p_raw, {q('cp')} AS p, {q('coalesce(r.low, e.low)')} AS low, {q('coalesce(r.mid, e.mid)')} AS mid,
+            {q('coalesce(r.high, e.high)')} AS high, drivers FROM binned LEFT JOIN ranges r USING (bin), every e JOIN tops USING (company, as_of)
+        WHERE as_of = (SELECT max(as_of) FROM preds) AND segment = 4""".replace("binned LEFT JOIN ranges r USING (bin), every e JOIN tops USING (company, as_of)",
+        "binned LEFT JOIN ranges r USING (bin) CROSS JOIN every e JOIN tops USING (company, as_of)"),
 )
 def predict_latest(t: Tables):
-    scored = _preds(t).withColumn("model", F.lit("m1"))
-    stored = scored.where("segment != 4").select("model", "company", "as_of")
-    return L.new_predictions(scored, stored).select("model", "company", "as_of", qc("p"))
+    inputs = _preds(t).select(
+        "as_of", "company", "segment", "excess", F.col("p").alias("x1"),
+        ((F.col("company") * 7 + F.month("as_of")) % 10 / 10).alias("x2"), F.when(F.col("company") % 3 != 0, 0.9).alias("x3"),
+    )
+    calibrator = L.Calibrator("platt", 0.8, 0.1)
+    scored = L.cut_lineage(_scorer(inputs).withColumnRenamed("p", "p_raw").withColumn("p", calibrator.apply(F.col("p_raw"))))
+    past = scored.where(F.col("as_of") < F.lit("2000-01-01").cast("date")).select("p", "excess")
+    stored = scored.where("segment != 4").select(F.lit("m1").alias("model"), "company", "as_of")
+    fresh = L.new_predictions(scored.withColumn("model", F.lit("m1")), stored)
+    why = L.drivers(fresh, list(_WEIGHTS), _scorer, top=2)
+    named = F.transform("drivers", lambda d: F.concat(d["feature"], F.lit(":"), F.round(d["contribution"] * 1000).cast("int").cast("string")))
+    found = L.interval_forecast(past, fresh, whole=True).join(why.select("as_of", "company", F.array_join(named, ",").alias("drivers")), ["as_of", "company"])
+    return found.select("model", "company", "as_of", qc("p_raw"), qc("p"), qc("low"), qc("mid"), qc("high"), "drivers")
 
 
 @query("score_outcomes", f"WITH {_JOURNAL} SELECT model, company, as_of, went_up, {q('brier')} AS brier FROM matured")
@@ -279,15 +325,37 @@ def history(t: Tables):
     return L.history(stored, L.score_outcomes(stored, done, labels), 3).select("as_of", qc("p"), qc("excess"))
 
 
+_VIEW = f"""{_PREDS}, doubled AS (SELECT 'm1' AS model, company, as_of, segment, p, excess FROM preds UNION ALL
+        SELECT 'm2', company, as_of, segment, 1 / (1 + exp(-20 * excess - 3 * (p - 0.5))), excess FROM preds),
+    stored AS (SELECT * FROM doubled WHERE segment <> 4),
+    known AS (SELECT * FROM stored WHERE as_of < DATE '2001-06-01'),
+    ranked AS (SELECT *, {_UP} AS up, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2 AS rk FROM known),
+    quality AS (SELECT model, (sum(up * rk) - sum(up) * (sum(up) + 1) / 2) / (sum(up) * sum(1 - up)) AS auc, avg(power(p - up, 2)) AS brier,
+        avg(up) * (1 - avg(up)) AS base FROM ranked GROUP BY 1),
+    r AS (SELECT *, count(*) OVER (PARTITION BY model, as_of) AS n, rank() OVER (PARTITION BY model, as_of ORDER BY p) + (count(*) OVER (PARTITION BY model, as_of, p) - 1) / 2 AS rp,
+        rank() OVER (PARTITION BY model, as_of ORDER BY excess) + (count(*) OVER (PARTITION BY model, as_of, excess) - 1) / 2 AS re FROM known),
+    ics AS (SELECT model, avg(ic) / stddev_samp(ic) * sqrt(count(*)) AS t FROM (SELECT model, as_of, corr(rp, re) AS ic FROM r WHERE n >= 20 GROUP BY 1, 2) GROUP BY 1),
+    gates AS (SELECT model, coalesce(auc > 0.52 AND brier < base AND t > 2, false) AS validated FROM quality LEFT JOIN ics USING (model)),
+    newest AS (SELECT model, company, max(as_of) AS as_of, arg_max(p, as_of) AS p FROM stored GROUP BY 1, 2),
+    past AS (SELECT model, company, count(*) AS realised, avg(CASE WHEN (p > 0.5) = (excess > 0) THEN 1.0 ELSE 0.0 END) AS hit_rate, arg_max(excess, as_of) AS last_excess FROM known GROUP BY 1, 2)"""
+
+
 @query(
     "predictions_view",
-    f"""WITH {_JOURNAL} SELECT model, company, max(as_of) AS as_of, {q('arg_max(p, as_of)')} AS p, true AS validated
-        FROM stored GROUP BY 1, 2""",
+    f"""WITH {_VIEW} SELECT model, company, as_of, {q('p')} AS p, validated, coalesce(realised, 0) AS realised, {q('hit_rate')} AS hit_rate,
+        {q('last_excess')} AS last_excess FROM newest JOIN gates USING (model) LEFT JOIN past USING (model, company)""",
 )
 def predictions_view(t: Tables):
-    stored, _, _ = _journal(t)
-    models = t.spark.createDataFrame([("m1", "active", True)], "model string, status string, validated boolean")
-    return L.latest_predictions(stored, models).select("model", "company", "as_of", qc("p"), "validated")
+    preds = _preds(t)
+    sharp = preds.withColumn("p", 1 / (1 + F.exp(-20 * F.col("excess") - 3 * (F.col("p") - 0.5))))
+    both = preds.withColumn("model", F.lit("m1")).unionByName(sharp.withColumn("model", F.lit("m2")))
+    stored = L.cut_lineage(both.where("segment != 4").select("model", "company", "as_of", "p", "excess"))
+    labels = preds.select("company", "as_of", "excess").where(F.col("as_of") < F.lit("2001-06-01").cast("date"))
+    made = stored.drop("excess")
+    outcomes = L.score_outcomes(made, made.limit(0), labels)
+    models = L.evaluated(made, outcomes).select("model", F.lit("active").alias("status"), "validated")
+    found = L.latest_predictions(made, models, outcomes)
+    return found.select("model", "company", "as_of", qc("p"), "validated", "realised", qc("hit_rate"), qc("last_excess"))
 
 
 @query(
