@@ -34,10 +34,15 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
     return configure(spark)
 
 
-def shared_folder(spark: SparkSession, prefix: str) -> str:
-    """A new folder under spark.checkpoint.dir; beside the warehouse where that is unset."""
+def stage_base(spark: SparkSession) -> str:
+    """The folder that executors share: spark.checkpoint.dir; beside the warehouse where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-stages"
-    return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """A new folder under the shared one."""
+    return f"{stage_base(spark)}/{prefix}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
