@@ -207,3 +207,10 @@ NAME_ENDINGS = (
 STOP_WORDS = (
     "a an and are as at be by for from has have in is it its of on or the to with says said".split()
 )
+
+# How a headline writes a ticker, as what stands before and after it.
+TICKER_PATTERNS = {
+    "exchange": (r"(?i)\((?:(?:nyse|nasdaq|nyse american|amex|otc)\s*:\s*)?", r"\)"),
+    "cash": (r"\$", r"\b"),
+    "bare": (r"\b", r"\b"),
+}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,11 +16,14 @@ from tidemark.functions.lookups import (
     HEADLINE_RULES,
     NAME_ENDINGS,
     STOP_WORDS,
+    TICKER_PATTERNS,
 )
+from tidemark.operators.search import usable
 from tidemark.session import cut_lineage
 
 NOVELTY_US = 72 * 3600 * 1_000_000
 REPEAT_OVERLAP = 0.5
+REPEAT_COSINE = 0.82
 
 
 def in_spans(rows: DataFrame, span: int = NOVELTY_US) -> DataFrame:
@@ -63,19 +68,17 @@ def _literal(text: Column) -> Column:
     return F.concat(F.lit(r"\Q"), text, F.lit(r"\E"))
 
 
-def mention(title: Column, name: Column, ticker: Column) -> Column:
-    """How a headline names a company: title_ticker, title_name, or query_only (low confidence)."""
-    t = _literal(ticker)
-    exchange = F.concat(
-        F.lit(r"(?i)\((?:(?:nyse|nasdaq|nyse american|amex|otc)\s*:\s*)?"), t, F.lit(r"\)")
-    )
-    cash = F.concat(F.lit(r"\$"), t, F.lit(r"\b"))
-    bare = F.concat(F.lit(r"\b"), t, F.lit(r"\b"))
+def mention(title: Column, name: Column, tickers: Column) -> Column:
+    """How a headline names a company: title_ticker, title_name, or query_only (low confidence).
+
+    `tickers`: all listed ones of the company, as an array; null or empty names none."""
+    pattern = lambda kind, t: F.concat(F.lit(TICKER_PATTERNS[kind][0]), _literal(t), F.lit(TICKER_PATTERNS[kind][1]))
     named = F.concat(F.lit(r"(?i)\b"), _literal(name), F.lit(r"(?:'s)?\b"))
-    by_ticker = (
-        F.regexp_like(title, exchange)
-        | F.regexp_like(title, cash)
-        | ((F.length(ticker) >= 3) & F.regexp_like(title, bare))
+    by_ticker = F.exists(
+        F.coalesce(tickers, F.array().cast("array<string>")),
+        lambda t: F.regexp_like(title, pattern("exchange", t))
+        | F.regexp_like(title, pattern("cash", t))
+        | ((F.length(t) >= 3) & F.regexp_like(title, pattern("bare", t))),
     )
     return (
         F.when(by_ticker, "title_ticker")
@@ -84,20 +87,25 @@ def mention(title: Column, name: Column, ticker: Column) -> Column:
     )
 
 
-def headline_type(title: Column) -> Column:
-    found = F.lit("other")
-    for kind, pattern in reversed(HEADLINE_RULES):
-        found = F.when(title.rlike(f"(?i){pattern}"), F.lit(kind)).otherwise(found)
+#: One pass tells whether any rule can match.
+_ANY_RULE = "(?i)" + "|".join(f"(?:{pattern})" for _, pattern in HEADLINE_RULES)
+
+
+def _by_rule(title: Column, value) -> Column:
+    """value(kind, pattern) of the first rule that matches, null where none does."""
+    found = F.when(~title.rlike(_ANY_RULE), F.lit(None).cast("string"))
+    for kind, pattern in HEADLINE_RULES:
+        found = found.when(title.rlike(f"(?i){pattern}"), value(kind, f"(?i){pattern}"))
     return found
 
 
+def headline_type(title: Column) -> Column:
+    return F.coalesce(_by_rule(title, lambda kind, _: F.lit(kind)), F.lit("other"))
+
+
 def matched_words(title: Column) -> Column:
-    """The words that decided a headline's type."""
-    found = F.lit(None).cast("string")
-    for _, pattern in reversed(HEADLINE_RULES):
-        text = F.regexp_extract(title, f"(?i){pattern}", 0)
-        found = F.when(text != "", text).otherwise(found)
-    return found
+    """The words that decided a headline's type; null for other headlines."""
+    return _by_rule(title, lambda _, pattern: F.regexp_extract(title, pattern, 0))
 
 
 def filing_type(items: Column) -> Column:
@@ -194,38 +202,103 @@ def _similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(scored.where(F.col("score") >= threshold), ["key", "other"]).select("company", "_slot", "key", "other", "score")
 
 
-def novelty(news: DataFrame, threshold: float = REPEAT_OVERLAP, span: int = NOVELTY_US) -> DataFrame:
-    """Per headline the most similar earlier one of the company within the span, when it reaches
-    the overlap; ties go to the lowest id. Similarity under the threshold is not reported.
+def _earlier_copies(spread: DataFrame, span: int) -> DataFrame:
+    """Headlines in spans (key: what they say) → each once with prior, the lowest id of an earlier equal one within the span."""
+    frame = Window.partitionBy("company", "_slot", "key").orderBy("seen_us").rangeBetween(-span, -1)
+    return spread.withColumn("prior", F.min("news_id").over(frame)).where("_slot = _own").drop("_own")
 
-    Earlier headlines are found by trailing windows over each word set, never by pairing rows."""
-    words = story_words(F.col("title"))
-    rows = news.select("news_id", "company", "seen_us", words.alias("words"))
+
+def _by_words(news: DataFrame, threshold: float, span: int) -> DataFrame:
+    """news_id, similarity, prior of headlines with an earlier one whose words overlap enough.
+
+    An equal word set is the best there can be, so only headlines without one ask other sets: the first of a story in a span.
+    What they ask for are word sets, answered by trailing windows over each set's occurrences."""
+    rows = news.select("news_id", "company", "seen_us", story_words(F.col("title")).alias("words"))
     rows = rows.withColumn("key", F.xxhash64(F.array_join("words", " "))).where(F.size("words") > 0)
-    spread = in_spans(rows, span)
+    spread = cut_lineage(in_spans(rows, span))
+    copies = _earlier_copies(spread.drop("words"), span)
+    same = copies.where("prior is not null").select("news_id", F.lit(1.0).alias("similarity"), "prior")
     similar = _similar_sets(spread, threshold)
-    asks = spread.where("_slot = _own").select("news_id", "company", "seen_us", "key", "_slot")
-    own = asks.select("news_id", "company", "seen_us", "_slot", F.col("key").alias("target"), F.lit(1.0).alias("score"))
-    other = asks.join(similar, ["company", "_slot", "key"]).select(
+    asks = copies.where("prior is null").select("news_id", "company", "seen_us", "key", "_slot")
+    asks = asks.join(similar, ["company", "_slot", "key"]).select(
         "news_id", "company", "seen_us", "_slot", F.col("other").alias("target"), "score"
-    )
-    requests = own.unionByName(other).withColumn("_event", F.lit(None).cast("bigint"))
+    ).withColumn("_event", F.lit(None).cast("bigint"))
     known = spread.select(
         F.lit(None).cast("bigint").alias("news_id"), "company", "seen_us", "_slot",
         F.col("key").alias("target"), F.lit(None).cast("double").alias("score"), F.col("news_id").alias("_event"),
     )
-    frame = (
-        Window.partitionBy("company", "_slot", "target").orderBy("seen_us").rangeBetween(-span, -1)
-    )
-    answered = requests.unionByName(known).withColumn("prior", F.min("_event").over(frame))
+    frame = Window.partitionBy("company", "_slot", "target").orderBy("seen_us").rangeBetween(-span, -1)
+    answered = asks.unionByName(known).withColumn("prior", F.min("_event").over(frame))
     found = answered.where(F.col("news_id").isNotNull() & F.col("prior").isNotNull())
     best = F.max(F.struct("score", (-F.col("prior")).alias("_neg"))).alias("b")
-    chosen = found.groupBy("news_id").agg(best).select(
-        "news_id", F.col("b.score").alias("similarity"), (-F.col("b._neg")).alias("prior")
-    )
-    return news.select("news_id", "company", "seen_us").join(chosen, "news_id", "left").withColumn(
-        "novelty", F.when(F.col("prior").isNotNull(), "repeat").otherwise("first")
-    )
+    other = found.groupBy("news_id").agg(best).select("news_id", F.col("b.score").alias("similarity"), (-F.col("b._neg")).alias("prior"))
+    return same.unionByName(other)
+
+
+#: Headlines whose vectors are compared at once.
+_BLOCK = 1024
+
+
+def _best_cosine(span: int):
+    """(asking headlines, earlier ones) of one pair of blocks → per asking headline its nearest earlier one."""
+
+    def run(asks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        names = ["news_id", "similarity", "prior"]
+        if asks.empty or known.empty:
+            return pd.DataFrame({"news_id": [], "similarity": [], "prior": []}).astype({"news_id": "int64", "similarity": "float64", "prior": "int64"})
+        known = known.sort_values("news_id")
+        unit = lambda f: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(np.stack(f["vector"].to_numpy()).astype(float))
+        scores = np.round(unit(asks) @ unit(known).T, 9)  # equal but for rounding is a tie
+        age = asks["seen_us"].to_numpy()[:, None] - known["seen_us"].to_numpy()[None, :]
+        scores[(age <= 0) | (age > span)] = -np.inf
+        at = scores.argmax(1)  # the lowest id of those that tie
+        top = scores[np.arange(len(at)), at]
+        found = pd.DataFrame({"news_id": asks["news_id"].to_numpy(), "similarity": top, "prior": known["news_id"].to_numpy()[at]})
+        return found[np.isfinite(top)][names]
+
+    return run
+
+
+def _by_vectors(news: DataFrame, span: int) -> DataFrame:
+    """news_id, similarity, prior of headlines with a vector: the nearest earlier one of the company within the span.
+
+    Only vectors of one model are compared. An equal vector is the nearest there can be; the other headlines are compared in
+    blocks of _BLOCK by _BLOCK, of which each gives a headline's best only."""
+    key = F.xxhash64("model", "vector")
+    rows = news.select("news_id", "company", "seen_us", "model", "vector", key.alias("key"))
+    spread = cut_lineage(in_spans(rows, span))
+    copies = _earlier_copies(spread, span)
+    same = copies.where("prior is not null").select("news_id", F.lit(1.0).alias("similarity"), "prior")
+    group = ["company", "_slot", "model"]
+    place = F.pmod(F.xxhash64("news_id"), F.greatest(F.lit(1), F.ceil(F.col("_n") / _BLOCK)))
+    blocks = lambda c: F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col(c) / _BLOCK) - 1).cast("long"))
+    asks = copies.where("prior is null").drop("prior", "key")
+    sizes = spread.groupBy(*group).agg(F.count(F.lit(1)).alias("_known")).join(asks.groupBy(*group).agg(F.count(F.lit(1)).alias("_asks")), group)
+    left = asks.join(sizes.withColumn("_n", F.col("_asks")), group).select(*group, "news_id", "seen_us", "vector", place.alias("_a"), F.explode(blocks("_known")).alias("_b"))
+    right = spread.join(sizes.withColumn("_n", F.col("_known")), group).select(*group, "news_id", "seen_us", "vector", F.explode(blocks("_asks")).alias("_a"), place.alias("_b"))
+    pair = [*group, "_a", "_b"]
+    right = right.toDF(*right.columns)  # columns of its own: both sides come from one table
+    found = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(_best_cosine(span), "news_id bigint, similarity double, prior bigint")
+    best = F.max(F.struct("similarity", (-F.col("prior")).alias("_neg"))).alias("b")
+    other = found.groupBy("news_id").agg(best).select("news_id", "b.similarity", (-F.col("b._neg")).alias("prior"))
+    return same.unionByName(other)
+
+
+def novelty(news: DataFrame, threshold: float = REPEAT_OVERLAP, span: int = NOVELTY_US) -> DataFrame:
+    """Per headline the most similar earlier one of the company within the span; ties go to the lowest id.
+
+    Where news has columns `vector` and `model`, headlines with a vector are compared by cosine with earlier ones of the same
+    model: the similarity is reported, and prior and repeat where it reaches REPEAT_COSINE. Others are compared by words and
+    reported when they reach the overlap."""
+    base = news.select("news_id", "company", "seen_us")
+    if "vector" in news.columns:
+        with_vector = usable(F.col("vector")) & F.col("model").isNotNull()
+        near = _by_vectors(news.where(with_vector), span)
+        near = near.withColumn("prior", F.when(F.col("similarity") >= REPEAT_COSINE, F.col("prior")))
+        chosen = near.unionByName(_by_words(news.where(~with_vector), threshold, span))
+    else:
+        chosen = _by_words(news, threshold, span)
+    return base.join(chosen, "news_id", "left").withColumn("novelty", F.when(F.col("prior").isNotNull(), "repeat").otherwise("first"))
 
 
 def story_clusters(judged: DataFrame) -> DataFrame:
@@ -291,46 +364,73 @@ def alert_scope(rules: DataFrame, listings: DataFrame, watchlists: DataFrame) ->
     return named.select("rule_id", "company").unionByName(watched.select("rule_id", "company")).distinct()
 
 
-def _candidates(rows: DataFrame, kind: str, prefix: str, key: Column) -> DataFrame:
+def _candidates(rows: DataFrame, kind: str, prefix: str, key: Column, *more: str) -> DataFrame:
     subject = F.concat(F.lit(f"{prefix}:"), key.cast("string"))
-    return rows.select("rule_id", "company", F.lit(kind).alias("kind"), subject.alias("subject_key"))
+    return rows.select("rule_id", "company", F.lit(kind).alias("kind"), subject.alias("subject_key"), *more)
 
 
-def alert_candidates(
-    rules: DataFrame, scope: DataFrame, filings: DataFrame, events: DataFrame, trades: DataFrame, closes: DataFrame
-) -> DataFrame:
-    """Matches of every rule: filings, earnings, news, insider trades and price moves.
+def scoped_rules(rules: DataFrame, scope: DataFrame) -> DataFrame:
+    """A row per rule and company it watches. `rules`: rule_id, kind, min_value, min_move, since."""
+    return scope.join(rules.drop("tickers", "watchlist_id"), "rule_id")
+
+
+def _of(scoped: DataFrame, kind: str) -> DataFrame:
+    return scoped.where(F.col("kind") == kind).drop("kind")
+
 
-    `rules`: rule_id, kind, min_value, min_move, since. `closes`: company, trade_date, close."""
-    scoped = scope.join(rules.drop("tickers", "watchlist_id"), "rule_id")
-    of = lambda kind: scoped.where(F.col("kind") == kind).drop("kind")
-    filed = of("filing").join(filings, "company").where(
+def filing_candidates(scoped: DataFrame, filings: DataFrame, *more: str) -> DataFrame:
+    """Filings of the watched forms, and earnings reports."""
+    filed = _of(scoped, "filing").join(filings, "company").where(
         F.col("form").isin("10-K", "10-Q", "8-K", "10-K/A", "10-Q/A", "8-K/A") & (F.col("filed_date") >= F.col("since"))
     )
-    reported = of("earnings").join(filings, "company").where(
+    reported = _of(scoped, "earnings").join(filings, "company").where(
         (F.col("form") == "8-K") & F.col("is_earnings") & (F.col("filed_date") >= F.col("since"))
     )
-    news = of("news").join(events, "company").where(
-        (F.col("novelty") == "first") & (F.col("event_day") >= F.col("since"))
+    return _candidates(filed, "filing", "filing", F.col("accession"), *more).unionByName(
+        _candidates(reported, "earnings", "event", F.col("accession"), *more)
     )
-    bought = of("insider").join(trades, "company").where(
+
+
+def news_candidates(scoped: DataFrame, events: DataFrame, *more: str) -> DataFrame:
+    """First reports."""
+    news = _of(scoped, "news").join(events, "company").where((F.col("novelty") == "first") & (F.col("event_day") >= F.col("since")))
+    return _candidates(news, "news", "event", F.col("news_id"), *more)
+
+
+def insider_candidates(scoped: DataFrame, trades: DataFrame, *more: str) -> DataFrame:
+    """Insider purchases of a rule's least value or more."""
+    bought = _of(scoped, "insider").join(trades, "company").where(
         (F.col("code") == "P") & (F.col("shares") * F.col("price") >= F.col("min_value")) & (F.col("tx_date") >= F.col("since"))
     )
+    return _candidates(bought, "insider", "insider", F.col("tx_id"), *more)
+
+
+def price_candidates(scoped: DataFrame, moves: DataFrame, *more: str) -> DataFrame:
+    """Moves (company, last_day, move) of a rule's least size or more."""
+    moved = _of(scoped, "price").join(moves, "company").where(F.abs("move") >= F.col("min_move"))
+    return _candidates(moved, "price", "price", F.concat_ws(":", "company", "last_day"), *more)
+
+
+def last_moves(closes: DataFrame) -> DataFrame:
+    """Each company's newest close against the one before. `closes`: company, trade_date, close."""
     newest = Window.partitionBy("company").orderBy(F.desc("trade_date"))
     two = closes.withColumn("_back", F.row_number().over(newest)).where("_back <= 2")
-    moves = two.groupBy("company").agg(
+    return two.groupBy("company").agg(
         F.max("trade_date").alias("last_day"),
         F.max(F.when(F.col("_back") == 1, F.col("close"))).alias("_now"),
         F.max(F.when(F.col("_back") == 2, F.col("close"))).alias("_before"),
-    ).where("_before > 0").withColumn("move", F.col("_now") / F.col("_before") - 1)
-    moved = of("price").join(moves, "company").where(F.abs("move") >= F.col("min_move"))
-    parts = [
-        _candidates(filed, "filing", "filing", F.col("accession")),
-        _candidates(reported, "earnings", "event", F.col("accession")),
-        _candidates(news, "news", "event", F.col("news_id")),
-        _candidates(bought, "insider", "insider", F.col("tx_id")),
-        _candidates(moved, "price", "price", F.concat_ws(":", "company", "last_day")),
-    ]
+    ).where("_before > 0").select("company", "last_day", (F.col("_now") / F.col("_before") - 1).alias("move"))
+
+
+def alert_candidates(
+    rules: DataFrame, scope: DataFrame, filings: DataFrame, events: DataFrame, trades: DataFrame, closes: DataFrame
+) -> DataFrame:
+    """Matches of every rule: filings, earnings, news, insider trades and price moves."""
+    scoped = scoped_rules(rules, scope)
+    parts = (
+        filing_candidates(scoped, filings), news_candidates(scoped, events), insider_candidates(scoped, trades),
+        price_candidates(scoped, last_moves(closes)),
+    )
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -30,6 +30,9 @@ _HEADLINES = f"""headlines AS (SELECT *, CASE news_id % 5 WHEN 0 THEN 'Acme (NYS
 _TYPE_SQL = "CASE " + " ".join(
     f"WHEN regexp_matches(headline, '{p}', 'i') THEN '{k}'" for k, p in HEADLINE_RULES
 ) + " ELSE 'other' END"
+_MATCH_SQL = "CASE " + " ".join(
+    f"WHEN regexp_matches(headline, '{p}', 'i') THEN regexp_extract(headline, '{p}', 0, 'i')" for _, p in HEADLINE_RULES
+) + " END"
 
 
 def _headlines(t: Tables):
@@ -81,16 +84,17 @@ def short_name(t: Tables):
 )
 def mention(t: Tables):
     c = F.col("company").cast("string")
-    name, ticker = F.concat(F.lit("Firm "), c), F.concat(F.lit("TK"), c)
-    return _headlines(t).select("news_id", N.mention(F.col("headline"), name, ticker).alias("method"))
+    name, tickers = F.concat(F.lit("Firm "), c), F.array(F.concat(F.lit("NO.NE"), c), F.concat(F.lit("TK"), c))
+    return _headlines(t).select("news_id", N.mention(F.col("headline"), name, tickers).alias("method"))
 
 
 @query(
     "classify_headline",
-    f"WITH {_HEADLINES} SELECT news_id, {_TYPE_SQL} AS event_type FROM headlines",
+    f"WITH {_HEADLINES} SELECT news_id, {_TYPE_SQL} AS event_type, {_MATCH_SQL} AS matched FROM headlines",
 )
 def classify_headline(t: Tables):
-    return _headlines(t).select("news_id", N.headline_type(F.col("headline")).alias("event_type"))
+    title = F.col("headline")
+    return _headlines(t).select("news_id", N.headline_type(title).alias("event_type"), N.matched_words(title).alias("matched"))
 
 
 _ITEMS = """reports AS (SELECT company, accession, form, filed_date, CASE accession % 6
@@ -184,12 +188,28 @@ def _user_news(t: Tables):
     return t.news().withColumn("company", F.col("company") % 5)
 
 
+# Headlines about documents with a vector are compared by vectors of one model, the others by words.
+_BOTH = _NOVELTY[: _NOVELTY.index("judged AS")].replace(
+    "docs AS (SELECT doc_id, any_value(words) AS words FROM worded WHERE len(words) > 0 GROUP BY 1)",
+    """v AS (SELECT vec_id AS doc_id, label % 2 AS model, embedding::DOUBLE[] AS e FROM embeddings),
+    docs AS (SELECT doc_id, any_value(words) AS words FROM worded WHERE len(words) > 0 AND doc_id NOT IN (SELECT doc_id FROM v) GROUP BY 1)""",
+) + """vnear AS (SELECT a.doc_id AS x, b.doc_id AS y, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a JOIN v b USING (model)),
+    vbest AS (SELECT a.news_id, max(row(score, -b.news_id)) AS b FROM news a JOIN vnear ON a.doc_id = x
+        JOIN news b ON b.doc_id = y AND a.company = b.company AND b.seen_us < a.seen_us
+        AND b.seen_us >= a.seen_us - 259200000000 GROUP BY 1),
+    judged AS (SELECT n.news_id, coalesce(w.b[1], u.b[1]) AS similarity, CASE WHEN w.b IS NULL OR w.b[1] >= 0.82 THEN -coalesce(w.b, u.b)[2] END AS prior
+        FROM news n LEFT JOIN vbest w USING (news_id) LEFT JOIN best u USING (news_id))"""
+
+
 @query(
     "novelty",
-    f"WITH {_NOVELTY} SELECT news_id, {q('similarity')} AS similarity, prior, novelty FROM judged",
+    f"""WITH {_BOTH} SELECT news_id, {q('similarity')} AS similarity, prior,
+        CASE WHEN prior IS NULL THEN 'first' ELSE 'repeat' END AS novelty FROM judged""",
 )
 def novelty(t: Tables):
-    return N.novelty(_user_news(t)).select("news_id", qc("similarity"), "prior", "novelty")
+    model = (F.col("label") % 2).cast("string")
+    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), model.alias("model"))
+    return N.novelty(_user_news(t).join(vectors, "doc_id", "left")).select("news_id", qc("similarity"), "prior", "novelty")
 
 
 _CLUSTERS = f"""WITH RECURSIVE {_NOVELTY}, chain AS (SELECT news_id, news_id AS cluster_id FROM judged
