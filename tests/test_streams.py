@@ -104,3 +104,21 @@ def test_price_moves_keep_two_days_whatever_order_they_come_in(spark):
     last = spark.read.parquet(f"{base}/out").groupBy("company").agg(F.max_by(F.struct("last_day", "move"), "epoch").alias("b")).select("company", "b.*")
     daily = frame.groupBy("company", "trade_date").agg(F.max("close").alias("close"))
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, events.last_moves(daily).collect()))
+
+
+def test_headline_rules_are_tried_wherever_they_match(spark):
+    import re
+
+    from tidemark.functions.lookups import HEADLINE_RULES
+
+    titles = [
+        "Firm FILES for Chapter 11", "restates accounts", "Hackers hit firm", "to acquire a rival", "Spin-off planned", "Q3 results beat", "tops estimates",
+        "second quarter sales", "Outlook cut", "steps down", "names a new chief", "successor found", "hires new head", "dividend", "share offering", "raises $5m",
+        "sues rival", "court ruling", "FTC asks", "downgraded by broker to sell", "price target up", "initiates coverage", "rolls out", "recalls cars", "nothing", "", None,
+    ]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(titles)], "k long, title string")
+    found = {r["k"]: (r["kind"], r["d"]["event_type"], r["d"]["matched"]) for r in rows.select("k", events.headline_type(F.col("title")).alias("kind"), events.decided(F.col("title")).alias("d")).collect()}
+    for k, title in enumerate(titles):
+        hits = [(kind, m[0]) for kind, p in HEADLINE_RULES if (m := re.search(f"(?i){p}", title or ""))]
+        kind, words = hits[0] if hits else ("other", None)
+        assert found[k] == (kind, kind, words)

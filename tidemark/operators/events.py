@@ -87,15 +87,34 @@ def mention(title: Column, name: Column, tickers: Column) -> Column:
     )
 
 
-#: One pass tells whether any rule can match.
-_ANY_RULE = "(?i)" + "|".join(f"(?:{pattern})" for _, pattern in HEADLINE_RULES)
+#: Of each rule, what any text it matches holds one of, in lower case.
+_STEMS = {
+    "bankruptcy": ("chapter 11", "bankrupt", "insolven"),
+    "restatement": ("restat", "accounting error"),
+    "cybersecurity": ("cyber", "data breach", "ransomware", "hack"),
+    "m_and_a": ("acqui", "merg", "takeover", "buyout", "divest", "spin"),
+    "earnings": ("earnings", "quarter", "q1", "q2", "q3", "q4", "beats", "misses", "tops"),
+    "guidance": ("guidance", "outlook", "forecast"),
+    "leadership": ("resign", "step", "retir", "appoint", "name", "succe", "ousted", "fired", "hire"),
+    "capital_return": ("dividend", "buyback", "repurchase"),
+    "financing": ("offering", "credit facility", "raises $"),
+    "legal_regulatory": (
+        "lawsuit", "sue", "settle", "antitrust", "probe", "investigation", "fined", "regulator", "ftc", "doj", "court", "ruling",
+        "verdict", "subpoena",
+    ),
+    "analyst": ("grade", "price target", "initiate", "overweight", "underweight", "outperform", "underperform"),
+    "product": ("launch", "unveil", "recall", "roll"),
+}
 
 
 def _by_rule(title: Column, value) -> Column:
-    """value(kind, pattern) of the first rule that matches, null where none does."""
-    found = F.when(~title.rlike(_ANY_RULE), F.lit(None).cast("string"))
+    """value(kind, pattern) of the first rule that matches, null where none does; a rule is tried where one of its stems stands."""
+    found = F.when(title.isNull(), F.lit(None))
     for kind, pattern in HEADLINE_RULES:
-        found = found.when(title.rlike(f"(?i){pattern}"), value(kind, f"(?i){pattern}"))
+        stems = F.lit(False)
+        for stem in _STEMS[kind]:
+            stems = stems | F.contains(F.lower(title), F.lit(stem))
+        found = found.when(stems & title.rlike(f"(?i){pattern}"), value(kind, f"(?i){pattern}"))
     return found
 
 
@@ -103,9 +122,10 @@ def headline_type(title: Column) -> Column:
     return F.coalesce(_by_rule(title, lambda kind, _: F.lit(kind)), F.lit("other"))
 
 
-def matched_words(title: Column) -> Column:
-    """The words that decided a headline's type; null for other headlines."""
-    return _by_rule(title, lambda _, pattern: F.regexp_extract(title, pattern, 0))
+def decided(title: Column) -> Column:
+    """A headline's type and the words that decided it (null for other headlines), found together."""
+    found = _by_rule(title, lambda kind, pattern: F.struct(F.lit(kind).alias("event_type"), F.regexp_extract(title, pattern, 0).alias("matched")))
+    return F.coalesce(found, F.struct(F.lit("other").alias("event_type"), F.lit(None).cast("string").alias("matched")))
 
 
 def filing_type(items: Column) -> Column:
@@ -163,7 +183,7 @@ def story_words(title: Column) -> Column:
     """Sorted distinct words of a headline without stop words and single letters."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     words = F.regexp_extract_all(F.lower(title), F.lit("([a-z0-9]+)"), 1)
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))))
+    return F.array_sort(F.filter(F.array_except(words, stop), lambda w: F.length(w) > 1))  # each once
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -172,29 +192,24 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / both).otherwise(0.0)
 
 
-def _similar_sets(rows: DataFrame, threshold: float) -> DataFrame:
-    """Word-set pairs of a company that reach the overlap and occur in neighbouring spans.
+def _similar_sets(asked: DataFrame, known: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """Word sets asked for and known in a span (company, _slot, key) → (company, _slot, key, other, score) that reach the overlap.
 
-    Sets that overlap enough share one of their rarest words (prefix filtering), so pairs meet
-    only there; copies of a set count once per span."""
-    sets = rows.groupBy("company", "key", "_slot").agg(
-        F.first("words").alias("words"), F.max((F.col("_slot") == F.col("_own")).cast("int")).alias("_here")
+    Sets that overlap enough share one of their rarest words (prefix filtering), so pairs meet only there. `words` has each
+    set once (key, words): the rarest are found per set, and a pair is scored once, wherever it meets."""
+    token = words.select("key", F.explode("words").alias("token"))
+    ranked = token.join(token.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token").groupBy("key").agg(
+        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order")  # the words of one headline
     )
-    token = sets.where("_here = 1").select("company", "key", F.explode("words").alias("token"))
-    counts = token.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    placed = sets.select("company", "_slot", "key", "_here", F.explode("words").alias("token")).join(counts, "token")
-    rare = placed.groupBy("company", "_slot", "key", "_here").agg(
-        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order")
-    ).withColumn("n", F.size("order"))  # the words of one headline
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1
-    prefix = rare.select("company", "_slot", "key", "_here", "n", F.explode(F.slice("order", F.lit(1), length.cast("int"))["token"]).alias("token"))
-    left = prefix.where("_here = 1").drop("_here")
-    right = prefix.select("company", "_slot", "token", F.col("key").alias("other"), F.col("n").alias("other_n"))
+    size = F.size("order")
+    length = size - F.ceil(size * F.lit(threshold)) + 1
+    rare = cut_lineage(ranked.select("key", size.alias("n"), F.slice("order", F.lit(1), length.cast("int"))["token"].alias("rare")))
+    placed = lambda rows: rows.join(rare, "key").select("company", "_slot", "key", "n", F.explode("rare").alias("token"))
+    right = placed(known).select("company", "_slot", "token", F.col("key").alias("other"), F.col("n").alias("other_n"))
     # sets of too different a size can't reach the overlap
     sizes = F.least("n", "other_n") >= threshold * F.greatest("n", "other_n")
-    met = left.join(right, ["company", "_slot", "token"]).where((F.col("key") != F.col("other")) & sizes)
-    pairs = met.select("company", "_slot", "key", "other").distinct()
-    words = rows.groupBy("key").agg(F.first("words").alias("words"))  # equal keys are equal sets
+    met = placed(asked).join(right, ["company", "_slot", "token"]).where((F.col("key") != F.col("other")) & sizes)
+    pairs = cut_lineage(met.select("company", "_slot", "key", "other").distinct())
     scored = pairs.select("key", "other").distinct().join(words, "key").join(
         words.select(F.col("key").alias("other"), F.col("words").alias("other_words")), "other"
     )
@@ -208,18 +223,17 @@ def _earlier_copies(spread: DataFrame, span: int) -> DataFrame:
     return spread.withColumn("prior", F.min("news_id").over(frame)).where("_slot = _own").drop("_own")
 
 
-def _by_words(news: DataFrame, threshold: float, span: int) -> DataFrame:
-    """news_id, similarity, prior of headlines with an earlier one whose words overlap enough.
+def _by_words(rows: DataFrame, threshold: float, span: int) -> DataFrame:
+    """Headlines (news_id, company, seen_us, words, key) → news_id, similarity, prior of those with an earlier one whose words overlap enough.
 
     An equal word set is the best there can be, so only headlines without one ask other sets: the first of a story in a span.
     What they ask for are word sets, answered by trailing windows over each set's occurrences."""
-    rows = news.select("news_id", "company", "seen_us", story_words(F.col("title")).alias("words"))
-    rows = rows.withColumn("key", F.xxhash64(F.array_join("words", " "))).where(F.size("words") > 0)
-    spread = cut_lineage(in_spans(rows, span))
-    copies = _earlier_copies(spread.drop("words"), span)
+    spread = in_spans(rows.drop("words"), span)
+    copies = cut_lineage(_earlier_copies(spread, span))
     same = copies.where("prior is not null").select("news_id", F.lit(1.0).alias("similarity"), "prior")
-    similar = _similar_sets(spread, threshold)
     asks = copies.where("prior is null").select("news_id", "company", "seen_us", "key", "_slot")
+    sets = lambda found: found.select("company", "_slot", "key").distinct()
+    similar = _similar_sets(sets(asks), sets(spread), rows.groupBy("key").agg(F.first("words").alias("words")), threshold)
     asks = asks.join(similar, ["company", "_slot", "key"]).select(
         "news_id", "company", "seen_us", "_slot", F.col("other").alias("target"), "score"
     ).withColumn("_event", F.lit(None).cast("bigint"))
@@ -259,15 +273,13 @@ def _best_cosine(span: int):
     return run
 
 
-def _by_vectors(news: DataFrame, span: int) -> DataFrame:
-    """news_id, similarity, prior of headlines with a vector: the nearest earlier one of the company within the span.
+def _by_vectors(rows: DataFrame, span: int) -> DataFrame:
+    """Headlines (news_id, company, seen_us, model, vector, key) → news_id, similarity, prior: the nearest earlier one of the company within the span.
 
     Only vectors of one model are compared. An equal vector is the nearest there can be; the other headlines are compared in
     blocks of _BLOCK by _BLOCK, of which each gives a headline's best only."""
-    key = F.xxhash64("model", "vector")
-    rows = news.select("news_id", "company", "seen_us", "model", "vector", key.alias("key"))
-    spread = cut_lineage(in_spans(rows, span))
-    copies = _earlier_copies(spread, span)
+    spread = in_spans(rows, span)
+    copies = cut_lineage(_earlier_copies(spread, span))
     same = copies.where("prior is not null").select("news_id", F.lit(1.0).alias("similarity"), "prior")
     group = ["company", "_slot", "model"]
     place = F.pmod(F.xxhash64("news_id"), F.greatest(F.lit(1), F.ceil(F.col("_n") / _BLOCK)))
@@ -290,15 +302,21 @@ def novelty(news: DataFrame, threshold: float = REPEAT_OVERLAP, span: int = NOVE
     Where news has columns `vector` and `model`, headlines with a vector are compared by cosine with earlier ones of the same
     model: the similarity is reported, and prior and repeat where it reaches REPEAT_COSINE. Others are compared by words and
     reported when they reach the overlap."""
-    base = news.select("news_id", "company", "seen_us")
+    base, words = ["news_id", "company", "seen_us"], story_words(F.col("title"))
     if "vector" in news.columns:
-        with_vector = usable(F.col("vector")) & F.col("model").isNotNull()
-        near = _by_vectors(news.where(with_vector), span)
-        near = near.withColumn("prior", F.when(F.col("similarity") >= REPEAT_COSINE, F.col("prior")))
-        chosen = near.unionByName(_by_words(news.where(~with_vector), threshold, span))
+        near = usable(F.col("vector")) & F.col("model").isNotNull()
+        rows = news.select(*base, F.when(~near, words).alias("words"), F.when(near, F.col("vector")).alias("vector"), "model")
     else:
-        chosen = _by_words(news, threshold, span)
-    return base.join(chosen, "news_id", "left").withColumn("novelty", F.when(F.col("prior").isNotNull(), "repeat").otherwise("first"))
+        rows = news.select(*base, words.alias("words"))
+    rows = cut_lineage(rows)
+    worded = rows.where(F.size("words") > 0).select(*base, "words", F.xxhash64(F.array_join("words", " ")).alias("key"))
+    chosen = _by_words(worded, threshold, span)
+    if "vector" in rows.columns:
+        vectors = rows.where("vector is not null").select(*base, "model", "vector", F.xxhash64("model", "vector").alias("key"))
+        found = _by_vectors(vectors, span)
+        chosen = chosen.unionByName(found.withColumn("prior", F.when(F.col("similarity") >= REPEAT_COSINE, F.col("prior"))))
+    judged = rows.select(*base).join(chosen, "news_id", "left")
+    return judged.withColumn("novelty", F.when(F.col("prior").isNotNull(), "repeat").otherwise("first"))
 
 
 def story_clusters(judged: DataFrame) -> DataFrame:

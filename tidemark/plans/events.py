@@ -93,8 +93,7 @@ def mention(t: Tables):
     f"WITH {_HEADLINES} SELECT news_id, {_TYPE_SQL} AS event_type, {_MATCH_SQL} AS matched FROM headlines",
 )
 def classify_headline(t: Tables):
-    title = F.col("headline")
-    return _headlines(t).select("news_id", N.headline_type(title).alias("event_type"), N.matched_words(title).alias("matched"))
+    return _headlines(t).select("news_id", N.decided(F.col("headline")).alias("d")).select("news_id", "d.event_type", "d.matched")
 
 
 _ITEMS = """reports AS (SELECT company, accession, form, filed_date, CASE accession % 6
