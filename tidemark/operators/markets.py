@@ -10,36 +10,54 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.expr import finite
 from tidemark.functions.lookups import TENOR_MONTHS
+from tidemark.operators import metrics as M
 from tidemark.operators import prices as P
+from tidemark.session import cut_lineage
 
 STRESS_PERCENTILE, HISTORY = 0.80, 2520
 
 
-def regime(bench: DataFrame) -> DataFrame:
+#: Trading days that meet a month end together.
+_BLOCK = 256
+
+
+def regime(bench: DataFrame, key: str = "benchmark") -> DataFrame:
     """Trend and volatility label at each month end of a benchmark (one row per trading day).
 
     Uptrend: close at or over its 200-day average. Stressed: 21-day volatility above the 80th
-    percentile of the trailing ten years. At least 260 bars are needed."""
-    w = Window.orderBy("trade_date")  # the calendar
+    percentile of the trailing ten years. At least 260 bars are needed. Benchmarks are told apart by `key`, if there is one.
+
+    A month end meets the blocks of days its ten years touch and counts the days below it there; no history is carried along."""
+    one = key not in bench.columns
+    rows = bench.withColumn(key, F.lit("")) if one else bench
+    w = Window.partitionBy(key).orderBy("trade_date")  # a benchmark's calendar
     month = F.last_day("trade_date")
     frame = lambda n: w.rowsBetween(-(n - 1), 0)
-    rows = bench.withColumn(
-        "sma200", F.when(F.count("close").over(frame(200)) == 200, F.avg("close").over(frame(200)))
-    ).withColumn(
-        "vol", F.when(F.count("ret").over(frame(21)) == 21, F.stddev_samp("ret").over(frame(21)) * math.sqrt(252))
-    )
-    rows = rows.withColumn("_vols", F.collect_list("vol").over(frame(HISTORY - 20))).withColumn(
-        "_last", F.lead(month).over(w).isNull() | (F.lead(month).over(w) != month)
-    )
+    rows = rows.select(
+        key, "trade_date", "close", "n", month.alias("as_of"),
+        F.when(F.count("close").over(frame(200)) == 200, F.avg("close").over(frame(200))).alias("sma200"),
+        F.when(F.count("ret").over(frame(21)) == 21, F.stddev_samp("ret").over(frame(21)) * math.sqrt(252)).alias("vol"),
+        (F.lead(month).over(w).isNull() | (F.lead(month).over(w) != month)).alias("_last"),
+    )
+    rows = cut_lineage(rows)
     ends = rows.where(F.col("_last") & (F.col("n") >= 260))
-    share = F.size(F.filter("_vols", lambda v: v <= F.col("vol"))) / F.size("_vols")
-    ends = ends.withColumn("vol_percentile", share)
+    first = F.greatest(F.col("n") - (HISTORY - 21), F.lit(1))
+    block = lambda n: F.floor(n / _BLOCK)
+    reach = ends.select(
+        key, F.col("n").alias("_end"), F.col("vol").alias("_vol"), first.alias("_from"),
+        F.explode(F.sequence(block(first), block(F.col("n")))).alias("_block"),
+    )
+    days = rows.select(key, "n", "vol", block(F.col("n")).alias("_block")).where("vol is not null")
+    met = reach.join(days, [key, "_block"]).where(F.col("n").between(F.col("_from"), F.col("_end")))
+    share = met.groupBy(key, F.col("_end").alias("n")).agg((F.count_if(F.col("vol") <= F.col("_vol")) / F.count(F.lit(1))).alias("vol_percentile"))
+    found = ends.join(share, [key, "n"], "left")
     trend = F.when(F.col("close") >= F.col("sma200"), "Uptrend").otherwise("Downtrend")
     calm = F.when(F.col("vol_percentile") > STRESS_PERCENTILE, "stressed").otherwise("calm")
-    return ends.select(
-        month.alias("as_of"), F.concat(trend, F.lit(", "), calm).alias("label"), "close", "sma200", "vol",
+    found = found.select(
+        key, "as_of", F.concat(trend, F.lit(", "), calm).alias("label"), "close", "sma200", "vol",
         "vol_percentile", F.col("trade_date").alias("price_date"),
     )
+    return found.drop(key) if one else found
 
 
 def with_flags(regimes: DataFrame, levels: DataFrame) -> DataFrame:
@@ -58,8 +76,17 @@ def yield_curve(yields: DataFrame, on: Column | None = None) -> DataFrame:
     return kept.withColumn("months", F.try_element_at(months, F.col("tenor"))).where("months is not null").orderBy("months")
 
 
+def curves(yields: DataFrame, on: Column | None = None) -> DataFrame:
+    """The newest curve (on or before a day) and the one known a year before it, told apart by `curve`."""
+    now = yield_curve(yields, on)
+    day = now.agg(F.date_sub(F.max("observed_on"), 365).alias("_until"))
+    past = yields.join(F.broadcast(day), F.col("observed_on") <= F.col("_until")).drop("_until")  # one row
+    ago = yield_curve(past).withColumn("curve", F.lit("year_ago"))
+    return now.withColumn("curve", F.lit("now")).unionByName(ago)
+
+
 def crypto_summary(prices: DataFrame, key: str = "security_id") -> DataFrame:
-    """Latest statistics per pair on calendar days: returns, volatility, peak, averages, growth."""
+    """Latest statistics per pair on calendar days: returns, volatility, peak, averages, RSI, growth."""
     whole = Window.partitionBy(key)
     newest = Window.partitionBy(key).orderBy(F.desc("trade_date"))
     w = Window.partitionBy(key).orderBy("trade_date")
@@ -85,10 +112,11 @@ def crypto_summary(prices: DataFrame, key: str = "security_id") -> DataFrame:
         F.when(F.count(F.lit(1)) >= 200, F.avg(recent(200, "close"))).alias("sma_200"),
     ).where("_n >= 2")
     years = F.datediff("as_of", "_start") / 365
-    return found.select(
+    strength = P.rsi(prices, 14, "close", key).groupBy(key).agg(F.max_by("rsi", "trade_date").alias("rsi_14"))
+    return found.join(strength, key).select(
         key, "as_of", "close",
         *[F.when(F.col(f"_b{n}") > 0, F.col("close") / F.col(f"_b{n}") - 1).alias(f"ret_{n}") for n in (*spans, "ytd")],
-        "vol_30d", "vol_90d", "vol_1y", "all_time_high", "drawdown", "max_drawdown_1y", "sma_50", "sma_200",
+        "vol_30d", "vol_90d", "vol_1y", "all_time_high", "drawdown", "max_drawdown_1y", "sma_50", "sma_200", "rsi_14",
         F.when((F.col("_first") > 0) & (years > 0), F.ln(F.col("close") / F.col("_first")) / years).alias("log_growth_per_year"),
     )
 
@@ -136,17 +164,56 @@ def crypto_view(prices: DataFrame, key: str = "security_id", minimum: int = 400)
     return shown.join(P.rsi(rows, 14, "close", key).drop("value"), [key, "trade_date"])
 
 
+FUNDAMENTALS = (
+    "revenue_growth_yoy", "revenue_cagr_3y", "eps_growth_yoy", "gross_margin", "operating_margin", "net_margin", "fcf_margin", "roe",
+    "roa", "roic", "current_ratio", "debt_to_equity", "interest_coverage",
+)
+#: Value inputs that are one over a metric.
+INVERSE = {"earnings_yield": "pe_ratio", "sales_yield": "price_to_sales", "book_to_price": "price_to_book", "ebitda_to_ev": "ev_to_ebitda"}
+YIELDS = ("fcf_yield", "dividend_yield", "buyback_yield")
+
+
+#: A company on a day, as one number: 100,000 days reach to the year 2243.
+_DAYS = 100_000
+
+
+def metrics_asof(facts: DataFrame, closes: DataFrame, days: DataFrame) -> DataFrame:
+    """Latest metrics of each company on each day, from what was filed by then: as_of, company, metric, value, available.
+
+    `closes`: company, as_of, trade_date, close (the price on the day). A company on a day goes through the metric operator as
+    a company of its own, which has filed what was public on that day and nothing else."""
+    on = lambda: (F.col("company") * _DAYS + F.unix_date("as_of")).cast("long")
+    public = facts.join(F.broadcast(days.select("as_of")), F.col("filed_date") <= F.col("as_of"))  # a calendar
+    public = public.withColumn("company", on()).drop("as_of")
+    prices = closes.select(on().alias("company"), "trade_date", "close", F.lit(None).cast("double").alias("adj_close"))
+    found = M.snapshot_metrics(public, prices)
+    day = F.date_from_unix_date((F.col("company") % _DAYS).cast("int"))
+    return found.select(day.alias("as_of"), F.floor(F.col("company") / _DAYS).alias("company"), "metric", "value", "available")
+
+
+def fundamental_inputs(metrics: DataFrame) -> DataFrame:
+    """Statement and value inputs per company and day, and the latest publication date among the metrics used."""
+    names = (*FUNDAMENTALS, *INVERSE.values(), *YIELDS, "market_cap")
+    kept = metrics.where(F.col("metric").isin(*names) & F.col("value").isNotNull())
+    wide = kept.groupBy("as_of", "company").agg(
+        *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in names], F.max("available").alias("fact_used")
+    )
+    over = [F.when(F.col(m) != 0, 1 / F.col(m)).alias(n) for n, m in INVERSE.items()]
+    cap = F.when(F.col("market_cap") > 0, F.ln("market_cap")).alias("log_market_cap")
+    return wide.select("as_of", "company", *FUNDAMENTALS, *over, *YIELDS, cap, "fact_used")
+
+
 def feature_snapshots(price: DataFrame, fundamental: DataFrame, macro: DataFrame, market: DataFrame) -> DataFrame:
     """Features per (company, month end) with the latest publication date used.
 
-    Raises when any input was not public on the date; non-finite values become null."""
+    Each source carries the date its inputs were public on (`<source>_used`). Raises, naming the source, when one was not public
+    on the day; non-finite values become null."""
     joined = price.join(fundamental, ["as_of", "company"], "left").join(macro, "as_of", "left").join(market, "as_of", "left")
     used = [c for c in joined.columns if c.endswith("_used")]
     names = [c for c in joined.columns if c not in ("as_of", "company", *used)]
-    available = F.greatest(*used)
-    checked = joined.withColumn("data_available_on", available).withColumn(
-        "_check", F.assert_true(F.coalesce(available <= F.col("as_of"), F.lit(True)), "a feature input was not public yet")
-    )
+    late = F.concat_ws(", ", *[F.when(F.col(c) > F.col("as_of"), F.lit(c.removesuffix("_used"))) for c in used])
+    text = F.concat(F.lit("inputs were not public yet: "), late)
+    checked = joined.withColumn("data_available_on", F.greatest(*used)).withColumn("_check", F.when(late != "", F.raise_error(text).cast("string")))
     return checked.where(F.col("_check").isNull()).select(
         "as_of", "company", *[finite(F.col(n).cast("double")).alias(n) for n in names], "data_available_on"
     )

@@ -101,12 +101,14 @@ def map_cusips(wanted: DataFrame, known: DataFrame, offers: DataFrame, securitie
 
 
 def holder_changes(now: DataFrame, before: DataFrame) -> DataFrame:
-    """Each holder's change of shares between two periods."""
+    """Each holder's change of shares between two periods; unknown where the company has no holders in the earlier one."""
     old = before.select("company", "manager", F.col("shares").alias("previous"), F.lit(True).alias("_old"))
     new = now.select("company", "manager", "shares", "value", F.lit(True).alias("_new"))
-    both = new.join(old, ["company", "manager"], "full_outer")
+    known = before.groupBy("company").agg(F.lit(True).alias("_known"))
+    both = new.join(old, ["company", "manager"], "full_outer").join(known, "company", "left")
     change = (
-        F.when(F.col("_new").isNull(), "left_top")
+        F.when(F.col("_known").isNull(), "unknown")
+        .when(F.col("_new").isNull(), "left_top")
         .when(F.col("_old").isNull(), "entered_top")
         .when(F.col("shares") > F.col("previous"), "increased")
         .when(F.col("shares") < F.col("previous"), "decreased")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.asof import asof_grid
+from tidemark.operators.asof import asof_grid, grid_calendar
 
 VINTAGE_GAP_DAYS = 30
 STALE_REVENUE_DAYS = 550
@@ -78,19 +81,54 @@ def macro_latest(available: DataFrame, days: DataFrame) -> DataFrame:
     )
 
 
+def _newest_pairs(back: int):
+    """A series' observations by the grid date they (or a revision) fall to → the newest value and the one `back` earlier, where they change."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_i", "observation_date"], kind="stable")
+        days: list = []  # the newest back + 1 observations, ascending
+        values: list[float] = []
+        out, last = [], None
+        grid, observed, value = rows["_i"].tolist(), rows["observation_date"].tolist(), rows["value"].tolist()
+        for k, (i, day, v) in enumerate(zip(grid, observed, value, strict=True)):
+            at = bisect_left(days, day)
+            if at < len(days) and days[at] == day:
+                values[at] = v  # a revision
+            elif at or len(days) <= back:
+                days.insert(at, day)
+                values.insert(at, v)
+                if len(days) > back + 1:
+                    del days[0], values[0]
+            if k + 1 == len(grid) or grid[k + 1] != i:
+                pair = (values[-1], values[0] if len(values) > back else None)
+                if pair != last:
+                    out.append((rows["series"].iloc[0], i, *pair))
+                    last = pair
+        return pd.DataFrame(out, columns=["series", "_i", "latest", "earlier"]).astype({"_i": "int64", "latest": "float64", "earlier": "float64"})
+
+    return run
+
+
 def macro_back(available: DataFrame, days: DataFrame, back: int) -> DataFrame:
-    """The newest known value and the one `back` observations earlier, as known on each day."""
-    best = F.struct(*_NEWEST, "value")
-    known = asof_grid(available, ["series", "observation_date"], "available_on", best, days)
-    newest = Window.partitionBy("as_of", "series").orderBy(F.desc("observation_date"))
-    ranked = known.withColumn("_rank", F.row_number().over(newest)).where(
-        F.col("_rank") <= back + 1
-    )
-    value = F.col("best.value")
-    return ranked.groupBy("as_of", "series").agg(
-        F.max(F.when(F.col("_rank") == 1, value)).alias("latest"),
-        F.max(F.when(F.col("_rank") == back + 1, value)).alias("earlier"),
+    """The newest known value and the one `back` observations earlier, as known on each day.
+
+    Vintages fall to their first grid date and are reduced there map-side to the newest per observation. Along the grid each
+    series keeps its newest back + 1 observations, and only changes of the pair are repeated over the days they hold for. One
+    series' reduced observations are one task's: its calendar."""
+    calendar = grid_calendar(days)
+    landed = (
+        available.join(F.broadcast(calendar), F.col("available_on") == F.col("_date"))  # calendar-sized
+        .groupBy("series", "observation_date", F.col("_i").cast("long").alias("_i"))
+        .agg(F.max_by("value", F.struct(*_NEWEST)).cast("double").alias("value"))
     )
+    kind = landed.schema["series"].dataType.simpleString()
+    changes = landed.groupBy("series").applyInPandas(_newest_pairs(back), f"series {kind}, _i long, latest double, earlier double")
+    w = Window.partitionBy("series").orderBy("_i")
+    dates = calendar.select("as_of", F.col("_i").cast("long").alias("_i")).distinct()
+    total = dates.agg(F.max("_i").alias("_total"))
+    held = changes.withColumn("_next", F.lead("_i").over(w)).join(F.broadcast(total))  # one row: the number of grid dates
+    held = held.withColumn("_i", F.explode(F.sequence("_i", F.coalesce(F.col("_next") - 1, F.col("_total")))))
+    return held.join(F.broadcast(dates), "_i").select("as_of", "series", "latest", F.nanvl("earlier", F.lit(None).cast("double")).alias("earlier"))
 
 
 def macro_change(available: DataFrame, days: DataFrame, back: int) -> DataFrame:
@@ -146,29 +184,32 @@ def macro_features(available: DataFrame, days: DataFrame, names: dict[str, str])
 
 
 def macro_dashboard(known: DataFrame, ratio_series: list[str]) -> DataFrame:
-    """Per series: latest value, change against a year earlier, points in the thinned history."""
-    whole = Window.partitionBy("series")
-    rows = known.withColumn("_last", F.max("observation_date").over(whole))
+    """Per series: latest value, change against a year earlier, and the thinned history of five years.
+
+    Of a series with n observations every (n / 300)th of the last five years is shown, from the first of them on."""
+    whole = Window.partitionBy("series")  # one row per observation date
+    rows = known.withColumn("_last", F.max("observation_date").over(whole)).withColumn("_all", F.count(F.lit(1)).over(whole))
     year_ago = F.when(
         F.col("observation_date") <= F.date_sub("_last", 365), F.col("observation_date")
     )
     recent = F.col("observation_date") >= F.date_sub("_last", 5 * 366)
+    place = F.row_number().over(Window.partitionBy("series", "_recent").orderBy("observation_date")) - 1
+    rows = rows.withColumn("_recent", recent).withColumn("_place", place)
+    shown = F.col("_recent") & (F.col("_place") % F.greatest(F.lit(1), F.floor(F.col("_all") / 300)) == 0)
     facts = rows.groupBy("series").agg(
         F.max_by("value", "observation_date").alias("value"),
         F.max("observation_date").alias("observation_date"),
         F.max_by("available_on", "observation_date").alias("available_on"),
         F.max_by(F.when(year_ago.isNotNull(), F.col("value")), year_ago).alias("_base"),
-        F.count(F.lit(1)).alias("_all"),
-        F.count_if(recent).alias("_recent"),
+        F.sort_array(F.collect_list(F.when(shown, F.struct("observation_date", "value")))).alias("history"),
     )
     change = F.when(
         F.col("series").isin(*ratio_series),
         F.when(F.col("_base") != 0, F.col("value") / F.col("_base") - 1),
     ).otherwise(F.col("value") - F.col("_base"))
-    step = F.greatest(F.lit(1), F.floor(F.col("_all") / 300))
     return facts.select(
         "series", "value", "observation_date", "available_on",
-        change.alias("yoy_change"), F.ceil(F.col("_recent") / step).alias("points"),
+        change.alias("yoy_change"), F.size("history").alias("points"), "history",
     )
 
 

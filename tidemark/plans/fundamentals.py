@@ -589,7 +589,8 @@ _MARKET_SQL = {
 }
 
 
-def _snapshot_sql() -> str:
+def snapshot_sql(value: str | None = None) -> str:
+    """Latest metrics per company; `value`: the name of the value unrounded, else rounded."""
     picks = ", ".join(
         f"max(value) FILTER (span = 'cur' AND item = '{i}') AS {i}, "
         f"max(value) FILTER (span = 'prev' AND item = '{i}') AS p_{i}" for i in _USED
@@ -639,11 +640,11 @@ def _snapshot_sql() -> str:
                 JOIN wide_a h ON h.company = w.company AND h.idx = w.idx - 3),
         best AS (SELECT company, metric, arg_min(row(value, basis, available), place) AS b
             FROM alls WHERE value IS NOT NULL GROUP BY 1, 2)
-        SELECT company, metric, {q('b[1]', 3)} AS value, b[2] AS basis, b[3] AS available
+        SELECT company, metric, {f'b[1] AS {value}' if value else q('b[1]', 3) + ' AS value'}, b[2] AS basis, b[3] AS available
         FROM best"""
 
 
-@query("snapshot_metrics", _snapshot_sql())
+@query("snapshot_metrics", snapshot_sql())
 def snapshot_metrics(t: Tables):
     found = M.snapshot_metrics(t.filed_facts(), _prices(t))
     return found.select("company", "metric", qc("value", digits=3), "basis", "available")

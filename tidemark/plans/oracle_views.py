@@ -211,6 +211,15 @@ VIEWS["v_filed_facts"] = (
     .replace("__SHARES__", _list(SHARE_CONCEPTS))
 )
 
+# Quarter ends of the bars; facts as public on each, and each one's last bar, of a company on a day as one number.
+VIEWS["v_pit_days"] = "SELECT DISTINCT last_day(trade_date) AS as_of FROM v_raw_bars WHERE month(trade_date) % 3 = 0"
+VIEWS["v_pit_facts"] = """
+    SELECT f.company * 100000 + (as_of - DATE '1970-01-01') AS company, f.* EXCLUDE (company) FROM v_filed_facts f JOIN v_pit_days ON filed_date <= as_of
+    WHERE f.company IN (SELECT CAST(substr(security_id, 7) AS BIGINT) FROM v_raw_bars)"""
+VIEWS["v_pit_bars"] = """
+    SELECT 'Brand#' || (CAST(substr(security_id, 7) AS BIGINT) * 100000 + (as_of - DATE '1970-01-01')) AS security_id, max(trade_date) AS trade_date,
+        arg_max(close, trade_date) AS close FROM v_raw_bars JOIN v_pit_days ON last_day(trade_date) = as_of GROUP BY security_id, as_of"""
+
 _NAME = re.compile(r"\bv_[a-z_0-9]+\b")
 
 

@@ -339,24 +339,29 @@ def macro_features(t: Tables):
 @query(
     "macro_dashboard",
     f"""WITH {_AVAILABLE}, {_KNOWN},
-        lasts AS (SELECT *, max(observation_date) OVER (PARTITION BY series) AS last FROM known),
+        lasts AS (SELECT *, max(observation_date) OVER w AS last, count(*) OVER w AS n FROM known WINDOW w AS (PARTITION BY series)),
+        placed AS (SELECT *, observation_date >= last - 1830 AS recent, row_number() OVER (PARTITION BY series,
+            observation_date >= last - 1830 ORDER BY observation_date) - 1 AS i FROM lasts),
         facts AS (SELECT series, arg_max(value, observation_date) AS value,
             max(observation_date) AS observation_date,
             arg_max(available_on, observation_date) AS available_on,
             arg_max(value, observation_date) FILTER (observation_date <= last - 365) AS base,
-            count(*) AS n, count(*) FILTER (observation_date >= last - 1830) AS recent
-            FROM lasts GROUP BY 1)
+            count(*) FILTER (recent AND i % greatest(1, n // 300) = 0) AS points,
+            sum(value) FILTER (recent AND i % greatest(1, n // 300) = 0) AS total,
+            string_agg(CAST(observation_date AS VARCHAR), ',' ORDER BY observation_date) FILTER (recent AND i % greatest(1, n // 300) = 0) AS days
+            FROM placed GROUP BY 1)
         SELECT series, value, observation_date, available_on,
             {q("CASE WHEN series IN ('1-URGENT', '2-HIGH') THEN value / base - 1 ELSE value - base END", 4)}
-                AS yoy_change,
-            CAST(ceil(recent / greatest(1, n // 300)) AS BIGINT) AS points FROM facts""",
+                AS yoy_change, points, {q('total', 1)} AS history_total, days AS history_days FROM facts""",
 )
 def macro_dashboard(t: Tables):
     known = pit.macro_known(_available(t), "2000-06-30")
     found = pit.macro_dashboard(known, ["1-URGENT", "2-HIGH"])
+    total = F.aggregate("history", F.lit(0.0), lambda acc, h: acc + h["value"])
+    days = F.array_join(F.transform("history", lambda h: h["observation_date"].cast("string")), ",")
     return found.select(
         "series", "value", "observation_date", "available_on", qc("yoy_change", digits=4),
-        big("points"),
+        big("points"), qc(total, "history_total", 1), days.alias("history_days"),
     )
 
 

@@ -408,3 +408,24 @@ def technicals_view(t: Tables):
     return shown.select(
         "security_id", "trade_date", *[qc(c, digits=digits.get(c, 2)) for c in shown.columns[2:]]
     )
+
+
+@query(
+    "technicals_stats",
+    f"""WITH last AS (SELECT security_id, arg_max(close, n) / arg_max(idx, n) AS scale, max(n) AS bars FROM v_index GROUP BY 1),
+        r AS (SELECT i.security_id, i.trade_date, i.ret, b.ret AS bench, idx * scale AS adjusted, bars - i.n AS back
+            FROM v_index i JOIN last USING (security_id) LEFT JOIN v_bench_returns b USING (trade_date))
+        SELECT security_id, max(trade_date) AS as_of, {q('stddev_samp(ret) FILTER (back < 21) * sqrt(252)', 5)} AS vol_1m,
+            {q('stddev_samp(ret) FILTER (back < 252) * sqrt(252)', 5)} AS vol_1y,
+            CASE WHEN count(*) FILTER (back < 252 AND ret IS NOT NULL AND bench IS NOT NULL) > 100
+                THEN {q('covar_pop(ret, bench) FILTER (back < 252) / var_pop(bench) FILTER (back < 252 AND ret IS NOT NULL)', 4)} END AS beta_1y,
+            {q('max(adjusted) FILTER (back < 252)', 2)} AS high_52w, {q('min(adjusted) FILTER (back < 252)', 2)} AS low_52w,
+            {q('max(adjusted) FILTER (back = 0) / avg(adjusted) FILTER (back < 50) - 1')} AS dist_sma_50, count(*) AS bars
+        FROM r GROUP BY 1""",
+)
+def technicals_stats(t: Tables):
+    found = P.technicals_stats(_indexed(t), _bench(t))
+    return found.select(
+        "security_id", "as_of", qc("vol_1m", digits=5), qc("vol_1y", digits=5), qc("beta_1y", digits=4), qc("high_52w", digits=2),
+        qc("low_52w", digits=2), qc("dist_sma_50"), "bars",
+    )
