@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Stages:
+    """Stage tables of one job that go as soon as they are read.
+
+    A lost executor costs a re-read of the last tables. Each table kept lets the driver's JVM collect its garbage, so that the
+    shuffle files of finished stages leave the executors' disks."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = self._paths[name] = shared_folder(self._spark, f"llm-{name}")
+        df.write.option("compression", "zstd").parquet(path)
+        files, place = self._at(path)
+        files.deleteOnExit(place)
+        gc.collect()
+        self._spark._jvm.System.gc()
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def free(self, name: str) -> None:
+        """Delete a table that nothing reads again."""
+        files, place = self._at(self._paths.pop(name))
+        files.delete(place, True)
+
+    def _at(self, path: str):
+        place = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self._spark._jsc.hadoopConfiguration()), place
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
