@@ -38,6 +38,7 @@ class Stages:
         self._spark, self._paths = spark, {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a stage; of tables with one name free() deletes the last."""
         path = self._paths[name] = shared_folder(self._spark, f"llm-{name}")
         df.write.option("compression", "zstd").parquet(path)
         files, place = self._at(path)
