@@ -42,10 +42,12 @@ def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    judged = rules.ledger(docs).select(*columns, "failed")
+    judged = stored(rules.ledger(docs).select(*columns, "failed"), "ledger")  # every policy below reads the ledger only
     base = ~rules.passes(rules.BASE_POLICY)
     kept = rules.passes(rules.BASE_POLICY) & rules.passes(rules.PRODUCTION)
-    return judged.select(*columns, base.alias("base_failed"), kept.alias("kept"))
+    rejects = rules.only_rule(rules.PRODUCTION).alias("only_rule")
+    lenient = (rules.passes(rules.BASE_POLICY) & rules.passes(rules.LENIENT)).alias("kept_lenient")
+    return judged.select(*columns, base.alias("base_failed"), kept.alias("kept"), "failed", lenient, rejects)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,10 +123,12 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x
     length(text) - length(regexp_replace(text, '\p{{Lu}}+', '', 'g')) AS n_upper,
     length(text) - length(regexp_replace(text, '!+', '', 'g')) AS n_exclaim, len(list_distinct(w)) AS v
   FROM words_of LEFT JOIN lines USING (r) LEFT JOIN covered USING (r))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b AS base_failed,
-  NOT (b OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR 10 * n_upper > 4 * word_chars
-    OR 10 * n_exclaim > 3 * n_words OR 4 * v * v < 9 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
-FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS b FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed % 4 <> 0 AS base_failed, failed = 0 AS kept, failed,
+  failed % 16 = 0 AS kept_lenient, CASE failed WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'repeated_lines'
+    WHEN 16 THEN 'capitals' WHEN 32 THEN 'exclamations' WHEN 64 THEN 'poor_vocabulary' WHEN 128 THEN 'word_length' END AS only_rule
+FROM (SELECT *, ((n_words < 10)::INT + (100 * n_repeat_words > 20 * n_words)::INT * 2 + (10 * n_symbols > n_words)::INT * 4
+  + (10 * n_dup_lines > 3 * n_lines)::INT * 8 + (10 * n_upper > 4 * word_chars)::INT * 16 + (10 * n_exclaim > 3 * n_words)::INT * 32
+  + (4 * v * v < 9 * n_words)::INT * 64 + (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT * 128)::BIGINT AS failed FROM m)
 """
 
 OP3_SQL = r"""

@@ -44,6 +44,7 @@ class Policy:
 
 
 BASE_POLICY = Policy("base", BASE)
+LENIENT = Policy("1", (*BASE, "symbols", "repeated_lines"))
 PRODUCTION = Policy("2", tuple(RULES))
 
 
@@ -128,6 +129,15 @@ def passes(policy: Policy) -> Column:
     return F.col("failed").bitwiseAND(F.lit(policy.mask)) == 0
 
 
+def only_rule(policy: Policy) -> Column:
+    """The rule without which a policy would keep a ledger row; null for kept rows and for those that fail several rules."""
+    bits = F.col("failed").bitwiseAND(F.lit(policy.mask))
+    found = F.lit(None).cast("string")
+    for rule in policy.rules:
+        found = F.when(bits == 1 << RULES[rule][0], F.lit(rule)).otherwise(found)
+    return found
+
+
 def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
     """A ledger → per rule of the policy: documents failing it, documents only it rejects, documents kept without it.
 
