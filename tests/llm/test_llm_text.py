@@ -238,3 +238,18 @@ def test_fuzzy_lines_match_brute_force(spark):
         else:
             assert k not in cut
     assert lines.groups(documents(spark, [])).count() == 0
+
+
+def test_clashing_columns_of_the_mix_and_of_packing(spark):
+    docs = documents(spark, [*random_texts(12), None, ""], ["a", "b"] * 7)
+    for clash in ("_copies", "_source", "_target", "size", "whole", "row", "copy"):
+        docs = docs.withColumn(clash, F.lit("clash"))
+    mixed = mixing.repeat(docs)
+    plain = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert sorted(r[0] for r in mixed.select("doc_id").collect()) == sorted(r["doc_id"] for r in plain.collect() for _ in range(r["copies"]))
+    pieces = spark.createDataFrame([(k, 300 + 100 * (k % 9)) for k in range(40)], "doc_id long, length long")
+    clashing = pieces.withColumns({c: F.lit("clash") for c in ("sequence_id", "offset", "_rank", "_part", "_n", "_base")})
+    found = packing.pack(clashing)
+    assert found.columns == ["doc_id", "length", "sequence_id", "offset"]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, packing.pack(pieces).collect()))

@@ -112,6 +112,8 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def repeat(docs: DataFrame) -> DataFrame:
-    """docs → the mix itself: each row as often as its copies, with the columns of docs."""
-    rows = _with_copies(docs, stored(rates(_sizes(docs)), "rates")).where("_copies > 0")
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """docs → the mix itself: each row as often as its copies, with the columns of docs, whatever they are called."""
+    whole = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = _with_copies(whole, stored(rates(_sizes(docs)), "rates")).where("_copies > 0")
+    rows = rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

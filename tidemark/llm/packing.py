@@ -154,8 +154,10 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     rows is read three times, so it should be a stored table. Ranks within a length are counted in PARTS parts by a hash of
     the row; the histogram of lengths is all that reaches the driver. Which of two equal pieces gets which place does not
-    matter and is fixed by the row order within a part.
+    matter and is fixed by the row order within a part. Columns of rows that bear a result's name, or that of a column made on
+    the way, are replaced.
     """
+    rows = rows.drop("sequence_id", "offset", "_part", "_n", "_length", "_p", "_base", "_row", "_rank")
     columns = rows.columns
     order = [F.col(c) for c in columns if c not in ("length", "_part")]
     parted = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(PARTS)).cast("int"))
