@@ -96,9 +96,9 @@ def _dcf_row_sql(source: str) -> str:
         f" / sales_to_capital) / power(1 + discount_rate, {y})"
         for y in years
     )
-    return f"""revenues AS (SELECT *, {revenue} FROM {source} WHERE discount_rate - terminal_growth >= 0.005
+    return f"""revenues AS MATERIALIZED (SELECT *, {revenue} FROM {source} WHERE discount_rate - terminal_growth >= 0.005
             AND terminal_growth BETWEEN -0.05 AND 0.06 AND base_revenue > 0),
-        incomes AS (SELECT *, {income} FROM revenues),
+        incomes AS MATERIALIZED (SELECT *, {income} FROM revenues),
         valued AS (SELECT *, {flow} AS pv, r10 * (1 + terminal_growth) * long_run_margin * (1 - tax_rate)
             * (1 - terminal_growth / discount_rate) / (discount_rate - terminal_growth) / power(1 + discount_rate, 10) AS tv
             FROM incomes)"""
