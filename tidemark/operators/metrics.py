@@ -381,10 +381,13 @@ def statement_view(cells: DataFrame, periods: int, *, annual: bool) -> DataFrame
     return items.unionByName(metrics).join(kept, ["company", "idx"], "left_semi")
 
 
-def peers(companies: DataFrame, metrics: DataFrame, limit: int = 10) -> DataFrame:
+def peers(companies: DataFrame, metrics: DataFrame, limit: int = 10, named: DataFrame | None = None) -> DataFrame:
     """Peers of every company: same SIC code, or its two-digit group when fewer than three share
     the code, ranked by revenue (nulls last) then name.
 
+    `named` (company, ticker, place) lists peers by ticker for some companies; those get the listed ones, in that order, each
+    once and never themselves, and no others. Companies bear a `ticker` then; tickers of none are left out.
+
     Only the best `limit + 1` of each code and group can be peers of anyone, so those short lists
     are cut first and joined; no group is paired with itself."""
     revenue = metrics.where(F.col("metric") == "revenue").select("company", F.col("value").alias("revenue"))
@@ -406,6 +409,14 @@ def peers(companies: DataFrame, metrics: DataFrame, limit: int = 10) -> DataFram
     exact = subjects.where("basis = 'sic'").join(best("sic"), F.col("sic") == F.col("_key"))
     wide_group = subjects.where("basis = 'major'").join(best("major"), F.col("major") == F.col("_key"))
     both = exact.unionByName(wide_group).where(F.col("company") != F.col("peer"))
+    both = both.select("company", "basis", "peer", "_place")
+    if named is not None:
+        known = companies.select(F.col("company").alias("peer"), F.upper("ticker").alias("ticker"))
+        listed = named.select("company", F.upper("ticker").alias("ticker"), F.col("place").alias("_place")).join(known, "ticker")
+        listed = listed.where("company <> peer").groupBy("company", "peer").agg(F.min("_place").alias("_place"))
+        both = both.join(named.select("company").distinct(), "company", "left_anti").unionByName(
+            listed.select("company", F.lit("named").alias("basis"), "peer", "_place")
+        )
     order = Window.partitionBy("company").orderBy("_place")
     return (
         both.withColumn("place", F.row_number().over(order).cast("bigint"))

@@ -662,12 +662,17 @@ def snapshot_metrics(t: Tables):
             b.company AS peer, row_number() OVER (PARTITION BY a.company
                 ORDER BY b.revenue DESC NULLS LAST, b.name, b.company) AS place
             FROM r a JOIN r b ON a.company <> b.company
-            AND CASE WHEN a.others >= 3 THEN a.sic = b.sic ELSE a.major = b.major END)
-        SELECT company, basis, peer, place FROM pairs WHERE place <= 10""",
+            AND CASE WHEN a.others >= 3 THEN a.sic = b.sic ELSE a.major = b.major END),
+        named AS (SELECT company, 3 * company + 2 * k AS peer, k AS place FROM c, range(12) t(k) WHERE company % 50 = 0)
+        SELECT company, basis, peer, place FROM pairs WHERE place <= 10 AND company % 50 <> 0
+        UNION ALL SELECT n.company, 'named', peer, place FROM (SELECT n.company, peer, row_number() OVER (PARTITION BY n.company ORDER BY n.place) AS place
+            FROM named n JOIN c ON c.company = n.peer WHERE n.company <> peer) n WHERE place <= 10""",
 )
 def peers(t: Tables):
     sic = F.lpad((((F.col("c_custkey") * 7) % 180) * 50).cast("string"), 4, "0")
     companies = t.customer.select(
-        F.col("c_custkey").alias("company"), F.col("c_name").alias("name"), sic.alias("sic")
+        F.col("c_custkey").alias("company"), F.col("c_name").alias("name"), sic.alias("sic"), F.concat(F.lit("TK"), "c_custkey").alias("ticker")
     )
-    return M.peers(companies, t.metrics())
+    asked = t.customer.where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("company"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("place"))
+    named = asked.withColumn("ticker", F.concat(F.lit("tk"), (3 * F.col("company") + 2 * F.col("place")).cast("string")))
+    return M.peers(companies, t.metrics(), named=named)
