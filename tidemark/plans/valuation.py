@@ -159,18 +159,37 @@ def ddm(t: Tables):
 _SHIFTS = ", ".join(f"('{n}', {g}, {m}, {r}, {x})" for n, (g, m, r, x) in V.SCENARIOS.items())
 
 
+_SHIFTED = f"""sc(scenario, g, m, r, x) AS (VALUES {_SHIFTS}),
+    eq AS (SELECT o_orderkey AS company, scenario, o_totalprice AS bv, (o_orderkey % 40) / 100.0::DOUBLE + m::DOUBLE AS roe,
+        (o_custkey % 11) / 10.0::DOUBLE AS pay, 1000.0 + o_custkey AS sh, (o_orderkey % 50) / 10.0::DOUBLE - 0.5 AS dps,
+        (o_orderkey % 30) / 100.0::DOUBLE + g::DOUBLE AS g1, 0.05 + (o_custkey % 7) / 100.0::DOUBLE + r::DOUBLE AS ke,
+        (o_orderkey % 8) / 100.0::DOUBLE + x::DOUBLE AS tg FROM orders, sc),
+    usable AS (SELECT eq.*, y, CASE WHEN y <= 5 THEN roe ELSE roe + (ke - roe) * (y - 5) / 5.0::DOUBLE END AS earned,
+        CASE WHEN y <= 5 THEN g1 ELSE g1 + (tg - g1) * (y - 5) / 5.0::DOUBLE END AS grown FROM eq, range(1, 11) q(y)
+        WHERE ke - tg >= 0.005 AND tg BETWEEN -0.05 AND 0.06),
+    paths AS (SELECT *, coalesce(product(1 + earned * (1 - pay)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) * bv AS book,
+        dps * product(1 + grown) OVER (w ROWS UNBOUNDED PRECEDING) AS dividend FROM usable WINDOW w AS (PARTITION BY company, scenario ORDER BY y)),
+    others AS (SELECT company, scenario, (any_value(bv) + sum((earned - ke) * book / power(1 + ke, y))) / any_value(sh) AS rim,
+        CASE WHEN any_value(dps) > 0 THEN sum(dividend / power(1 + ke, y)) + max(dividend) FILTER (y = 10) * (1 + any_value(tg))
+            / (any_value(ke) - any_value(tg)) / power(1 + any_value(ke), 10) END AS ddm FROM paths GROUP BY 1, 2)"""
+
+
 @query(
     "scenarios",
     f"""WITH {_A}, k AS (SELECT a.* REPLACE (growth + g::DOUBLE AS growth, margin + m::DOUBLE AS margin,
             long_run_margin + m::DOUBLE AS long_run_margin, discount_rate + r::DOUBLE AS discount_rate,
             terminal_growth + x::DOUBLE AS terminal_growth), scenario,
             CAST(company AS VARCHAR) || scenario AS key
-            FROM a, (VALUES {_SHIFTS}) s(scenario, g, m, r, x)), {_dcf_sql('k')}
-        SELECT k.company, k.scenario, {q('(pv + tv - v.debt + v.cash) / v.shares', 3)} AS per_share
-        FROM k LEFT JOIN valued v USING (key)""",
+            FROM a, (VALUES {_SHIFTS}) s(scenario, g, m, r, x)), {_dcf_sql('k')}, {_SHIFTED}
+        SELECT 'dcf' AS model, k.company, k.scenario, {q('(pv + tv - v.debt + v.cash) / v.shares', 3)} AS per_share
+        FROM k LEFT JOIN valued v USING (key)
+        UNION ALL SELECT 'rim', eq.company, eq.scenario, {q('rim', 3)} FROM eq LEFT JOIN others USING (company, scenario)
+        UNION ALL SELECT 'ddm', eq.company, eq.scenario, {q('ddm', 3)} FROM eq LEFT JOIN others USING (company, scenario)""",
 )
 def scenarios(t: Tables):
-    return V.scenarios(_assumptions(t), "dcf").select("company", "scenario", qc("per_share", digits=3))
+    rows = _assumptions(t)
+    of = lambda model: V.scenarios(rows, model).select(F.lit(model).alias("model"), "company", "scenario", qc("per_share", digits=3))
+    return of("dcf").unionByName(of("rim")).unionByName(of("ddm"))
 
 
 @query(
