@@ -178,15 +178,23 @@ def coverage(universe: DataFrame, blend: DataFrame, chosen: DataFrame) -> DataFr
 
 
 def factors_view(scores: DataFrame, history: int = 60) -> DataFrame:
-    """Per company and factor: the latest score and how many of the last dates it was scored."""
+    """Per company and factor: the latest score with its rank among the companies scored on that date, and the last dates' scores
+    (newest first). Companies with equal scores share the best of their ranks."""
+    scores = cut_lineage(scores.select("as_of", "company", "factor", "score", "percentile"))
+    sizes = scores.groupBy("as_of", "factor").agg(F.count(F.lit(1)).alias("universe"))
     newest = Window.partitionBy("company", "factor").orderBy(F.desc("as_of"))
     recent = scores.withColumn("_back", F.row_number().over(newest)).where(
         F.col("_back") <= history
     )
-    return recent.groupBy("company", "factor").agg(
+    found = recent.groupBy("company", "factor").agg(
         F.max("as_of").alias("as_of"),
         F.max(F.when(F.col("_back") == 1, F.col("score"))).alias("score"),
         F.max(F.when(F.col("_back") == 1, F.col("percentile"))).alias("percentile"),
-        F.count(F.lit(1)).alias("points"),
-        F.min("as_of").alias("first_date"),
+        F.sort_array(F.collect_list(F.struct("as_of", "score")), asc=False).alias("history"),  # at most `history` dates
     )
+    at_or_below = F.round(F.col("percentile") * F.col("universe"))
+    ranked = found.join(sizes, ["as_of", "factor"])
+    # the percentile counts those at or below: the rest stand above
+    return ranked.select(
+        "company", "factor", "as_of", "score", "percentile", (F.col("universe") - at_or_below + 1).cast("long").alias("rank"), "universe", "history",
+    )

@@ -86,16 +86,21 @@ def factor_scores(t: Tables):
 
 @query(
     "factors_view",
-    f"""WITH {SCORES_SQL}, recent AS (SELECT *, row_number() OVER (PARTITION BY company, factor
-            ORDER BY as_of DESC) AS back FROM ranked QUALIFY back <= 60)
+    f"""WITH {SCORES_SQL}, placed AS (SELECT *, rank() OVER (PARTITION BY as_of, factor ORDER BY score DESC) AS place,
+            count(*) OVER (PARTITION BY as_of, factor) AS universe, count(*) OVER (PARTITION BY as_of, factor, score) AS tied FROM ranked),
+        recent AS (SELECT *, row_number() OVER (PARTITION BY company, factor
+            ORDER BY as_of DESC) AS back FROM placed QUALIFY back <= 60)
         SELECT company, factor, max(as_of) AS as_of, {q('arg_max(score, as_of)', 5)} AS score,
-            {q('arg_max(percentile, as_of)')} AS percentile, count(*) AS points,
-            min(as_of) AS first_date FROM recent GROUP BY 1, 2""",
+            {q('arg_max(percentile, as_of)')} AS percentile, arg_max(place, as_of) AS rank, arg_max(universe, as_of) AS universe, count(*) AS points,
+            min(as_of) AS first_date, {q('sum(score)', 4)} AS history_total,
+            string_agg(CAST(as_of AS VARCHAR), ',' ORDER BY as_of DESC) AS history_dates FROM recent GROUP BY 1, 2""",
 )
 def factors_view(t: Tables):
+    total = F.aggregate("history", F.lit(0.0), lambda acc, h: acc + h["score"])
+    dates = F.array_join(F.transform("history", lambda h: h["as_of"].cast("string")), ",")
     return X.factors_view(scores_of(t)).select(
-        "company", "factor", "as_of", qc("score", digits=5), qc("percentile"), "points",
-        "first_date",
+        "company", "factor", "as_of", qc("score", digits=5), qc("percentile"), "rank", "universe", big(F.size("history"), "points"),
+        F.element_at("history", -1)["as_of"].alias("first_date"), qc(total, "history_total", 4), dates.alias("history_dates"),
     )
 
 
