@@ -150,6 +150,69 @@ def test_bootstrapping_finds_identifiers_in_known_contexts(spark):
     assert pii.summary(pii.personal_data(docs.limit(0))).count() == 0
 
 
+def brute_beliefs(edges, how):
+    """trusted patterns and beliefs of (kind, pattern, string, seed) by plain loops."""
+    seeds = {(k, s) for k, _, s, seed in edges if seed}
+    known = {(k, s): float((k, s) in seeds) for k, _, s, _ in edges}
+    pairs = {(k, p, s) for k, p, s, _ in edges}
+    trusted = {}
+    for _ in range(how.rounds):
+        trusted = {}
+        for k, p in {(k, p) for k, p, _ in pairs}:
+            mine = [known[k, s] for kk, pp, s in pairs if (kk, pp) == (k, p)]
+            if sum(mine) >= how.support and sum(mine) / (len(mine) + 1) >= how.trusted_pattern:
+                trusted[k, p] = sum(mine) / (len(mine) + 1)
+        for k, s in known:
+            if (k, s) not in seeds:
+                known[k, s] = 1 - np.prod([1 - trusted[kk, p] for kk, p, ss in pairs if (kk, ss) == (k, s) and (kk, p) in trusted])
+    return trusted, known
+
+
+def test_beliefs_against_loops(spark):
+    rng = random.Random(3)
+    edges = []
+    for _ in range(900):
+        kind, n = rng.randrange(3), rng.randrange(60)
+        pattern = "good" if rng.random() < 0.4 and n > 5 else f"p{rng.randrange(12)}"
+        edges.append((kind, pattern, f"s{n}", n > 12))
+    how = pii.Bootstrap(trusted_pattern=0.7)
+    patterns, strings = pii.beliefs(spark.createDataFrame(edges, "kind int, pattern string, string string, seed boolean"), how)
+    want_patterns, want = brute_beliefs(edges, how)
+    got = {(r["kind"], r["pattern"]): r["trust"] for r in patterns.collect()}
+    assert got.keys() == want_patterns.keys() and len(got) > 3
+    assert all(abs(got[k] - want_patterns[k]) < 1e-9 for k in got)
+    beliefs = {(r["kind"], r["string"]): r["belief"] for r in strings.collect()}
+    assert beliefs.keys() == want.keys() and any(0 < b < 1 for b in want.values())
+    assert all(abs(beliefs[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_secrets_through_their_places(spark):
+    rng = random.Random(11)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [f'here api_token = "{key()}" goes' for _ in range(20)]  # 0 to 19: seeds in a place of secrets
+    texts += ['here api_token = "hunter2xy" goes']  # 20: no seed, but in their place
+    texts += [f"file digest: {key()} ok" if k < 8 else f"file digest: number{k} ok" for k in range(30)]  # 21 to 50: mixed
+    texts += [f"built from {key()} today" for _ in range(20)]  # 51 to 70: after plain words
+    texts += [f'api_token = "{key()}", api_token = "4111111111111111"', None, ""]  # 71 to 73: a base span in the place stays one
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.summary(pii.personal_data(docs)).collect()}
+    for k in range(21):
+        kind, start, end = rows[k]["spans"].split(":")
+        assert kind == "secret" and texts[k][int(start) - 1] == '"' == texts[k][int(end)] and rows[k]["n_added"] == 1
+    assert all(rows[k]["n_spans"] == rows[k]["n_added"] == 0 for k in [*range(21, 71), 72, 73])
+    assert (rows[71]["n_secret"], rows[71]["n_card"], rows[71]["n_spans"]) == (1, 1, 2)
+
+
+def test_spans_outside_taken_ones():
+    rng = random.Random(1)
+    for _ in range(300):
+        make = lambda n: [(0, a, a + rng.randint(1, 9)) for a in (rng.randrange(60) for _ in range(n))]
+        spans, taken = make(rng.randrange(9)), make(rng.randrange(5))
+        want = [x for x in spans if not any(s < x[2] and x[1] < e for _, s, e in taken)]
+        assert sorted(pii._outside(spans, taken)) == sorted(want)
+    assert not pii.random_run("internationalisation_of", 3.0) and not pii.random_run("1" * 40 + "a", 3.0)
+
+
 def test_pipeline_keeps_what_it_should(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     folder = "/root/testdata/sf0.001"
