@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -124,6 +125,43 @@ def test_toxicity_of_planted_words_and_odd_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_lexicon_and_score_by_plain_loops(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["calm", "quiet", "lake", "river"] + ["vileness", "brute"] * (k % 3 == 0)) for _ in range(30)) for k in range(90)]
+    rows = [(k, t, int(k % 3 == 0)) for k, t in enumerate(texts)] + [(90, None, 0), (91, "", 1)]
+    training = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    settings = toxicity.Settings(prior=50.0)
+    tokens, held = (Counter(), Counter()), (Counter(), Counter())
+    for _, text, toxic in rows:
+        found = []
+        for w in (text or "").split():
+            found += ["=" + w, *(w[:n] for n in (4, 5, 6) if len(w) > n)]
+        tokens[toxic].update(found)
+        held[toxic].update(set(found))
+    n = [sum(c.values()) for c in tokens]
+    want = {}
+    for term in tokens[0] | tokens[1]:
+        c, t = (x[term] for x in tokens)
+        alpha = settings.prior * (c + t) / sum(n)
+        odds = math.log((t + alpha) / (n[1] + 50.0 - t - alpha)) - math.log((c + alpha) / (n[0] + 50.0 - c - alpha))
+        z = odds / math.sqrt(1 / (t + alpha) + 1 / (c + alpha))
+        if abs(z) >= settings.least_z and held[int(z > 0)][term] >= settings.least_docs:
+            want[term] = max(-settings.highest, min(settings.highest, odds))
+    got = toxicity.lexicon(training, settings)
+    assert got.keys() == want.keys() and min(got.values()) < 0 < max(got.values())
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    model = toxicity.Model(got, 0.8, 0.2, (-2.0, 1.5, 0.7, 0.3), settings)
+    for r in toxicity.score(training, model).collect():
+        words = (texts[r["doc_id"]] if r["doc_id"] < 90 else "").split()
+        by_prefix = lambda w: next((got[w[:n]] for n in (6, 5, 4) if len(w) > n and w[:n] in got), -settings.drift)
+        values = np.array([got.get("=" + w, by_prefix(w)) for w in words])
+        segments = brute_segments(values) if words else []
+        logs = [min(math.log(0.2 * max(len(words), 1)) - 0.8 * s[2], 0.0) for s in segments]
+        x = [1.0, math.sqrt(-min(logs, default=0.0)), math.log1p(-sum(logs)), -math.log1p(max(len(words), 1)) / 10]
+        want_score = 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+        assert abs(r["score"] - want_score) < 1e-9
+
+
 def test_base_forms():
     text = "mail a.b+c@x-y.co.uk, 10.0.0.255 and 10.0.0.256; 4111 1111 1111 1111 or 4111-1111-1111-1112 +1 (743) 555-3824."
     found = [(pii.KINDS[k], text[s:e]) for k, s, e in pii.base_spans(text)]

@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments.
 
-Words and their prefixes get log-odds between toxic and other training documents under an informative Dirichlet prior; words
-without significant odds cost a little. A linear-time scan finds all maximal scoring segments of a text; the score of the
+Tokens, as whole words and as prefixes, get log-odds between toxic and other training documents under an informative Dirichlet
+prior, towards either side; words without significant odds cost a little. A linear-time scan finds all maximal scoring segments of a text; the score of the
 best ones, calibrated by extreme-value statistics (the chance that a clean text of this length holds one as high), gives the
 document's probability by a logistic fit.
 """
@@ -29,14 +29,13 @@ PREFIXES = (4, 5, 6)
 class Settings:
     #: Labelled training documents per class, the first by a hash of their id: bounds the fit, not the scoring.
     sample: int = 12_000
-    #: Prior strength in counts; terms need this z score and this many documents.
+    #: Prior strength in counts; terms need this z score and this many documents of the side they speak for. The lexicon holds
+    #: all such terms: the labelled sample alone bounds it.
     prior: float = 5000.0
-    least_z: float = 2.5
+    least_z: float = 4.0
     least_docs: int = 3
-    #: Most terms of the lexicon, by z; bounds what is sent to tasks at a few MB.
-    lexicon: int = 50_000
-    #: Cost of a word without significant odds, and the highest log-odds a word may have.
-    drift: float = 0.15
+    #: Cost of a word without significant odds, and the highest log-odds a word may have, towards either side.
+    drift: float = 1.5
     highest: float = 6.0
     #: A passage is significant if a clean text of the length holds such a one with a lower chance.
     significance: float = 0.01
@@ -57,12 +56,14 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def terms_of(words: list[str]) -> set[str]:
-    """Different words of a text (as `=word`) and their prefixes."""
-    out = set()
-    for w in set(words):
-        out.add("=" + w)
-        out.update(w[:n] for n in PREFIXES if len(w) > n)
+def terms_of(words: list[str]) -> Counter:
+    """Terms of a text with their tokens: every word (as `=word`) and its prefixes."""
+    out: Counter = Counter()
+    for w, n in Counter(words).items():
+        out["=" + w] += n
+        for k in PREFIXES:
+            if len(w) > k:
+                out[w[:k]] += n
     return out
 
 
@@ -161,27 +162,31 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> tup
 
 
 def lexicon(training: DataFrame, settings: Settings) -> dict[str, float]:
-    """Terms with significant log-odds, from the number of training documents of each class that hold them."""
+    """Terms with significant log-odds towards either class, from the tokens of the training documents of each."""
+    sides = ("clean", "toxic", "clean_docs", "toxic_docs")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter, Counter] = (Counter(), Counter())
+        held: dict[str, list[int]] = {}
 
         def made():
-            terms = list(held[0].keys() | held[1].keys())
-            arrays = [pa.array(terms, pa.string()), *(pa.array([h[t] for t in terms], pa.int64()) for h in held)]
-            held[0].clear()
-            held[1].clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["term", "clean", "toxic"])
+            arrays = [pa.array(list(held), pa.string()), *(pa.array([h[k] for h in held.values()], pa.int64()) for k in range(4))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["term", *sides])
 
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-                held[toxic.as_py()].update(terms_of(words_of(text.as_py())))
-                if len(held[0]) + len(held[1]) > 300_000:
+                side = toxic.as_py()
+                for term, n in terms_of(words_of(text.as_py())).items():
+                    counts = held.setdefault(term, [0, 0, 0, 0])
+                    counts[side] += n
+                    counts[side + 2] += 1
+                if len(held) > 200_000:
                     yield made()
         yield made()
 
-    counts = training.select("text", "toxic").mapInArrow(count, "term string, clean long, toxic long")
-    counts = stored(counts.groupBy("term").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")), "terms")
+    counts = training.select("text", "toxic").mapInArrow(count, "term string, " + ", ".join(f"{k} long" for k in sides))
+    totals = [F.sum(k).alias(name) for k, name in zip(sides, ("c", "t", "c_docs", "t_docs"), strict=True)]
+    counts = stored(counts.groupBy("term").agg(*totals), "terms")
     sums = counts.agg(F.sum("c").alias("c"), F.sum("t").alias("t")).first()
     n_clean, n_toxic = float(sums["c"] or 0), float(sums["t"] or 0)
     if n_clean == 0 or n_toxic == 0:
@@ -189,10 +194,13 @@ def lexicon(training: DataFrame, settings: Settings) -> dict[str, float]:
     alpha = F.lit(settings.prior) * (F.col("c") + F.col("t")) / (n_clean + n_toxic)
     odds = lambda x, n: F.log((F.col(x) + alpha) / (n + settings.prior - F.col(x) - alpha))
     z = (odds("t", n_toxic) - odds("c", n_clean)) / F.sqrt(1 / (F.col("t") + alpha) + 1 / (F.col("c") + alpha))
-    scored = counts.select("term", "t", (odds("t", n_toxic) - odds("c", n_clean)).alias("odds"), z.alias("z"))
-    best = scored.where((F.col("z") >= settings.least_z) & (F.col("t") >= settings.least_docs))
-    best = best.orderBy(F.desc("z"), "term").limit(settings.lexicon)
-    return {r["term"]: min(float(r["odds"]), settings.highest) for r in best.collect()}
+    scored = counts.select("term", "c_docs", "t_docs", (odds("t", n_toxic) - odds("c", n_clean)).alias("odds"), z.alias("z"))
+    toxic = (F.col("z") >= settings.least_z) & (F.col("t_docs") >= settings.least_docs)
+    clean = (F.col("z") <= -settings.least_z) & (F.col("c_docs") >= settings.least_docs)
+    # no more terms than the bounded sample has
+    found = scored.where(toxic | clean).select("term", "odds").toPandas()
+    odds_of = found["odds"].clip(-settings.highest, settings.highest)
+    return dict(zip(found["term"], map(float, odds_of), strict=True))
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -204,30 +212,34 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         odds = math.log((rate + 1e-3) / (1 - rate + 1e-3))
         return Model({}, 1.0, 1.0, (odds, 0.0, 0.0, 0.0), settings)
 
+    edges = np.linspace(-settings.highest, settings.highest, 241)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(terms, settings)
         for batch in batches:
-            n, hits, sums, best, per = [], [], [], [], []
+            n, seen_scores, best, per = [], [], [], []
             for text in batch.column(0):
                 values = np.array([scores[w] for w in words_of(text.as_py())])
                 segments = maximal_segments(values) if len(values) else []
                 n.append(len(values))
-                hits.append(int((values > 0).sum()))
-                sums.append(float(values[values > 0].sum()) if len(values) else 0.0)
+                seen_scores.append(np.histogram(values, edges)[0].tolist())
                 best.append(max((s for _, _, s in segments), default=0.0))
                 per.append([s for _, _, s in segments])
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
-            arrays = [pa.array(x, k) for x, k in zip((n, hits, sums, best, per), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *arrays], names=["toxic", "n", "hits", "sums", "best", "per"])
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.float64()))
+            arrays = [pa.array(x, k) for x, k in zip((n, seen_scores, best, per), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *arrays], names=["toxic", "n", "scores", "best", "per"])
 
-    schema = "toxic int, n long, hits long, sums double, best double, per array<double>"
+    schema = "toxic int, n long, scores array<long>, best double, per array<double>"
     seen = training.select("text", "toxic").mapInArrow(scan, schema).toPandas()  # the bounded sample
     clean = seen[seen["toxic"] == 0]
-    # scores of clean words: positive ones at their mean, with half a hit added, the rest at the drift
-    hits, words = clean["hits"].sum() + 0.5, max(clean["n"].sum(), 1) + 1.0
-    mean = (clean["sums"].sum() + 0.5 * settings.highest) / hits
-    chance = min(hits / words, settings.drift / (settings.drift + mean) * 0.99)
-    decay = decay_of(np.array([mean, -settings.drift]), np.array([chance, 1 - chance]))
+    # how often clean words have which score, with half a word of the highest and one of the drift added
+    values = np.append((edges[1:] + edges[:-1]) / 2, [settings.highest, -settings.drift])
+    counts = np.sum(np.stack(clean["scores"].to_list()), axis=0) if len(clean) else np.zeros(len(edges) - 1)
+    chances = np.append(counts, [0.5, 1.0])
+    up, down = values > 0, values < 0
+    gain, loss = float(chances[up] @ values[up]), float(-(chances[down] @ values[down]))
+    chances[up] *= min(1.0, 0.99 * loss / gain)  # the mean has to be negative
+    decay = decay_of(values, chances / chances.sum())
     tail = np.mean(decay * clean["best"] - np.log(np.maximum(clean["n"], 1)))
     size = float(np.clip(np.exp(tail - 0.5772), 1e-6, 1.0))
     x = np.array([features(n, [(0, 0, s) for s in per], decay, size)[0] for n, per in zip(seen["n"], seen["per"], strict=True)])
