@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as M
 from tidemark.operators import statements as S
+from tidemark.operators import valuation as V
 
 SCHEMA = (
     "company bigint, taxonomy string, concept string, unit string, period_start date, period_end date, "
@@ -124,3 +125,33 @@ def test_share_classes_are_summed(rows, data):
     latest = S.shares_cover(facts).first()
     assert (latest["shares"], latest["classes"], str(latest["period_end"])) == (60, 2, "2024-10-18")
     assert S.shares_cover(facts, "2024-01-01").first()["shares"] == 58
+
+
+def test_multiples_at_year_ends_and_implied_values(rows, data):
+    diluted = [_fact(DILUTED, *FY23, 100, "K23", "shares"), _fact(DILUTED, *FY24, 50, "K24", "shares")]
+    cells = S.statements(rows(SCHEMA, data + diluted), "annual")
+    prices = rows("company bigint, trade_date date, close double", [
+        (1, "2023-09-22", 7.0), (1, "2023-09-23", 9.0), (1, "2023-09-30", 10.0), (1, "2023-10-01", 99.0),
+        (1, "2024-09-20", 99.0), (1, "2024-09-21", 30.0), (2, "2024-09-28", 5.0),
+    ])
+    found = {r["metric"]: r for r in V.multiple_history(cells, prices).collect()}
+    expected = {
+        "pe_ratio": (1000 / 100 + 1500 / 150) / 2, "price_to_sales": (1000 / 990 + 1500 / 1200) / 2,
+        "price_to_book": (1000 / 800 + 1500 / 1000) / 2, "ev_to_ebitda": (1500 + 500 - 350) / 230,
+    }
+    assert {m: r["history_median"] for m, r in found.items()} == pytest.approx(expected)
+    assert {m: r["history_years"] for m, r in found.items()} == {m: 1 if m == "ev_to_ebitda" else 2 for m in expected}
+    assert V.multiple_history(cells, prices.limit(0)).count() == 0
+
+
+def test_implied_value_per_share(rows):
+    medians = [("pe_ratio", 12.0), ("ev_to_ebitda", 10.0), ("price_to_sales", None), ("price_to_book", 2.0)]
+    compared = rows("company bigint, metric string, peer_median double", [(c, *m) for c in (1, 2, 3) for m in medians])
+    figures = rows(
+        "company bigint, shares double, net_income double, ebitda double, revenue double, total_equity double, debt double, cash double",
+        [(1, 10.0, 50.0, 80.0, 900.0, 300.0, 200.0, None), (2, 0.0, 50.0, 80.0, 900.0, 300.0, 0.0, 0.0)],
+    )
+    found = {(r["company"], r["metric"]): r["implied_per_share"] for r in V.implied_per_share(compared, figures).collect()}
+    assert found == {(c, m): None for c in (1, 2, 3) for m, _ in medians} | {
+        (1, "pe_ratio"): 60.0, (1, "ev_to_ebitda"): 60.0, (1, "price_to_book"): 60.0
+    }

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tidemark.functions import expr as E
 from tidemark.functions.expr import clamp
 from tidemark.operators import metrics as M
 from tidemark.operators import ranking as R
@@ -316,3 +318,52 @@ def relative(metrics: DataFrame, peers: DataFrame, groups: DataFrame, names: lis
         F.coalesce("peer_count", F.lit(0)).alias("peer_count"),
         median.alias("group_median"), left.alias("group_count"),
     )
+
+
+#: Days before a fiscal year end in which a close counts, and fiscal years of the history.
+NEAR_YEAR_END, HISTORY_YEARS = 7, 5
+
+
+def multiple_history(annual: DataFrame, prices: DataFrame) -> DataFrame:
+    """Median positive multiple over the last five fiscal year ends, and how many years have one.
+
+    The close is the last of the week up to the year end, the share count that year's diluted one; missing debt and cash count
+    as zero. A year end becomes its eight days, which meet the prices by equality; a company brings five years at most."""
+    latest = Window.partitionBy("company").orderBy(F.desc("idx"))
+    years = M.wide(annual).withColumn("_back", F.row_number().over(latest)).where(F.col("_back") <= HISTORY_YEARS)
+    days = F.explode(F.sequence(F.date_sub("end", NEAR_YEAR_END), F.col("end"))).alias("trade_date")
+    dated = years.select("company", "idx", days).join(prices.select("company", "trade_date", "close"), ["company", "trade_date"])
+    closes = dated.where(F.col("close").isNotNull()).groupBy("company", "idx").agg(F.max_by("close", "trade_date").alias("_close"))
+    v = M.Values(F.col, None, None, annual=True)
+    cap = F.col("_close").cast("double") * F.col("shares_diluted")
+    enterprise = cap + F.coalesce(v.debt(), F.lit(0.0)) - F.coalesce("cash", F.lit(0.0))
+    multiples = {
+        "pe_ratio": E.multiple(cap, v.cur("net_income")), "ev_to_ebitda": E.multiple(enterprise, v.ebitda()),
+        "price_to_sales": E.multiple(cap, v.cur("revenue")), "price_to_book": E.multiple(cap, v.cur("total_equity")),
+    }
+    wide = years.join(closes, ["company", "idx"]).where(F.col("shares_diluted") > 0)
+    long = wide.select("company", "idx", *[m.alias(name) for name, m in multiples.items()]).unpivot(
+        ["company", "idx"], list(multiples), "metric", "value"
+    )
+    return long.where(F.col("value").isNotNull()).groupBy("company", "metric").agg(
+        F.percentile(F.when(F.col("value") > 0, F.col("value")), F.lit(0.5)).alias("history_median"),
+        F.count(F.lit(1)).alias("history_years"),
+    )  # at most five values
+
+
+def implied_per_share(compared: DataFrame, figures: DataFrame) -> DataFrame:
+    """Rows of `relative` with the value per share that the peer median gives the company's own figures.
+
+    `figures`: company, shares, net_income, ebitda, revenue, total_equity, debt, cash. Null without peers, shares or a positive
+    figure; debt is taken off and cash added where the multiple is one of enterprise value."""
+    base = {"pe_ratio": "net_income", "ev_to_ebitda": "ebitda", "price_to_sales": "revenue", "price_to_book": "total_equity"}
+    own, metric = F.lit(None).cast("double"), F.col("metric")
+    for name, column in base.items():
+        own = F.when(metric == name, F.col(f"_f.{column}")).otherwise(own)
+    net = F.coalesce(F.col("_f.debt"), F.lit(0.0)) - F.coalesce(F.col("_f.cash"), F.lit(0.0))
+    value = F.col("peer_median") * own - F.when(metric == "ev_to_ebitda", net).otherwise(0.0)
+    usable = (F.col("_f.shares") > 0) & (own > 0)
+    wanted = ("shares", *base.values(), "debt", "cash")
+    packed = figures.select("company", F.struct(*[F.col(c).cast("double").alias(c) for c in wanted]).alias("_f"))
+    joined = compared.join(packed, "company", "left")
+    return joined.withColumn("implied_per_share", F.when(usable, value / F.col("_f.shares"))).drop("_f")

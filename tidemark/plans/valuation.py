@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tidemark.operators import metrics as M
 from tidemark.operators import ownership as O
 from tidemark.operators import prices as P
+from tidemark.operators import statements as S
 from tidemark.operators import valuation as V
 from tidemark.plans.base import big, q, qc, query
-from tidemark.plans.fundamentals import _prices
+from tidemark.plans.fundamentals import _PRICES, _WIDE, ANNUAL_SQL, _prices, gross_sql
 from tidemark.sources.views import Tables
 
 # Assumptions per order: derived columns shared by both sides.
@@ -287,6 +288,33 @@ def relative_val(t: Tables):
     )
 
 
+_EV_HISTORY = "close * shares_diluted + coalesce(long_term_debt, 0) - coalesce(cash, 0)"
+_HISTORY = {
+    "pe_ratio": ("close * shares_diluted", "net_income"),
+    "ev_to_ebitda": (_EV_HISTORY, "(operating_income + depreciation_amortization)"),
+    "price_to_sales": ("close * shares_diluted", "revenue"),
+    "price_to_book": ("close * shares_diluted", "total_equity"),
+}
+
+
+@query(
+    "multiple_history",
+    f"""WITH RECURSIVE {ANNUAL_SQL}, {gross_sql('annual_raw')}, {_WIDE}, {_PRICES},
+        ends AS (SELECT *, make_date(CAST(idx AS INTEGER), 12, 31) AS e FROM wide
+            QUALIFY row_number() OVER (PARTITION BY company ORDER BY idx DESC) <= 5),
+        priced AS (SELECT n.*, (SELECT arg_max(close, trade_date) FROM prices p WHERE p.company = n.company
+            AND trade_date BETWEEN e - 7 AND e) AS close FROM ends n),
+        long AS ({' UNION ALL '.join(
+            f"SELECT company, '{m}' AS metric, CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END AS value "
+            "FROM priced WHERE shares_diluted > 0" for m, (a, b) in _HISTORY.items())})
+        SELECT company, metric, {q('median(value) FILTER (value > 0)', 3)} AS history_median, count(*) AS history_years
+        FROM long WHERE value IS NOT NULL GROUP BY 1, 2""",
+)
+def multiple_history(t: Tables):
+    found = V.multiple_history(S.statements(t.filed_facts(), "annual"), _prices(t))
+    return found.select("company", "metric", qc("history_median", digits=3), "history_years")
+
+
 # --- Ownership ----------------------------------------------------------------------------
 
 _FILINGS = """filings AS (SELECT DISTINCT manager, period, accession, kind, filed FROM v_holdings),
