@@ -252,9 +252,7 @@ def val_defaults(t: Tables):
     return found.select(*[c if c in keep else qc(c, digits=4) for c in found.columns])
 
 
-@query(
-    "relative_val",
-    f"""WITH c AS (SELECT c_custkey AS company, c_name AS name,
+_RELATIVE = """WITH c AS (SELECT c_custkey AS company, c_name AS name,
             lpad(CAST((c_custkey * 7) % 180 * 50 AS VARCHAR), 4, '0') AS sic FROM customer),
         m AS (SELECT company, metric, value FROM v_metrics WHERE metric IN ('pe_ratio', 'net_income')),
         r AS (SELECT c.*, substr(sic, 1, 2) AS major, count(*) OVER (PARTITION BY sic) - 1 AS others,
@@ -269,25 +267,51 @@ def val_defaults(t: Tables):
             JOIN m ON m.company = p.peer WHERE value > 0 GROUP BY 1, 2),
         gm AS (SELECT a.company, m.metric, median(m.value) AS med, count(*) AS n FROM r a JOIN r b
             ON a.major = b.major AND a.company <> b.company JOIN m ON m.company = b.company
-            WHERE m.value > 0 GROUP BY 1, 2)
+            WHERE m.value > 0 GROUP BY 1, 2)"""
+
+
+def _relative(t: Tables):
+    sic = F.lpad((((F.col("c_custkey") * 7) % 180) * 50).cast("string"), 4, "0")
+    companies = t.customer.select(
+        F.col("c_custkey").alias("company"), F.col("c_name").alias("name"), sic.alias("sic")
+    )
+    groups = companies.select("company", F.substring("sic", 1, 2).alias("grp"))
+    return V.relative(t.metrics(), M.peers(companies, t.metrics()), groups, ["pe_ratio", "net_income"])
+
+
+@query(
+    "relative_val",
+    f"""{_RELATIVE}
         SELECT m.company, m.metric, {q('m.value', 2)} AS value, {q('pm.med', 3)} AS peer_median,
             coalesce(pm.n, 0) AS peer_count, {q('gm.med', 3)} AS group_median,
             coalesce(gm.n, 0) AS group_count
         FROM m LEFT JOIN pm USING (company, metric) LEFT JOIN gm USING (company, metric)""",
 )
 def relative_val(t: Tables):
-    sic = F.lpad((((F.col("c_custkey") * 7) % 180) * 50).cast("string"), 4, "0")
-    companies = t.customer.select(
-        F.col("c_custkey").alias("company"), F.col("c_name").alias("name"), sic.alias("sic")
-    )
-    groups = companies.select("company", F.substring("sic", 1, 2).alias("grp"))
-    found = V.relative(t.metrics(), M.peers(companies, t.metrics()), groups, ["pe_ratio", "net_income"])
+    found = _relative(t)
     return found.select(
         "company", "metric", qc("value", digits=2), qc("peer_median", digits=3), "peer_count",
         qc("group_median", digits=3), big("group_count"),
     )
 
 
+@query(
+    "implied_value",
+    f"""{_RELATIVE},
+        own AS (SELECT company, value FROM v_metrics WHERE metric = 'net_income')
+        SELECT m.company, {q('pm.med * own.value / (1000 + m.company)', 3)} AS implied_per_share
+        FROM m JOIN pm USING (company, metric) JOIN own USING (company)
+        WHERE m.metric = 'pe_ratio' AND own.value > 0""",
+)
+def implied_value(t: Tables):
+    net_income = F.max(F.when(F.col("metric") == "net_income", F.col("value")))
+    unknown = [F.lit(None).cast("double").alias(c) for c in ("ebitda", "revenue", "total_equity", "debt", "cash")]
+    own = t.metrics().groupBy("company").agg(net_income.alias("net_income"))
+    figures = own.select("company", (F.lit(1000.0) + F.col("company")).alias("shares"), "net_income", *unknown)
+    found = V.implied_per_share(_relative(t), figures).where(F.col("implied_per_share").isNotNull())
+    return found.select("company", qc("implied_per_share", digits=3))
+
+
 _EV_HISTORY = "close * shares_diluted + coalesce(long_term_debt, 0) - coalesce(cash, 0)"
 _HISTORY = {
     "pe_ratio": ("close * shares_diluted", "net_income"),
