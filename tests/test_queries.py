@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables."""
 
 import os
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
@@ -39,3 +40,13 @@ def test_entry_points(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns
+
+
+def test_news_page_lists_named_companies_and_counts_the_rest(spark, tmp_path):
+    docs = [(d, f"title {d}\nmore", "en", f"s{d}", 9) for d in range(4)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    events = [(k, datetime(2024, 1, 1) + timedelta(minutes=k), 100 + k % 7, "click", 1.0, "{}") for k in range(23)]
+    kind = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(events, kind).write.parquet(f"{tmp_path}/events.parquet")
+    found = REGISTRY["news"].run(spark, str(tmp_path)).collect()
+    assert [(r["news_id"], r["company"], r["hidden"]) for r in found] == [(k, 100 + k % 7, 4) for k in range(22, -1, -1) if k % 5 != 4]
