@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import search
+from tidemark.plans import load_all
 from tidemark.session import shared_folder
 
 FILED = "company long, form string, filed_date date"
@@ -101,3 +102,17 @@ def test_vector_search_reads_few_cells_of_clustered_vectors(spark):
     assert len(cells) >= 12 and 0 < sum(bound <= reach for bound, *_ in cells) < len(cells) / 2
     plan = plan_of(found)
     assert "PartitionFilters" in plan and "cell" in plan.split("PartitionFilters")[1][:200]
+
+
+def test_registered_searches_look_at_every_filing(spark, tmp_path):
+    """The best passage and the nearest vector belong to a form, a day and a label that no search may leave out."""
+    plain = [(d, "the elle erre", "a", "en") for d in range(181, 241)]
+    rows = [*plain, (2, "the the the elle elle erre erre", "a", "en"), (3, "the the elle elle erre erre", "a", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(k, [1.0, 0.2 + k / 5000], 0) for k in range(1180, 1260)] + [(0, [1.0, 0.0], 0), (5, [1.0, 0.01], 1), (6, [1.0, 0.02], 0)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    registry = load_all()
+    texts = registry["search_text"].run(spark, str(tmp_path)).collect()
+    assert len(texts) == 50 and {2, 3} <= {r["doc_id"] for r in texts}
+    fused = {r["id"]: r for r in registry["search_hybrid"].run(spark, str(tmp_path)).collect()}
+    assert [fused[k]["text_rank"] for k in (2, 3)] == [1, 2] and [fused[k]["vector_rank"] for k in (0, 5, 6)] == [1, 2, 3]
