@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from datetime import date, timedelta
 
@@ -9,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import events
-from tidemark.session import shared_folder
+from tidemark.session import shared_folder, stage_base
 from tidemark.streaming import jobs
 
 HOUR = 3_600_000_000
@@ -65,6 +66,51 @@ def test_vectors_of_one_model_decide_where_there_are_some(spark):
     assert {r["novelty"] for r in found.values()} == {"first", "repeat"}
 
 
+def stored_bytes(spark):
+    base = stage_base(spark).removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(base) for f in names)
+
+
+def test_word_sets_meet_alike_over_all_and_within_spans(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(40)]
+    titles = [" ".join(rng.sample(words, rng.randint(1, 30))) for _ in range(40)]
+    titles += [" ".join(w for w in t.split() if rng.random() < 0.8) for t in titles]
+    rows = [(i, i % 3 if i % 50 else None, rng.randint(0, 400 * HOUR), rng.choice(titles)) for i in range(240)]
+    frame = spark.createDataFrame(rows, "news_id long, company long, seen_us long, title string")
+    expected = {}
+    for i, company, seen, title in rows:
+        earlier = [r for r in rows if r[1] == company and 0 < seen - r[2] <= 72 * HOUR]
+        if company is None:  # unknown companies: equal words only
+            earlier = [r for r in earlier if set(r[3].split()) == set(title.split())]
+        share = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+        best = max(((share(set(title.split()), set(r[3].split())), -r[0]) for r in earlier), default=(0.0, 0))
+        expected[i] = (best[0], -best[1], "repeat") if best[0] >= 0.5 else (None, None, "first")
+    for over_all in (True, False):
+        monkeypatch.setattr(events, "_spread_over_all", lambda copies, sets, answer=over_all: answer)
+        found = {r["news_id"]: (r["similarity"], r["prior"], r["novelty"]) for r in events.novelty(frame).collect()}
+        assert found == expected
+    assert 20 < sum(e[2] == "repeat" for e in expected.values()) < 220
+
+
+def test_stored_headlines_do_not_grow_with_their_titles(spark, monkeypatch):
+    titles = F.array(*[F.lit(" ".join(f"word{(7 * k + i) % 900}" for i in range(60))) for k in range(20)])
+    rows = spark.range(20000).select(
+        F.col("id").alias("news_id"), (F.col("id") % 3).alias("company"), (F.col("id") * 60_000_000).alias("seen_us"), F.element_at(titles, (F.col("id") % 20 + 1).cast("int")).alias("title")
+    )
+    before = stored_bytes(spark)
+    judged = events.novelty(rows)
+    assert judged.where("novelty = 'repeat'").count() > 19000
+    assert stored_bytes(spark) - before < 20000 * 40  # kept as words they take a kilobyte each
+    path = shared_folder(spark, "titles")
+    schema = "news_id long, company long, seen_us long, title string"
+    rows.coalesce(1).write.parquet(f"{path}/in")
+    before = stored_bytes(spark)
+    jobs.novelty(spark.readStream.schema(schema).parquet(f"{path}/in"), f"{path}/table", f"{path}/progress").awaitTermination()
+    assert jobs.judgements(spark, f"{path}/table", "novelty").where("novelty = 'repeat'").count() > 19000
+    assert stored_bytes(spark) - before < 20000 * 120
+
+
 def test_all_alert_kinds_equal_the_batch_rows_however_they_arrive(spark):
     rng, day = random.Random(6), date(2024, 1, 1)
     rules = [(k, ("filing", "earnings", "news", "insider", "price")[k % 5], 300.0, 0.05, day) for k in range(25)]

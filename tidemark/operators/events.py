@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,7 +21,7 @@ from tidemark.functions.lookups import (
     TICKER_PATTERNS,
 )
 from tidemark.operators.search import usable
-from tidemark.session import cut_lineage
+from tidemark.session import Stages
 
 NOVELTY_US = 72 * 3600 * 1_000_000
 REPEAT_OVERLAP = 0.5
@@ -192,52 +194,91 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / both).otherwise(0.0)
 
 
-def _similar_sets(asked: DataFrame, known: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """Word sets asked for and known in a span (company, _slot, key) → (company, _slot, key, other, score) that reach the overlap.
+#: Longs of parities that a word set has.
+_PARITIES = 4
+
+
+def _parity(hashes: Column, k: int) -> Column:
+    """Bit h mod 64 is set where an odd number of words have it, of those whose next two bits are k."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    mine = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(_PARITIES - 1)) == k
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: F.when(mine(h), bits.bitwiseXOR(bit(h))).otherwise(bits))
+
+
+def _spread_over_all(copies: DataFrame, sets: int) -> bool:
+    """Whether pairs of sets meet less often if all sets meet once than if those of each company and span do.
+
+    By the sizes of the spans, each taken with the one before, as if sets fell into them by chance: a pair meets wherever both are."""
+    sizes = copies.groupBy("company", "_slot").agg(F.count(F.lit(1)).alias("n"))
+    both = F.pow(1 - F.exp(-2 * F.col("n") / F.lit(max(1, sets))), F.lit(2.0))
+    return (sizes.agg(F.sum(both).alias("times")).first()["times"] or 0.0) >= 1
 
-    Sets that overlap enough share one of their rarest words (prefix filtering), so pairs meet only there. `words` has each
-    set once (key, words): the rarest are found per set, and a pair is scored once, wherever it meets."""
+
+def _similar_sets(words: DataFrame, threshold: float, stages: Stages, asked: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Word sets (key, words by their hashes) → (key, other, score) of those that reach the overlap, both ways round. Where sets asked for and known
+    in a span (company, _slot, key) are given, those that meet in one only, with company and _slot.
+
+    Sets that overlap enough share one of their rarest words (prefix filtering), so pairs meet only there. Sizes and the parities
+    of the words' hashes (a word that one set has alone flips one) rule out most of them at once; the others are scored once."""
     token = words.select("key", F.explode("words").alias("token"))
+    marks = words.select("key", *[_parity(F.col("words"), k).alias(f"p{k}") for k in range(_PARITIES)])
     ranked = token.join(token.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token").groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order")  # the words of one headline
     )
     size = F.size("order")
     length = size - F.ceil(size * F.lit(threshold)) + 1
-    rare = cut_lineage(ranked.select("key", size.alias("n"), F.slice("order", F.lit(1), length.cast("int"))["token"].alias("rare")))
-    placed = lambda rows: rows.join(rare, "key").select("company", "_slot", "key", "n", F.explode("rare").alias("token"))
-    right = placed(known).select("company", "_slot", "token", F.col("key").alias("other"), F.col("n").alias("other_n"))
+    rare = F.slice("order", F.lit(1), length.cast("int"))["token"].alias("rare")
+    rare = stages.keep(ranked.select("key", size.alias("n"), rare).join(marks, "key"), "rare")
+    place = [] if asked is None else ["company", "_slot"]
+    meet, tasks = [*place, "token"], int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = lambda rows: rows.join(rare, "key") if place else rare
+    bits, other_bits = [f"p{k}" for k in range(_PARITIES)], [f"q{k}" for k in range(_PARITIES)]
+    at = lambda rows: placed(rows).select(*place, "key", "n", *bits, F.explode("rare").alias("token")).repartition(tasks, *meet)
+    right = at(known).toDF(*place, "other", "other_n", *other_bits, "token")
+    total = F.col("n") + F.col("other_n")
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(q))) for p, q in zip(bits, other_bits, strict=True)), F.lit(0))
     # sets of too different a size can't reach the overlap
     sizes = F.least("n", "other_n") >= threshold * F.greatest("n", "other_n")
-    met = placed(asked).join(right, ["company", "_slot", "token"]).where((F.col("key") != F.col("other")) & sizes)
-    pairs = cut_lineage(met.select("company", "_slot", "key", "other").distinct())
+    near = sizes & (apart * (1 + threshold) <= total * (1 - threshold) + 1e-6)
+    once = F.col("key") != F.col("other") if place else F.col("key") < F.col("other")
+    pairs = stages.keep(at(asked).join(right, meet).where(once & near).select(*place, "key", "other").distinct(), "pairs")
     scored = pairs.select("key", "other").distinct().join(words, "key").join(
         words.select(F.col("key").alias("other"), F.col("words").alias("other_words")), "other"
     )
-    scored = scored.select("key", "other", jaccard(F.col("words"), F.col("other_words")).alias("score"))
-    return pairs.join(scored.where(F.col("score") >= threshold), ["key", "other"]).select("company", "_slot", "key", "other", "score")
+    scored = scored.select("key", "other", jaccard(F.col("words"), F.col("other_words")).alias("score")).where(F.col("score") >= threshold)
+    if place:
+        return pairs.join(scored, ["key", "other"]).select("company", "_slot", "key", "other", "score")
+    scored = stages.keep(scored, "scored")
+    return scored.unionByName(scored.select(F.col("other").alias("key"), F.col("key").alias("other"), "score"))
 
 
-def _earlier_copies(spread: DataFrame, span: int) -> DataFrame:
-    """Headlines in spans (key: what they say) → each once with prior, the lowest id of an earlier equal one within the span."""
+def _earlier_copies(rows: DataFrame, span: int) -> DataFrame:
+    """Headlines (key: what they say) → each once in its span with prior, the lowest id of an earlier equal one within the span."""
     frame = Window.partitionBy("company", "_slot", "key").orderBy("seen_us").rangeBetween(-span, -1)
-    return spread.withColumn("prior", F.min("news_id").over(frame)).where("_slot = _own").drop("_own")
+    spread = in_spans(rows, span).withColumn("prior", F.min("news_id").over(frame))
+    return spread.where("_slot = _own").drop("_own")
 
 
-def _by_words(rows: DataFrame, threshold: float, span: int) -> DataFrame:
-    """Headlines (news_id, company, seen_us, words, key) → news_id, similarity, prior of those with an earlier one whose words overlap enough.
+def _by_words(rows: DataFrame, words: DataFrame, threshold: float, span: int, stages: Stages) -> DataFrame:
+    """Headlines (news_id, company, seen_us, key) and their word sets (key, words) → news_id, similarity, prior of those with an
+    earlier one whose words overlap enough.
 
     An equal word set is the best there can be, so only headlines without one ask other sets: the first of a story in a span.
     What they ask for are word sets, answered by trailing windows over each set's occurrences."""
-    spread = in_spans(rows.drop("words"), span)
-    copies = cut_lineage(_earlier_copies(spread, span))
+    copies = stages.keep(_earlier_copies(rows, span), "copies")
     same = copies.where("prior is not null").select("news_id", F.lit(1.0).alias("similarity"), "prior")
-    asks = copies.where("prior is null").select("news_id", "company", "seen_us", "key", "_slot")
-    sets = lambda found: found.select("company", "_slot", "key").distinct()
-    similar = _similar_sets(sets(asks), sets(spread), rows.groupBy("key").agg(F.first("words").alias("words")), threshold)
-    asks = asks.join(similar, ["company", "_slot", "key"]).select(
+    asks = copies.where("prior is null and company is not null").select("news_id", "company", "seen_us", "key", "_slot")
+    spread = in_spans(copies.drop("_slot", "prior"), span)
+    if _spread_over_all(copies, words.count()):
+        similar, group = _similar_sets(words, threshold, stages), ["key"]
+    else:
+        sets = lambda found: found.select("company", "_slot", "key").distinct()
+        similar, group = _similar_sets(words, threshold, stages, sets(asks), sets(spread)), ["company", "_slot", "key"]
+    similar = stages.keep(similar, "similar")
+    asks = asks.join(similar, group).select(
         "news_id", "company", "seen_us", "_slot", F.col("other").alias("target"), "score"
     ).withColumn("_event", F.lit(None).cast("bigint"))
-    known = spread.select(
+    known = spread.join(similar.select(F.col("other").alias("key")).distinct(), "key", "left_semi").select(
         F.lit(None).cast("bigint").alias("news_id"), "company", "seen_us", "_slot",
         F.col("key").alias("target"), F.lit(None).cast("double").alias("score"), F.col("news_id").alias("_event"),
     )
@@ -249,89 +290,137 @@ def _by_words(rows: DataFrame, threshold: float, span: int) -> DataFrame:
     return same.unionByName(other)
 
 
-#: Headlines whose vectors are compared at once.
-_BLOCK = 1024
+#: Numbers of the vectors that one task holds of either side, and products it computes at once.
+_BLOCK, _CHUNK = 1 << 22, 1 << 22
 
 
 def _best_cosine(span: int):
-    """(asking headlines, earlier ones) of one pair of blocks → per asking headline its nearest earlier one."""
+    """Rows of one pair of blocks: headlines that ask, earlier ones and the vectors of both → per asking headline its nearest earlier one."""
 
-    def run(asks: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        names = ["news_id", "similarity", "prior"]
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names, kind = ["news_id", "similarity", "prior"], rows["_kind"].to_numpy()
+        none = pd.DataFrame({"news_id": [], "similarity": [], "prior": []}).astype({"news_id": "int64", "similarity": "float64", "prior": "int64"})
+        asks, known, said = (rows[kind == k] for k in range(3))
         if asks.empty or known.empty:
-            return pd.DataFrame({"news_id": [], "similarity": [], "prior": []}).astype({"news_id": "int64", "similarity": "float64", "prior": "int64"})
-        known = known.sort_values("news_id")
-        unit = lambda f: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(np.stack(f["vector"].to_numpy()).astype(float))
-        scores = np.round(unit(asks) @ unit(known).T, 9)  # equal but for rounding is a tie
-        age = asks["seen_us"].to_numpy()[:, None] - known["seen_us"].to_numpy()[None, :]
-        scores[(age <= 0) | (age > span)] = -np.inf
-        at = scores.argmax(1)  # the lowest id of those that tie
-        top = scores[np.arange(len(at)), at]
-        found = pd.DataFrame({"news_id": asks["news_id"].to_numpy(), "similarity": top, "prior": known["news_id"].to_numpy()[at]})
-        return found[np.isfinite(top)][names]
+            return none
+        said = said.drop_duplicates("key")
+        place = pd.Series(np.arange(len(said)), index=said["key"].to_numpy())
+        unit = np.stack(said["vector"].to_numpy()).astype(float)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        # by time, so that what a few headlines look back on stands together; the lowest id of a moment first
+        asks, known = asks.sort_values("seen_us"), known.sort_values(["seen_us", "news_id"])
+        ids, seen, at = (known[c].to_numpy() for c in ("news_id", "seen_us", "key"))
+        at, asked = place[at].to_numpy(), place[asks["key"].to_numpy()].to_numpy()
+        now, own = asks["seen_us"].to_numpy(), asks["news_id"].to_numpy()
+        since, until = np.searchsorted(seen, now - span, "left"), np.searchsorted(seen, now, "left")
+        top, prior = np.full(len(now), -np.inf), np.full(len(now), -1)
+        step = max(1, min(256, _CHUNK // len(seen)))
+        for k in range(0, len(now), step):
+            some = slice(k, k + step)
+            lo, hi = since[some].min(), until[some].max()
+            for j in range(lo, hi, _CHUNK // step):
+                part = slice(j, min(hi, j + _CHUNK // step))
+                scores = unit[asked[some]] @ unit[at[part]].T
+                within = np.arange(part.start, part.stop)
+                scores[(within < since[some][:, None]) | (within >= until[some][:, None])] = -np.inf
+                most = scores.max(1)
+                for r in np.flatnonzero(np.isfinite(most)):
+                    # equal but for rounding is a tie, and goes to the lowest id
+                    best = np.round(most[r], 9)
+                    tied = np.flatnonzero(scores[r] > best - 1e-9)
+                    low = ids[part][tied[np.round(scores[r][tied], 9) == best]].min()
+                    if best > top[k + r] or (best == top[k + r] and low < prior[k + r]):
+                        top[k + r], prior[k + r] = best, low
+        found = np.isfinite(top)
+        return pd.DataFrame({"news_id": own[found], "similarity": top[found], "prior": prior[found]})[names]
 
     return run
 
 
-def _by_vectors(rows: DataFrame, span: int) -> DataFrame:
-    """Headlines (news_id, company, seen_us, model, vector, key) → news_id, similarity, prior: the nearest earlier one of the company within the span.
+def _by_vectors(rows: DataFrame, vectors: DataFrame, span: int, stages: Stages) -> DataFrame:
+    """Headlines (news_id, company, seen_us, model, key) and their vectors (key, vector) → news_id, similarity, prior: the nearest
+    earlier one of the company within the span.
 
     Only vectors of one model are compared. An equal vector is the nearest there can be; the other headlines are compared in
-    blocks of _BLOCK by _BLOCK, of which each gives a headline's best only."""
-    spread = in_spans(rows, span)
-    copies = cut_lineage(_earlier_copies(spread, span))
+    blocks of vectors, of which each gives a headline's best only. A block gets each vector once."""
+    copies = stages.keep(_earlier_copies(rows, span), "vector-copies")
     same = copies.where("prior is not null").select("news_id", F.lit(1.0).alias("similarity"), "prior")
     group = ["company", "_slot", "model"]
-    place = F.pmod(F.xxhash64("news_id"), F.greatest(F.lit(1), F.ceil(F.col("_n") / _BLOCK)))
-    blocks = lambda c: F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col(c) / _BLOCK) - 1).cast("long"))
-    asks = copies.where("prior is null").drop("prior", "key")
-    sizes = spread.groupBy(*group).agg(F.count(F.lit(1)).alias("_known")).join(asks.groupBy(*group).agg(F.count(F.lit(1)).alias("_asks")), group)
-    left = asks.join(sizes.withColumn("_n", F.col("_asks")), group).select(*group, "news_id", "seen_us", "vector", place.alias("_a"), F.explode(blocks("_known")).alias("_b"))
-    right = spread.join(sizes.withColumn("_n", F.col("_known")), group).select(*group, "news_id", "seen_us", "vector", F.explode(blocks("_asks")).alias("_a"), place.alias("_b"))
+    sizes = vectors.agg(F.max(F.size("vector")).alias("n")).first()  # of the longest one
+    most = max(1, _BLOCK // max(1, sizes["n"] or 1))
+    columns = [*group, "news_id", "seen_us", "key"]
+    asks = copies.where("prior is null and company is not null").select(*columns)
+    spread = in_spans(copies.drop("_slot", "prior"), span).select(*columns)
+    held = spread.groupBy(*group).agg(F.count(F.lit(1)).alias("_known")).join(asks.groupBy(*group).agg(F.count(F.lit(1)).alias("_asks")), group)
+    held = stages.keep(held.select(*group, *[F.ceil(F.col(c) / most).cast("int").alias(c) for c in ("_known", "_asks")]), "vector-blocks")
+    mine = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    none = F.lit(None).cast(vectors.schema["vector"].dataType).alias("vector")
     pair = [*group, "_a", "_b"]
-    right = right.toDF(*right.columns)  # columns of its own: both sides come from one table
-    found = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(_best_cosine(span), "news_id bigint, similarity double, prior bigint")
+    of = lambda found: found.join(held, group)
+    left = of(asks).select(*columns, mine("_asks").alias("_a"), every("_known").alias("_b"))
+    right = of(spread).select(*columns, every("_asks").alias("_a"), mine("_known").alias("_b"))
+    # a headline that asks is in its own span, too
+    said = of(spread.select(*group, "key").distinct()).join(vectors, "key")
+    place, other = mine("_asks").alias("_a"), mine("_known").alias("_b")
+    ends = said.select(*group, "key", "vector", place, every("_known").alias("_b")).unionByName(said.select(*group, "key", "vector", every("_asks").alias("_a"), other))
+    blank = F.lit(None).cast("bigint")
+    ends = ends.select(*group, blank.alias("news_id"), blank.alias("seen_us"), "key", "_a", "_b", F.lit(2).alias("_kind"), "vector")
+    both = left.withColumn("_kind", F.lit(0)).unionByName(right.withColumn("_kind", F.lit(1))).withColumn("vector", none).unionByName(ends)
+    found = both.groupBy(*pair).applyInPandas(_best_cosine(span), "news_id bigint, similarity double, prior bigint")
     best = F.max(F.struct("similarity", (-F.col("prior")).alias("_neg"))).alias("b")
     other = found.groupBy("news_id").agg(best).select("news_id", "b.similarity", (-F.col("b._neg")).alias("prior"))
     return same.unionByName(other)
 
 
-def novelty(news: DataFrame, threshold: float = REPEAT_OVERLAP, span: int = NOVELTY_US) -> DataFrame:
+def novelty(news: DataFrame, threshold: float = REPEAT_OVERLAP, span: int = NOVELTY_US, stages: Stages | None = None) -> DataFrame:
     """Per headline the most similar earlier one of the company within the span; ties go to the lowest id.
 
     Where news has columns `vector` and `model`, headlines with a vector are compared by cosine with earlier ones of the same
     model: the similarity is reported, and prior and repeat where it reaches REPEAT_COSINE. Others are compared by words and
-    reported when they reach the overlap."""
-    base, words = ["news_id", "company", "seen_us"], story_words(F.col("title"))
-    if "vector" in news.columns:
-        near = usable(F.col("vector")) & F.col("model").isNotNull()
-        rows = news.select(*base, F.when(~near, words).alias("words"), F.when(near, F.col("vector")).alias("vector"), "model")
-    else:
-        rows = news.select(*base, words.alias("words"))
-    rows = cut_lineage(rows)
-    worded = rows.where(F.size("words") > 0).select(*base, "words", F.xxhash64(F.array_join("words", " ")).alias("key"))
-    chosen = _by_words(worded, threshold, span)
-    if "vector" in rows.columns:
-        vectors = rows.where("vector is not null").select(*base, "model", "vector", F.xxhash64("model", "vector").alias("key"))
-        found = _by_vectors(vectors, span)
+    reported when they reach the overlap. The result is a table of `stages`, which its owner may close; what it is made from is
+    gone then. Word sets and vectors are kept once each, headlines by their hashes."""
+    stages = stages or Stages(news.sparkSession)
+    base = ["news_id", "company", "seen_us"]
+    by_vector = "vector" in news.columns
+    near = usable(F.col("vector")) & F.col("model").isNotNull() if by_vector else F.lit(False)
+    said = F.when(~near & F.col("title").isNotNull(), F.xxhash64("title")).alias("said")
+    titles = news.where(~near & F.col("title").isNotNull()).select(F.xxhash64("title").alias("said"), "title").dropDuplicates(["said"])
+    words = titles.select("said", story_words(F.col("title")).alias("words")).where(F.size("words") > 0)
+    hashes = F.transform("words", lambda w: F.xxhash64(w)).alias("words")
+    words = stages.keep(words.select("said", F.xxhash64(F.array_join("words", " ")).alias("key"), hashes), "words")
+    sets = stages.keep(words.select("key", "words").dropDuplicates(["key"]), "sets")
+    more = [F.when(near, F.col("model")).alias("model"), F.when(near, F.xxhash64("model", "vector")).alias("_vector")] if by_vector else []
+    rows = news.select(*base, said, *more).join(words.select("said", "key"), "said", "left").drop("said")
+    rows = stages.keep(rows, "rows")
+    stages.free("words")
+    chosen = _by_words(rows.where("key is not null").select(*base, "key"), sets, threshold, span, stages)
+    if by_vector:
+        vectors = news.where(near).select(F.xxhash64("model", "vector").alias("key"), "vector").dropDuplicates(["key"])
+        vectors = stages.keep(vectors, "vectors")
+        found = _by_vectors(rows.where("_vector is not null").select(*base, "model", F.col("_vector").alias("key")), vectors, span, stages)
+        found = stages.keep(found, "by-vectors")
+        stages.free("vectors", "vector-copies", "vector-blocks")
         chosen = chosen.unionByName(found.withColumn("prior", F.when(F.col("similarity") >= REPEAT_COSINE, F.col("prior"))))
     judged = rows.select(*base).join(chosen, "news_id", "left")
-    return judged.withColumn("novelty", F.when(F.col("prior").isNotNull(), "repeat").otherwise("first"))
+    judged = judged.withColumn("novelty", F.when(F.col("prior").isNotNull(), "repeat").otherwise("first"))
+    judged = stages.keep(judged, "judged")
+    stages.free(*[name for name in stages.names() if name != "judged"])
+    return judged
 
 
 def story_clusters(judged: DataFrame) -> DataFrame:
     """Cluster of each headline: the first report its chain of repeats leads to.
 
     Pointers double each round, so a chain of n repeats takes log2(n) joins."""
-    links = cut_lineage(
-        judged.select("news_id", F.coalesce("prior", "news_id").alias("root"))
-    )
-    while True:
+    stages = Stages(judged.sparkSession)
+    links = stages.keep(judged.select("news_id", F.coalesce("prior", "news_id").alias("root")), "links-0")
+    for k in count(1):
         up = links.select(F.col("news_id").alias("root"), F.col("root").alias("_up"))
-        links = cut_lineage(
-            links.join(up, "root").select("news_id", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("_moved"))
-        )
-        if not links.where("_moved").limit(1).count():
+        moved = links.join(up, "root").select("news_id", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("_moved"))
+        links = stages.keep(moved, f"links-{k}")
+        stages.free(f"links-{k - 1}")
+        if links.where("_moved").isEmpty():
             return links.select("news_id", F.col("root").alias("cluster_id"))
         links = links.drop("_moved")
 

@@ -355,8 +355,9 @@ class Tables:
 
     def news(self) -> DataFrame:
         """Headlines: an event of a user about a document, with its first line as title."""
-        docs = self.documents.select("doc_id", "text", "source")
-        count = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+        # only first lines are sent to the join
+        docs = self.documents.select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "source")
+        count = self.documents.agg(F.count(F.lit(1)).alias("n_docs"))
         return (
             self.events.crossJoin(F.broadcast(count))  # one row
             .withColumn("doc_key", F.col("event_id") % F.col("n_docs"))
@@ -366,7 +367,7 @@ class Tables:
                 F.col("user_id").alias("company"),
                 F.col("ts").alias("seen_at"),
                 F.unix_micros(F.col("ts").cast("timestamp")).alias("seen_us"),
-                F.substring_index("text", "\n", 1).alias("title"),
+                "title",
                 F.col("source").alias("domain"),
                 "doc_id",
             )
