@@ -139,6 +139,30 @@ def test_all_alert_kinds_equal_the_batch_rows_however_they_arrive(spark):
     assert {r[2] for r in found} == {"filing", "earnings", "news", "insider", "price"}
 
 
+def test_watched_pairs_come_once_and_are_not_sent_again(spark):
+    rules = [(1, ["A", "B"], 10), (2, ["A"], None), (3, None, 10), (3, ["C"], 11), (4, ["C", "C"], 11), (4, ["C"], 11), (None, ["B"], 10), (5, ["Z"], 12)]
+    listings = [("A", 100, True), ("A", 100, True), ("A", 101, True), ("B", 100, True), ("C", 7, True), ("C", 8, False), ("B", None, True)]
+    lists = [(10, 100), (10, 100), (10, 102), (11, 7), (11, 102), (10, None), (13, 5)]
+    tables = (
+        spark.createDataFrame(rules, "rule_id long, tickers array<string>, watchlist_id long"),
+        spark.createDataFrame(listings, "ticker string, company long, is_active boolean"),
+        spark.createDataFrame(lists, "watchlist_id long, company long"),
+    )
+    expected = {(r, c) for r, tickers, w in rules for t in tickers or [] for k, c, active in listings if active and k == t}
+    expected |= {(r, c) for r, _, w in rules for k, c in lists if w == k}
+    scope = events.alert_scope(*tables)
+    key = lambda row: tuple((x is not None, x or 0) for x in row)
+    assert sorted(map(tuple, scope.collect()), key=key) == sorted(expected, key=key)
+    # pairs are made by the last join and written as they come
+    assert "Aggregate" not in scope._jdf.queryExecution().executedPlan().toString()
+    kinds = spark.createDataFrame([(k, "news" if k % 2 else "price", 0.0, 0.0, date(2024, 1, 1)) for k in (1, 1, 2, 3, 4)], "rule_id long, kind string, min_value double, min_move double, since date")
+    news = spark.createDataFrame([(i, c, "first", date(2024, 1, 1 + i % 3)) for i, c in enumerate((100, 101, 7, 102, None, 100))], "news_id long, company long, novelty string, event_day date")
+    both = [sorted(map(tuple, events.news_candidates(events.scoped_rules(kinds, s), news).collect())) for s in (scope, events.watch(*tables))]
+    assert both[0] == both[1]
+    made = [(r, c, "news", f"event:{i}") for k in (1, 1, 3) for r, c in expected if r == k for i, n, _, _ in news.collect() if n == c is not None]
+    assert both[0] == sorted(made)
+
+
 def test_price_moves_keep_two_days_whatever_order_they_come_in(spark):
     day = date(2024, 1, 1)
     closes = [(c, day + timedelta(days=d), 10.0 + (d * 7 + c * 3 + k) % 11) for c in range(3) for d in range(12) for k in range(3)]
