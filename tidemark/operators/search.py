@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import Stages, shuffles_go
+
 CANDIDATES = 50
 #: Folders that terms are dealt to.
 BUCKETS = 64
@@ -42,10 +44,14 @@ def build_index(passages: DataFrame, path: str) -> None:
     postings = words.groupBy("doc_id", "ordinal", "term").agg(
         F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("company", "form", "filed_date")]
     )
-    postings = postings.withColumn("bucket", _bucket(F.col("term")))
-    ranges = postings.repartitionByRange("bucket", "term", "doc_id", "ordinal").sortWithinPartitions("bucket", "term", "doc_id", "ordinal")
-    ranges.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     spark = passages.sparkSession
+    stages = Stages(spark)
+    # counted once, for the ranges' bounds and for dealing; one shuffle lies on disk at a time
+    postings = stages.keep(postings.withColumn("bucket", _bucket(F.col("term"))), "postings")
+    ranges = postings.repartitionByRange("bucket", "term", "doc_id", "ordinal").sortWithinPartitions("bucket", "term", "doc_id", "ordinal")
+    with shuffles_go(spark):
+        ranges.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
+    stages.close()
     stored = spark.read.parquet(f"{path}/postings")
     counts = stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("passages"))
     total = passages.agg(F.count(F.lit(1)).alias("passages")).select(F.lit(-1).alias("bucket"), F.lit("").alias("term"), "passages")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +64,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of jobs inside leave the executors' disks when each ends."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 class Stages:
     """Stage tables of one job that go as soon as they are read.
 
@@ -76,9 +89,7 @@ class Stages:
         later joins on it move the other side only."""
         spark = self._spark
         path = self._paths[name] = shared_folder(spark, f"stage-{name}")
-        before = spark.conf.get(_CLEANUP)
-        spark.conf.set(_CLEANUP, "true")
-        try:
+        with shuffles_go(spark):
             writer = df.write.option("compression", "zstd")
             if by is None:
                 writer.parquet(path)
@@ -86,8 +97,6 @@ class Stages:
                 self._tables[name] = f"llm_{uuid.uuid4().hex}"
                 writer = writer.format("parquet").option("path", path)
                 writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(self._tables[name])
-        finally:
-            spark.conf.set(_CLEANUP, before)
         files, place = self._at(path)
         files.deleteOnExit(place)
         gc.collect()
